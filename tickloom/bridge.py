@@ -34,7 +34,7 @@ class Tables:
         return li.select(
             supplier_symbol("l_suppkey").alias("symbol"),
             F.col("l_shipdate").cast("date").alias("trade_date"),
-            (F.col("l_extendedprice") / F.col("l_quantity")).alias("px"),
+            F.try_divide("l_extendedprice", "l_quantity").alias("px"),
             "l_orderkey", "l_linenumber", "l_partkey", "l_quantity", "l_extendedprice",
             "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_suppkey",
         )
@@ -192,9 +192,9 @@ class Tables:
     def delivery(self) -> DataFrame:
         kept = F.when(F.col("l_returnflag") != "R", F.col("l_quantity"))
         return self.lines.groupBy("symbol", "trade_date").agg(
-            (100.0 * F.coalesce(F.sum(kept), F.lit(0.0)) / F.sum("l_quantity")).alias(
-                "delivery_pct"
-            )
+            F.try_divide(
+                100.0 * F.coalesce(F.sum(kept), F.lit(0.0)), F.sum("l_quantity")
+            ).alias("delivery_pct")
         )
 
     @cached_property
