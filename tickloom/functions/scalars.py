@@ -139,7 +139,7 @@ def numeric_text(value: Column | str) -> Column:
     raw = F.trim(col(value).cast("string"))
     negative = raw.rlike(r"^\(.*\)$")
     digits = F.regexp_replace(raw, r"(?i)inr|rs\.?|cr\.?|[,%()\s₹]", "")
-    number = F.expr("try_cast(NULL as double)") if digits is None else digits.try_cast("double")
+    number = digits.try_cast("double")
     return F.when(negative, -number).otherwise(number)
 
 
