@@ -11,37 +11,33 @@ def part(name: str, sql: str) -> None:
     PARTS[name] = sql.strip()
 
 
-def sql(body: str) -> str:
-    """``body`` with every table expression it (transitively) names put in front."""
+def sql(body: str, **override: str) -> str:
+    """``body`` with every table expression it (transitively) names put in front.
+
+    ``override`` replaces single expressions, such as the bars the rest builds on.
+    """
+    parts = {**PARTS, **override}
     needed: list[str] = []
 
-    def visit(text: str) -> None:
-        for word in re.findall(r"\b(?:FROM|JOIN)\s+([a-z_0-9]+)", text):
-            if word in PARTS and word not in needed:
-                visit(PARTS[word]) if f"FROM {word}" not in PARTS[word] else _visit_self(word)
-                if word not in needed:
-                    needed.append(word)
+    def named(text: str) -> list[str]:
+        return [w for w in re.findall(r"\b(?:FROM|JOIN)\s+([a-z_0-9]+)", text) if w in parts]
 
-    def _visit_self(word: str) -> None:
-        for other in re.findall(r"\b(?:FROM|JOIN)\s+([a-z_0-9]+)", PARTS[word]):
-            if other != word and other in PARTS and other not in needed:
-                visit(f"FROM {other}")
+    def visit(name: str, above: tuple[str, ...]) -> None:
+        for other in named(parts[name]):
+            if other != name and other not in above:
+                visit(other, (*above, name))
+        if name not in needed:
+            needed.append(name)
 
-    visit(body)
+    for name in named(body):
+        visit(name, ())
     if not needed:
         return body
-    recursive = "RECURSIVE " if any(f"FROM {n}" in PARTS[n] for n in needed) else ""
-    heads = ",\n".join(f"{_head(n)} AS MATERIALIZED (\n{PARTS[n]}\n)" if not _is_rec(n)
-                       else f"{_head(n)} AS (\n{PARTS[n]}\n)" for n in needed)
-    return f"WITH {recursive}{heads}\n{body.strip()}"
-
-
-def _is_rec(name: str) -> bool:
-    return f"FROM {name}" in PARTS[name]
-
-
-def _head(name: str) -> str:
-    return name
+    loops = {n for n in needed if n in named(parts[n])}
+    heads = ",\n".join(
+        f"{n} AS {'' if n in loops else 'MATERIALIZED '}(\n{parts[n]}\n)" for n in needed
+    )
+    return f"WITH {'RECURSIVE ' if loops else ''}{heads}\n{body.strip()}"
 
 
 part("lines", """
