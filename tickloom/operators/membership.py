@@ -48,7 +48,7 @@ def periods_from_snapshots(snapshots: DataFrame, index_name: str, source: str) -
         F.lead("snapshot_date").over(timeline).alias("_next"),
     )
     w = Window.partitionBy("symbol").orderBy("snapshot_date")
-    placed = rows.join(dates, "snapshot_date").withColumn(
+    placed = rows.join(F.broadcast(dates), "snapshot_date").withColumn(
         "_island", F.col("_n") - F.row_number().over(w)
     )
     return placed.groupBy("symbol", "_island").agg(

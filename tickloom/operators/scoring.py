@@ -17,6 +17,11 @@ def c(name: str) -> Column:
 
 
 
+def rounded(value: Column) -> Column:
+    """One decimal; noise in the last bits of a weighted sum must not decide a tie."""
+    return F.round(F.round(value, 9), 1)
+
+
 def altman_points(z: Column) -> Column:
     return (
         F.when(z >= 3.0, F.lit(100.0))
@@ -181,13 +186,13 @@ def score_stocks(inputs: DataFrame, weights: ScoreWeights = DEFAULT.weights) ->
     reasons, risks, missing = _explanations()
     return df.withColumns(
         {
-            "score": F.round(total, 1),
+            "score": rounded(total),
             "band": band,
-            "fundamentals_score": F.round(fundamentals, 1),
-            "technicals_score": F.round("_tech", 1),
-            "flows_score": F.round("_flows", 1),
-            "events_quality_score": F.round("_events", 1),
-            "macro_sector_score": F.round(macro, 1),
+            "fundamentals_score": rounded(fundamentals),
+            "technicals_score": rounded(c("_tech")),
+            "flows_score": rounded(c("_flows")),
+            "events_quality_score": rounded(c("_events")),
+            "macro_sector_score": rounded(macro),
             "reasons": F.slice(reasons, 1, 6),
             "risks": F.slice(risks, 1, 6),
             "missing_data": F.array_sort(F.array_distinct(missing)),

@@ -11,6 +11,7 @@ from uuid import uuid4
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from tickloom.session import shared_dir
 
@@ -227,7 +228,7 @@ def append_run(results: DataFrame, path: str) -> None:
 
 def write_upsert(
     spark: SparkSession, path: str, incoming: DataFrame, keys: Sequence[str], partition: str,
-    order: Sequence[str] = (),
+    order: Sequence[str] = (), schema: StructType | None = None,
 ) -> None:
     """Upsert ``incoming`` into a partitioned parquet table.
 
@@ -235,7 +236,8 @@ def write_upsert(
     are staged in the shared folder first, since a table must not be overwritten
     while it is being read; a retry after a lost executor sees whole data.
     """
-    existing = spark.read.parquet(path)
+    reader = spark.read.schema(schema) if schema is not None else spark.read
+    existing = reader.parquet(path)
     touched = incoming.select(partition).distinct()
     current = existing.join(touched, partition, "left_semi")
     merged = keep_latest(current, incoming, keys, order)

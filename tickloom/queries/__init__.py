@@ -8,4 +8,5 @@ from tickloom.queries import (  # noqa: F401,E402
     operations,
     rules,
     state,
+    streams,
 )

@@ -13,7 +13,7 @@ from tickloom.queries.indicators import indicators
 from tickloom.queries.registry import query
 from tickloom.queries.sqlbase import part, sql
 
-INDEX = "Top Half"
+INDEX = "Large Turnover"
 
 
 def events(t: Tables) -> DataFrame:
@@ -21,18 +21,17 @@ def events(t: Tables) -> DataFrame:
 
 
 def membership_snapshots(t: Tables) -> DataFrame:
-    """Each calendar quarter the top half of the suppliers by turnover is in the index."""
+    """Each calendar quarter the suppliers above the quarter's mean turnover are members."""
     net = F.col("l_extendedprice") * (1 - F.col("l_discount"))
     quarter = F.trunc("trade_date", "quarter")
     turnover = t.lines.groupBy(quarter.alias("snapshot_date"), "symbol").agg(
         F.sum(net).alias("net")
     )
-    # Half of the quarter's symbols, by the median of the turnover instead of a sort
-    # of the whole quarter in one task.
-    median = turnover.groupBy("snapshot_date").agg(F.percentile("net", 0.5).alias("mid"))
-    return turnover.join(median, "snapshot_date").where(F.col("net") > F.col("mid")).select(
-        "symbol", "snapshot_date"
-    )
+    # One row per calendar quarter, so the mean is safe to broadcast.
+    mean = turnover.groupBy("snapshot_date").agg(F.avg("net").alias("mean"))
+    return turnover.join(F.broadcast(mean), "snapshot_date").where(
+        F.col("net") > F.col("mean")
+    ).select("symbol", "snapshot_date")
 
 
 def membership(t: Tables) -> DataFrame:
@@ -41,10 +40,10 @@ def membership(t: Tables) -> DataFrame:
 
 part("snapshots", """
 SELECT symbol, snapshot_date FROM (
-  SELECT symbol, snapshot_date, net, median(net) OVER (PARTITION BY snapshot_date) AS mid
+  SELECT symbol, snapshot_date, net, avg(net) OVER (PARTITION BY snapshot_date) AS mean
   FROM (SELECT symbol, CAST(date_trunc('quarter', trade_date) AS DATE) AS snapshot_date,
                sum(net) AS net FROM lines GROUP BY 1, 2))
-WHERE net > mid
+WHERE net > mean
 """)
 part("calendar", """
 SELECT snapshot_date, row_number() OVER (ORDER BY snapshot_date) AS k,
@@ -54,7 +53,7 @@ FROM (SELECT DISTINCT snapshot_date FROM snapshots)
 # A period starts where the previous snapshot lacks the symbol.
 part("periods", """
 SELECT symbol, min(snapshot_date) AS from_date,
-       arg_max(following, snapshot_date) - 1 AS to_date
+       last(following ORDER BY snapshot_date) - 1 AS to_date
 FROM (SELECT s.symbol, s.snapshot_date, c.following,
              sum(CASE WHEN p.symbol IS NULL THEN 1 ELSE 0 END) OVER (PARTITION BY s.symbol
                ORDER BY c.k) AS island

@@ -221,11 +221,13 @@ FROM annual AS a LEFT JOIN (
 
 
 @query("market_cap_as_of", "J1", sql("""
-SELECT symbol, fiscal_year, period_end, market_cap, enterprise_value FROM cap
-"""), "market_cap enterprise_value", 8)
+SELECT symbol, fiscal_year, period_end, market_cap, enterprise_value - market_cap AS ev_less_cap
+FROM cap
+"""), "ev_less_cap", 4)
 def market_cap_as_of(t: Tables) -> DataFrame:
     return annual_with_cap(t).select(
-        "symbol", "fiscal_year", "period_end", "market_cap", "enterprise_value"
+        "symbol", "fiscal_year", "period_end", "market_cap",
+        (F.col("enterprise_value") - F.col("market_cap")).alias("ev_less_cap"),
     )
 
 
