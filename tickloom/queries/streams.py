@@ -18,9 +18,18 @@ def _folder(t: Tables, name: str) -> str:
     return f"{shared_dir(t.spark)}/{name}-{uuid4().hex}"
 
 
+def _timed(events: DataFrame) -> DataFrame:
+    """Watermarks need an instant; the files hold wall-clock times."""
+    return events.withColumn("ts", F.col("ts").cast("timestamp"))
+
+
+def _wall_clock(df: DataFrame, column: str) -> DataFrame:
+    return df.withColumn(column, F.col(column).cast("timestamp_ntz"))
+
+
 def event_stream(t: Tables) -> DataFrame:
     schema = t.read("events").schema
-    return t.spark.readStream.schema(schema).parquet(f"{t.root}/events*.parquet")
+    return _timed(t.spark.readStream.schema(schema).parquet(f"{t.root}/events*.parquet"))
 
 
 _BARS = """
@@ -32,7 +41,7 @@ SELECT event_type, date_trunc('hour', ts) AS bar_start, arg_min(value, event_id)
 
 @query("event_bars", "T3", _BARS)
 def event_bars(t: Tables) -> DataFrame:
-    return jobs.event_bars(t.read("events"))
+    return _wall_clock(jobs.event_bars(_timed(t.read("events"))), "bar_start")
 
 
 @query("event_bars_stream", "T3", _BARS)
@@ -41,7 +50,9 @@ def event_bars_stream(t: Tables) -> DataFrame:
     jobs.run_available(
         jobs.event_bars(event_stream(t)), jobs.write_batches(out), _folder(t, "state"), "update"
     )
-    return jobs.latest_batches(t.spark, out, ["event_type", "bar_start"])
+    return _wall_clock(
+        jobs.latest_batches(t.spark, out, ["event_type", "bar_start"]), "bar_start"
+    )
 
 
 @query("unique_events_stream", "T2", """
@@ -67,7 +78,7 @@ SELECT event_type, window_start, sum(value) AS total, count(*) AS n FROM (
 GROUP BY 1, 2
 """, "total", 4)
 def rolling_event_totals(t: Tables) -> DataFrame:
-    return jobs.rolling_totals(t.read("events"))
+    return _wall_clock(jobs.rolling_totals(_timed(t.read("events"))), "window_start")
 
 
 @query("price_ingest_stream", "T1 U1", sql("""
