@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tickloom.functions.scalars import fiscal_quarter, fiscal_year, period_end
+from tickloom.session import materialise
 
 
 def supplier_symbol(key: str) -> Column:
@@ -28,6 +29,13 @@ class Tables:
     def read(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.root}/{name}.parquet")
 
+    def with_stored_bars(self) -> Tables:
+        """The same views with the bars written once to the shared folder, the way a
+        price table is; for jobs that read them several times."""
+        stored = Tables(self.spark, self.root)
+        stored.__dict__["bars"] = materialise(self.bars)
+        return stored
+
     @cached_property
     def lines(self) -> DataFrame:
         li = self.read("lineitem")

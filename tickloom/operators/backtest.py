@@ -211,25 +211,24 @@ def walk_forward(trades: DataFrame, train_years: int = 3, validate_years: int =
     done = trades.where(F.col("return_pct").isNotNull()).select(
         "signal", "entry_date", "return_pct"
     )
-    origin = done.select(F.min("entry_date")).scalar()
-    newest = done.select(F.max("entry_date")).scalar()
-    day = F.datediff("entry_date", F.col("_origin"))
-    last_window = F.ceil((F.datediff(F.col("_newest"), F.col("_origin")) - train) / step) - 1
+    bounds = done.select(
+        F.struct(F.min("entry_date").alias("first"), F.max("entry_date").alias("last"))
+    ).scalar()
+    day = F.datediff("entry_date", F.col("_b.first"))
+    last_window = F.ceil((F.datediff(F.col("_b.last"), F.col("_b.first")) - train) / step) - 1
 
-    def windows(first_day: int, length: int) -> Column:
+    def windows(first_day: int, length: int, is_train: bool) -> Column:
         low = F.greatest(F.ceil((day - first_day - length) / step), F.lit(0))
         high = F.least(F.floor((day - first_day) / step), last_window)
-        return F.when(high >= low, F.sequence(low, high))
-
-    base = done.withColumns({"_origin": origin, "_newest": newest})
-    tagged = base.select(
-        "signal", "return_pct", "_origin", F.explode(windows(0, train)).alias("k"),
-        F.lit(True).alias("is_train"),
-    ).unionByName(
-        base.select(
-            "signal", "return_pct", "_origin", F.explode(windows(train + 1, step)).alias("k"),
-            F.lit(False).alias("is_train"),
+        numbers = F.when(high >= low, F.sequence(low, high))
+        return F.transform(
+            F.coalesce(numbers, F.array().cast("array<bigint>")),
+            lambda k: F.struct(k.alias("k"), F.lit(is_train).alias("is_train")),
         )
+
+    both = F.concat(windows(0, train, True), windows(train + 1, step, False))
+    tagged = done.withColumn("_b", bounds).select(
+        "signal", "return_pct", F.col("_b.first").alias("_origin"), F.inline(both)
     )
     r, is_train = F.col("return_pct"), F.col("is_train")
 

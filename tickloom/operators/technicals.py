@@ -106,6 +106,8 @@ def add_technical_indicators(bars: DataFrame) -> DataFrame:
             "_ret_std20": F.stddev_samp("_return").over(frame(20)),
             "prior_high": F.lag("_max252").over(w),
             "_prior120": F.lag("_max120").over(w),
+            "_prior50": F.lag("_sum50").over(w),
+            "_prior200": F.lag("_sum100").over(w) + F.lag("_sum100", 101).over(w),
         }
     )
     df = df.select(
@@ -121,6 +123,8 @@ def add_technical_indicators(bars: DataFrame) -> DataFrame:
         F.when(row >= 20, F.col("_min252")).alias("low_52w"),
         F.when(row > 120, F.col("_prior120")).alias("prior_high_120"),
         F.when(row > 252, F.col("prior_high")).alias("prior_high_252"),
+        F.when(row > 50, F.col("_prior50") / 50).alias("prior_sma_50"),
+        F.when(row > 200, F.col("_prior200") / 200).alias("prior_sma_200"),
     )
 
     change = F.col("close") - F.col("prior_close")
@@ -165,7 +169,7 @@ def add_technical_indicators(bars: DataFrame) -> DataFrame:
     keep = [
         *base, ROW, "bar_count",
         *INDICATORS, "prior_close", "prior_high", "prior_high_120", "prior_high_252",
-        "prior_high_20", "prior_low_20", "traded_value_20",
+        "prior_high_20", "prior_low_20", "prior_sma_50", "prior_sma_200", "traded_value_20",
     ]
     return df.select(*keep)
 

@@ -12,6 +12,7 @@ from tickloom.operators import signals as sg
 from tickloom.queries.indicators import indicators
 from tickloom.queries.registry import query
 from tickloom.queries.sqlbase import part, sql
+from tickloom.session import materialise
 
 INDEX = "Large Turnover"
 
@@ -20,6 +21,11 @@ def events(t: Tables) -> DataFrame:
     return sg.signal_events(indicators(t))
 
 
+def stored_trades(t: Tables) -> DataFrame:
+    """Trades written once to the shared folder, for jobs that pass over them repeatedly."""
+    return materialise(bt.run_signal_backtest(events(t), t.bars))
+
+
 def membership_snapshots(t: Tables) -> DataFrame:
     """Each calendar quarter the suppliers above the quarter's mean turnover are members."""
     net = F.col("l_extendedprice") * (1 - F.col("l_discount"))
@@ -163,7 +169,7 @@ FROM done
 """), "win_rate_pct avg_return_pct sharpe_ratio sortino_ratio exposure_time_pct "
       "max_symbol_concentration_pct cagr_pct", 3)
 def portfolio_metrics(t: Tables) -> DataFrame:
-    return bt.portfolio_metrics(bt.run_signal_backtest(events(t), t.bars)).select(
+    return bt.portfolio_metrics(stored_trades(t)).select(
         "total_signals", "completed_trades", "pending_trades", "win_rate_pct", "avg_return_pct",
         "sharpe_ratio", "sortino_ratio", "exposure_time_pct", "unique_symbols",
         "max_symbol_concentration_pct", "cagr_pct",
@@ -197,4 +203,4 @@ GROUP BY signal, train_start
 """), "train_avg_return_pct train_win_rate_pct validate_avg_return_pct validate_win_rate_pct "
       "performance_drift_pct", 3)
 def walk_forward(t: Tables) -> DataFrame:
-    return bt.walk_forward(bt.run_signal_backtest(events(t), t.bars))
+    return bt.walk_forward(stored_trades(t))

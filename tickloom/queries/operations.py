@@ -271,6 +271,7 @@ def full_inputs(t: Tables) -> DataFrame:
 
 
 def composite(t: Tables) -> DataFrame:
+    t = t.with_stored_bars()
     last = latest_with_signals(indicators.indicators(t)).select(
         "symbol", "trade_date", "close", "rsi_14", "ema_50", "ema_200", "relative_volume",
         "active_signals",

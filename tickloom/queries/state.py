@@ -401,11 +401,13 @@ def universe_batch(t: Tables) -> DataFrame:
 # --- saved scans ------------------------------------------------------------------------
 
 def scan_at(t: Tables, days_back: int) -> DataFrame:
+    """The scan as it ran ``days_back`` days before the last bar."""
     until = F.date_sub(t.as_of, days_back)
     return scan_universe(t.bars.where(F.col("trade_date") <= until), t.universe, until)
 
 
 def saved_scans(t: Tables) -> tuple[DataFrame, DataFrame]:
+    t = t.with_stored_bars()
     return scan_at(t, 0), scan_at(t, 90)
 
 
