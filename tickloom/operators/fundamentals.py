@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from tickloom.functions.scalars import is_financial, messages, safe_divide
 from tickloom.operators.ranking import add_peer_ranks
+from tickloom.session import materialise
 
 # Fixed values.
 CAGR_METRICS = (
@@ -443,7 +444,9 @@ def fundamentals_summary(
     out = out.withColumns(
         {"status": status, "errors": F.array_join(errors, "; "), "warnings": text}
     )
-    return add_peer_ranks(out) if ranks else out
+    # Ranking passes over the summary several times: one row per symbol is stored
+    # first so that the statements behind it are worked through once.
+    return add_peer_ranks(materialise(out)) if ranks else out
 
 
 def required_columns(financial: Column) -> Column:

@@ -14,7 +14,7 @@ from tickloom.operators.quality import import_preview, validate_annual, validate
 from tickloom.operators.ranking import peer_ranks_long
 from tickloom.queries.registry import query
 from tickloom.queries.sqlbase import part, sql
-from tickloom.session import shared_dir
+from tickloom.session import materialise, shared_dir
 from tickloom.sources import readers
 
 
@@ -506,6 +506,7 @@ def import_gate(t: Tables) -> DataFrame:
     frame = _with_sector(t).withColumn(
         "revenue", F.when(F.col("revenue") < 20000, -F.col("revenue")).otherwise(F.col("revenue"))
     )
+    frame = materialise(frame)
     accepted, _ = import_preview(frame, validate_annual(frame))
     return accepted.agg(
         F.count("*").alias("rows"), F.count_distinct("symbol").alias("symbols")
@@ -609,7 +610,7 @@ FROM metric_rows WHERE v IS NOT NULL"""
 @query("peer_percentile_ranks", "W18", sql(
     "SELECT symbol, peer_kind, metric, rank_pct FROM ranks"), "rank_pct")
 def peer_percentile_ranks(t: Tables) -> DataFrame:
-    return peer_ranks_long(summary_rows(t, False))
+    return peer_ranks_long(materialise(summary_rows(t, False)))
 
 
 @query("summary_with_ranks", "W18 L7", sql("""

@@ -17,6 +17,7 @@ from tickloom.plans.pipelines import composite_inputs, refresh_eod
 from tickloom.queries import backtests, companies, indicators, state
 from tickloom.queries.registry import query
 from tickloom.queries.sqlbase import part, sql
+from tickloom.session import materialise
 from tickloom.sources import readers
 
 BANKS = ("NATION_1", "NATION_12")
@@ -385,6 +386,7 @@ def composite_upsert(t: Tables) -> DataFrame:
         "active_signals", F.size("active_signals").alias("active_signal_count"),
         F.lit("derived").alias("source"),
     )
+    rows = materialise(rows)
     stored = rows.withColumn("version", F.lit("old"))
     fresh = rows.where(F.col("active_signal_count") > 0).withColumn("version", F.lit("new"))
     out = keep_latest(stored, fresh, KEYS["composite_scores"])
@@ -544,7 +546,7 @@ def score_series(t: Tables) -> DataFrame:
             *keep, F.lit(d).cast("date").alias("as_of_date"))
         for d, df in stamp.items()
     ]
-    return parts[0].unionByName(parts[1])
+    return materialise(parts[0].unionByName(parts[1]))
 
 
 @query("score_movers", "O4 W15 L8", sql("""

@@ -14,6 +14,7 @@ from tickloom.plans.pipelines import scan_universe
 from tickloom.queries.backtests import INDEX, membership, membership_snapshots
 from tickloom.queries.registry import query
 from tickloom.queries.sqlbase import part, sql
+from tickloom.session import materialise
 
 
 def day(text: str) -> Column:
@@ -551,6 +552,7 @@ def scan_tables(t: Tables) -> tuple[DataFrame, DataFrame]:
     rows = rows.withColumn(
         "error", F.when(F.col("active_signal_count") >= 2, F.lit("left out"))
     )
+    rows = materialise(rows)
     stamps = F.when(F.col("run_id") == "run-2", F.lit("2001-11-04")).otherwise("2001-08-06")
     runs = rows.groupBy("run_id").agg(F.count("*").alias("n")).withColumns(
         {"created_at": stamps.cast("timestamp"), "universe_name": F.lit("all")}
