@@ -7,6 +7,7 @@ error table instead of an exception.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,6 +21,7 @@ from tickloom.operators.scoring import score_stocks
 from tickloom.operators.signals import latest_with_signals
 from tickloom.operators.strategies import dedupe_sources, evaluate_strategies
 from tickloom.operators.technicals import add_technical_indicators
+from tickloom.operators.windows import bars_window
 from tickloom.operators.upsert import (
     KEYS, clean_prices, clean_quarters, clean_snapshots, incremental_bounds, keep_latest,
     run_summary, write_upsert,
@@ -33,16 +35,19 @@ SNAPSHOT_INDICATORS = (
 
 
 def scan_universe(
-    bars: DataFrame, universe: DataFrame, as_of: Column, facts: DataFrame | None = None
+    bars: DataFrame, universe: DataFrame, as_of: Column, facts: DataFrame | None = None,
+    last_bars: DataFrame | None = None,
 ) -> DataFrame:
     """Validate, compute indicators and signals, score; short or broken histories are
     error rows.
 
     ``facts``: optional score inputs per symbol (see ``scoring.INPUTS``); without it
-    the scan scores technicals alone.
+    the scan scores technicals alone.  ``last_bars``: indicator rows from
+    :func:`last_bars_at`, when they are at hand.
     """
     report = validate_ohlcv(bars, as_of, universe)
-    last = latest_with_signals(add_technical_indicators(bars)).select(
+    rows = add_technical_indicators(bars) if last_bars is None else last_bars
+    last = latest_with_signals(rows).select(
         "symbol", "close", "rsi_14", "ema_50", "ema_200", "relative_volume", "ma_stack_status",
         "active_signals",
     )
@@ -75,6 +80,24 @@ def scan_universe(
     )
 
 
+def last_bars_at(bars: DataFrame, days: dict[str, Column]) -> DataFrame:
+    """Each symbol's indicator row as it stood on several days, from one pass.
+
+    All indicators look backwards, so a past day's row is the same in the full
+    history.  Adds a boolean column per name in ``days``; only marked rows stay.
+    """
+    ind = add_technical_indicators(bars)
+    ind = ind.withColumn("_next", F.lead("trade_date").over(bars_window(ind)))
+    open_end = F.col("_next").isNull()
+    marks = {
+        name: (F.col("trade_date") <= day) & (open_end | (F.col("_next") > day))
+        for name, day in days.items()
+    }
+    marked = ind.withColumns(marks).drop("_next")
+    wanted = reduce(lambda a, b: a | b, [F.col(name) for name in days])
+    return marked.where(wanted).withColumn("bar_count", F.col("bar_number"))
+
+
 def scan_strategies(
     prices: DataFrame, universe: DataFrame, as_of: Column, min_rows: int = 220, **options
 ) -> tuple[DataFrame, DataFrame]:

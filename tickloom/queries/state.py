@@ -10,7 +10,7 @@ from tickloom.operators import membership as mb
 from tickloom.operators import scans
 from tickloom.operators import upsert as up
 from tickloom.operators.quality import validate_ohlcv
-from tickloom.plans.pipelines import scan_universe
+from tickloom.plans.pipelines import last_bars_at, scan_universe
 from tickloom.queries.backtests import INDEX, membership, membership_snapshots
 from tickloom.queries.registry import query
 from tickloom.queries.sqlbase import part, sql
@@ -401,15 +401,20 @@ def universe_batch(t: Tables) -> DataFrame:
 
 # --- saved scans ------------------------------------------------------------------------
 
-def scan_at(t: Tables, days_back: int) -> DataFrame:
+def scan_at(t: Tables, days_back: int, last_bars: DataFrame | None = None) -> DataFrame:
     """The scan as it ran ``days_back`` days before the last bar."""
     until = F.date_sub(t.as_of, days_back)
-    return scan_universe(t.bars.where(F.col("trade_date") <= until), t.universe, until)
+    bars = t.bars.where(F.col("trade_date") <= until)
+    return scan_universe(bars, t.universe, until, last_bars=last_bars)
 
 
 def saved_scans(t: Tables) -> tuple[DataFrame, DataFrame]:
+    """Today's scan and the one 90 days before, from one indicator pass."""
     t = t.with_stored_bars()
-    return scan_at(t, 0), scan_at(t, 90)
+    rows = materialise(
+        last_bars_at(t.bars, {"now": t.as_of, "before": F.date_sub(t.as_of, 90)})
+    )
+    return scan_at(t, 0, rows.where("now")), scan_at(t, 90, rows.where("before"))
 
 
 def _scan_part(name: str, back: int) -> str:
