@@ -88,7 +88,3 @@ def _decayed(q: float, row: Column):
         return acc + end["value"] * F.pow(F.lit(q), row - end["row"])
 
     return add
-
-
-def drop_row_numbers(df: DataFrame) -> DataFrame:
-    return df.drop(BLOCK_ROW, BLOCK_END)

@@ -180,5 +180,3 @@ def _stack_status() -> Column:
     down = reduce(lambda a, b: a & b, [F.col(a) < F.col(b) for a, b in pairs])
     return F.when(up, F.lit("bullish")).when(down, F.lit("bearish")).otherwise(F.lit("mixed"))
 
-
-__all__ = ["INDICATORS", "add_technical_indicators", "true_range", "BLOCK_END", "BLOCK_ROW"]

@@ -102,7 +102,7 @@ def clean_flows(incoming: DataFrame) -> DataFrame:
     ).withColumn("participant", F.upper(F.trim("participant")))
 
 
-def collapse_audits(audits: DataFrame, order: str = "id") -> DataFrame:
+def collapse_audits(audits: DataFrame, order: Sequence[str] = ("id",)) -> DataFrame:
     """Last row per observation; its ``scan_count`` is the sum over the repeats.
 
     The sum is a map-side combined aggregate joined to the kept row, so a heavily
@@ -112,7 +112,7 @@ def collapse_audits(audits: DataFrame, order: str = "id") -> DataFrame:
     counts = audits.groupBy(*keys).agg(
         F.sum(F.coalesce("scan_count", F.lit(1))).alias("_scans")
     )
-    kept = last_per_key(audits, keys, [order])
+    kept = last_per_key(audits, keys, order)
     return kept.join(counts, list(keys)).withColumn("scan_count", F.col("_scans")).drop("_scans")
 
 
@@ -121,7 +121,7 @@ def save_audits(existing: DataFrame, incoming: DataFrame) -> DataFrame:
     batch = existing.withColumn("_batch", F.lit(0)).unionByName(
         incoming.withColumns({"scan_count": F.lit(1), "_batch": F.lit(1)}), allowMissingColumns=True
     )
-    return collapse_audits(batch, "_batch").drop("_batch")
+    return collapse_audits(batch, ["_batch"]).drop("_batch")
 
 
 def merge_watchlist(existing: DataFrame, incoming: DataFrame) -> DataFrame:

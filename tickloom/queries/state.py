@@ -231,8 +231,7 @@ def audits(t: Tables) -> DataFrame:
     return t.lines.select(
         "symbol", F.col("trade_date").alias("as_of_date"),
         F.col("l_returnflag").alias("signal_name"), F.lit("audit").alias("source"),
-        (F.col("l_orderkey") * 1_000_000_000 + F.col("l_linenumber") * 100_000_000
-         + F.col("l_partkey")).alias("id"),
+        "l_orderkey", "l_linenumber", "l_partkey",
         F.col("l_linenumber").alias("scan_count"), F.col("px").alias("close"),
     )
 
@@ -240,11 +239,12 @@ def audits(t: Tables) -> DataFrame:
 @query("audit_collapse", "U9", sql("""
 SELECT symbol, trade_date AS as_of_date, l_returnflag AS signal_name,
        CAST(sum(l_linenumber) AS BIGINT) AS scan_count,
-       arg_max(px, l_orderkey * 1000000000 + l_linenumber * 100000000 + l_partkey) AS close
+       last(px ORDER BY l_orderkey, l_linenumber, l_partkey) AS close
 FROM lines GROUP BY 1, 2, 3
 """))
 def audit_collapse(t: Tables) -> DataFrame:
-    return up.collapse_audits(audits(t)).select(
+    order = ["l_orderkey", "l_linenumber", "l_partkey"]
+    return up.collapse_audits(audits(t), order).select(
         "symbol", "as_of_date", "signal_name", "scan_count", "close"
     )
 
