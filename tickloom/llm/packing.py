@@ -27,8 +27,11 @@ from tickloom.llm.tokens import encoder
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 #: Rows that are ranked together in one task.
 RANKED_TOGETHER = 50_000
-#: Steps of one enumeration of fillings, and of the whole search.
-FILL_STEPS, SEARCH_STEPS = 2_000, 20_000
+#: Steps of one enumeration of fillings; the search is made with each, and the best plan stays.
+#: (Short ones leave small pieces for later, long ones waste least at once.)
+FILL_STEPS = (20, 50, 100, 200, 500, 2_000)
+#: Steps of each search, besides one for each sequence on the way down.
+SEARCH_STEPS = 3_000
 
 
 def cut_pieces(docs: DataFrame, file: str, mark: str, end: int, capacity: int) -> DataFrame:
@@ -163,16 +166,24 @@ def best_fit(counts: dict[int, int], capacity: int) -> list[tuple[tuple[int, ...
     return out
 
 
-def plan(counts: dict[int, int], capacity: int, fill_steps: int = FILL_STEPS, search_steps: int = SEARCH_STEPS) -> list[tuple[tuple[int, ...], int]]:
+def plan(counts: dict[int, int], capacity: int) -> list[tuple[tuple[int, ...], int]]:
     """Fillings and how often each is used; together they use up `counts`."""
-    need, total = lower_bound(counts, capacity), sum(s * n for s, n in counts.items())
-    best = best_fit(counts, capacity)
-    fewest = sum(n for _, n in best)
+    best, need = best_fit(counts, capacity), lower_bound(counts, capacity)
+    for fill_steps in FILL_STEPS:
+        if sum(n for _, n in best) > need:
+            best = _search(counts, capacity, best, need, fill_steps)
+    return best
+
+
+def _search(counts: dict[int, int], capacity: int, best: list, need: int, fill_steps: int) -> list:
+    """A plan with fewer sequences than `best`, if the search comes upon one."""
+    total, fewest = sum(s * n for s, n in counts.items()), sum(n for _, n in best)
+    search_steps = SEARCH_STEPS
     shelf, path, waste = Shelf(counts), [], 0
     levels = [iter(shelf.choices(capacity, fill_steps))] if shelf.sizes else []
     while levels and fewest > need and search_steps > 0:
-        search_steps -= 1
         choice = next(levels[-1], None)
+        search_steps -= choice is None
         if choice is None:
             levels.pop()
             if path:

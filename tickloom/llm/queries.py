@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickloom.llm import packing, simhash, substring, tokens
-from tickloom.llm.common import ship
+from tickloom.llm import licenses, packing, quality, records, sharding, simhash, substring, tokens
+from tickloom.llm.common import Scratch, ship
 
 
 def vocabulary(name: str) -> str:
@@ -23,6 +23,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_rule_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = quality.ledger(table(spark, sf_dir, "documents"))
+    passed = quality.judged(quality.judged(rows, quality.BASE, "base"), quality.WEB)
+    return passed.withColumn("base_failed", ~F.col("base")).drop("base")
+
+
 def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return packing.pack(docs, vocabulary("byte_bpe_50k.json"), tokens.BYTE_LEVEL)
@@ -39,8 +45,34 @@ def op4_repeated_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_prefix_sum_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard(table(spark, sf_dir, "documents"))
+
+
+def op7_framed_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, folder = table(spark, sf_dir, "documents"), Scratch(spark, "records").path("ids")
+    records.write_records(docs, folder, vocabulary("word_bpe_49k.json"), tokens.SPACE_DROPPED)
+    return records.read_records(spark, folder)
+
+
+def op9_license_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_best_fit_packing, op3_golay_simhash, op4_repeated_windows)
+    f.__name__: f
+    for f in (
+        op1_rule_ledger,
+        op2_best_fit_packing,
+        op3_golay_simhash,
+        op4_repeated_windows,
+        op6_prefix_sum_shards,
+        op7_framed_records,
+        op9_license_templates,
+    )
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op1_rule_ledger": quality.SQL,
+    "op9_license_templates": licenses.sql(),
+}
