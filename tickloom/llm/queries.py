@@ -7,7 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickloom.llm import licenses, packing, quality, records, sharding, simhash, substring, tokens
+from tickloom.llm import (
+    licenses,
+    packing,
+    pivots,
+    quality,
+    records,
+    sentencepieces,
+    sharding,
+    simhash,
+    substring,
+    tokens,
+)
 from tickloom.llm.common import Scratch, ship
 
 
@@ -55,10 +66,18 @@ def op7_framed_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.read_records(spark, folder)
 
 
+def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentencepieces.encode(table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"))
+
+
 def op9_license_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents"))
 
 
+def op10_pivot_permutations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pivots.search(table(spark, sf_dir, "embeddings"), every=100)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -68,7 +87,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op4_repeated_windows,
         op6_prefix_sum_shards,
         op7_framed_records,
+        op8_sentencepiece,
         op9_license_templates,
+        op10_pivot_permutations,
     )
 }
 
