@@ -26,7 +26,7 @@ from tickloom.llm.tokens import encoder
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 #: Rows that are ranked together in one task.
-RANKED_TOGETHER = 50_000
+RANKED_TOGETHER = 1_000
 #: Steps of one enumeration of fillings; the search is made with each, and the best plan stays.
 #: (Short ones leave small pieces for later, long ones waste least at once.)
 FILL_STEPS = (20, 50, 100, 200, 500, 2_000)
