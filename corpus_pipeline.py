@@ -7,18 +7,25 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickloom.llm import packing, queries, simhash, substring, tokens
+from tickloom.llm import packing, quality, queries, simhash, substring, tokens
 from tickloom.llm.common import Scratch, ship
 
 
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that fail a rule of the policy go."""
+    ship(spark)
+    return quality.kept_rows(docs, quality.WEB)
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each component stays, the one with the smallest doc_id."""
-    found = simhash.near_duplicates(docs).where(F.col("doc_id") == F.col("component_id"))
-    return docs.join(found.select("doc_id").distinct(), "doc_id", "left_semi").select(*docs.columns)
+    ship(spark)
+    return simhash.one_of_each(docs)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The text becomes its kept words, n_chars its length; every document stays."""
+    ship(spark)
     done = substring.remove_repeated(docs)
     return done.select(
         *(
@@ -31,10 +38,12 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """A row per token piece with its sequence and its place there."""
+    ship(spark)
     return packing.pack(docs, queries.vocabulary("byte_bpe_50k.json"), tokens.BYTE_LEVEL)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("quality_rules", quality_rules),
     ("near_duplicates", near_duplicates),
     ("repeated_passages", repeated_passages),
     ("packing", packed),

@@ -11,10 +11,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
-from tickloom.llm.common import buffer_of, plain, slices
+from tickloom.llm.common import buffer_of, slices
 from tickloom.llm.words import SPACED, byte_class, spans, window_hashes, windows_inside, word_hashes
 
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words")
@@ -90,20 +91,14 @@ def measured(batch: pa.RecordBatch) -> list[np.ndarray]:
     ]
 
 
-def ledger(docs: DataFrame) -> DataFrame:
-    """doc_id, the measurements and fail_bits of every row.
-
-    A null text has no words, lines or symbols, as an empty one. Repeated rows are each judged.
-    """
+def _measures(texts: pa.Array) -> pa.Array:
+    parts = [measured(b) for b in slices(iter([pa.RecordBatch.from_arrays([texts], ["text"])]), "text")]
+    values = [np.concatenate([np.empty(0, np.int64), *column]) for column in zip(*parts, strict=True)]
+    values = values or [np.empty(0, np.int64) for _ in MEASURES]
+    return pa.StructArray.from_arrays([pa.array(v.astype(np.int64)) for v in values], list(MEASURES))
 
-    def run(batches):
-        for batch in slices(batches, "text"):
-            values = [pa.array(v.astype(np.int64)) for v in measured(batch)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *values], ["doc_id", *MEASURES])
 
-    rows = plain(docs, doc_id="long", text="string").mapInArrow(
-        run, "doc_id long, " + ", ".join(f"{m} long" for m in MEASURES)
-    )
+def _with_bits(rows: DataFrame) -> DataFrame:
     bits = [F.when(F.expr(fails), F.lit(1 << i)).otherwise(F.lit(0)) for i, (_, fails) in enumerate(RULES)]
     total = bits[0]
     for bit in bits[1:]:
@@ -111,6 +106,26 @@ def ledger(docs: DataFrame) -> DataFrame:
     return rows.withColumn("fail_bits", total.cast("long"))
 
 
+def _measured_rows(docs: DataFrame, name: str, column: Column) -> DataFrame:
+    kind = StructType([StructField(m, LongType()) for m in MEASURES])
+    values = F.arrow_udf(_measures, kind)(F.col("text").cast("string"))
+    return _with_bits(docs.select(column.alias(name), values.alias("_m")).select(name, "_m.*"))
+
+
+def ledger(docs: DataFrame) -> DataFrame:
+    """doc_id, the measurements and fail_bits of every row.
+
+    A null text has no words, lines or symbols, as an empty one. Repeated rows are each judged.
+    """
+    return _measured_rows(docs, "doc_id", F.col("doc_id").cast("long"))
+
+
+def kept_rows(docs: DataFrame, policy: Policy) -> DataFrame:
+    """The rows of `docs`, with their own columns, that pass the policy."""
+    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns))
+    return judged(_measured_rows(docs, "_row", row), policy).where("kept").select("_row.*")
+
+
 def judged(rows: DataFrame, policy: Policy, column: str = "kept") -> DataFrame:
     """The ledger with a boolean column: no rule of the policy failed."""
     return rows.withColumn(column, F.col("fail_bits").bitwiseAND(F.lit(policy.mask)) == 0)

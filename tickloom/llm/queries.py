@@ -18,6 +18,7 @@ from tickloom.llm import (
     simhash,
     substring,
     tokens,
+    wrappers,
 )
 from tickloom.llm.common import Scratch, ship
 
@@ -56,6 +57,10 @@ def op4_repeated_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_host_wrappers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wrappers.extract(table(spark, sf_dir, "pages"))
+
+
 def op6_prefix_sum_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(table(spark, sf_dir, "documents"))
 
@@ -85,6 +90,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op2_best_fit_packing,
         op3_golay_simhash,
         op4_repeated_windows,
+        op5_host_wrappers,
         op6_prefix_sum_shards,
         op7_framed_records,
         op8_sentencepiece,

@@ -170,3 +170,15 @@ def near_duplicates(docs: DataFrame, apart: int = BITS_APART) -> DataFrame:
     return rows.join(named, "fp").select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
     )
+
+
+def one_of_each(docs: DataFrame, apart: int = BITS_APART) -> DataFrame:
+    """The rows of `docs`, one of each component: that with the smallest doc_id.
+
+    Rows that repeat a doc_id are one document, of which any row stays. Rows without a doc_id
+    stay, since no decision can name them.
+    """
+    found = near_duplicates(docs.where("doc_id is not null"), apart)
+    chosen = found.where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
+    kept = docs.join(chosen, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns)
+    return kept.union(docs.where("doc_id is null"))
