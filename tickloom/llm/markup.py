@@ -31,6 +31,7 @@ ENDS = {
 }
 
 
+HEAD = frozenset(("h1", "main"))
 #: Elements nested deeper hang beside their parent, so that no page makes a tree too deep to walk.
 DEEPEST = 120
 
@@ -40,6 +41,7 @@ class Node:
     tag: str
     names: frozenset[str] = frozenset()
     hidden: bool = False
+    holds: bool = False  # the page's heading or its main element
     kids: list = field(default_factory=list)  # nodes and texts
 
     @property
@@ -85,6 +87,9 @@ def tree(page: str) -> Node:
         node = _named(tag, attributes)
         node.hidden |= len(stack) > DEEPEST and stack[-1].hidden
         stack[min(len(stack), DEEPEST) - 1].kids.append(node)
+        if tag in HEAD:
+            for outer in (*stack, node):
+                outer.holds = True
         if tag in RAW:
             end = re.compile(rf"</{re.escape(tag)}\b[^>]*>", re.I).search(page, at)
             node.kids.append(page[at : end.start() if end else n])

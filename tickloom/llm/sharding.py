@@ -5,7 +5,7 @@ partition of that order give every partition's start in the global prefix sum, r
 inside a partition give every group's start, and cuts at equal targets make the shards. A group
 lies in one shard: those with a noticeable part of a shard's bytes (of which there can be only
 few) are placed first, each where least lies, and the rest is cut at what each shard still lacks.
-Only a group larger than a shard's share is spread, row by row.
+Only groups larger than a shard's share (fewer than shards) are spread, row by row.
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from tickloom.llm.common import Scratch
 
-#: Groups with this part of a shard's bytes are placed by hand; the driver holds at most shards / HEAVY.
+#: Units over this part of a shard's bytes are placed by hand; the driver holds fewer than shards / HEAVY.
 HEAVY = 0.002
 #: Groups (or rows) that one partition of the layout holds, about.
 TOGETHER = 50_000
@@ -69,22 +69,20 @@ def shard(docs: DataFrame, shards: int = 16) -> DataFrame:
     spark = docs.sparkSession
     scratch = Scratch(spark, "sharding")
     rows = scratch.stored("rows", sized(docs))
-    groups = scratch.stored("groups", rows.groupBy("grp").agg(F.sum("size").alias("bytes")))
-    total, n_groups = groups.agg(F.coalesce(F.sum("bytes"), F.lit(0)), F.count("*")).first()
+    groups = rows.groupBy("grp").agg(F.sum("size").alias("bytes"), F.count("*").alias("n"))
+    total = rows.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
     share = total / shards
-    heavy = [(r.grp, r.bytes) for r in groups.where(F.col("bytes") > HEAVY * share).collect()] if total else []
-    spread = [g for g, size in heavy if size > share]
-    placed, load = place_heavy([g for g in heavy if g[1] <= share], shards)
+    spread = [r.grp for r in groups.where((F.col("bytes") > share) & (F.col("n") > 1)).collect()]
 
-    # rows of spread groups are groups of their own; `unit` is what is laid out
+    # a unit lies in one shard: a group, or a row of a group that is spread
     unit = F.when(F.col("grp").isin(spread), F.xxhash64("grp", "doc_id")).otherwise(F.col("grp"))
-    rows = rows.withColumn("unit", unit) if spread else rows.withColumn("unit", F.col("grp"))
+    rows = rows.withColumn("unit", unit)
+    units = scratch.stored("units", rows.groupBy("unit").agg(F.sum("size").alias("bytes")))
+    n_units, heavy = units.count(), units.where(F.col("bytes") > HEAVY * share).collect()
+    placed, load = place_heavy([(r.unit, r.bytes) for r in heavy], shards)
     by_hand = spark.createDataFrame([(g, s) for g, s in placed.items()], "unit long, hand int")
-    units = groups.withColumnRenamed("grp", "unit").where(~F.col("unit").isin([g for g, _ in heavy]))
-    if spread:
-        loose = rows.where(F.col("grp").isin(spread)).groupBy("unit").agg(F.sum("size").alias("bytes"))
-        units = units.unionByName(loose)
-    parts = max(1, n_groups // TOGETHER)
+    units = units.where(F.col("bytes") <= HEAVY * share)
+    parts = max(1, n_units // TOGETHER)
     units = units.withColumn("part", _partition("unit", parts))
     totals = {r.part: r.n for r in units.groupBy("part").agg(F.sum("bytes").alias("n")).collect()}
     before, at = [], 0

@@ -180,5 +180,5 @@ def one_of_each(docs: DataFrame, apart: int = BITS_APART) -> DataFrame:
     """
     found = near_duplicates(docs.where("doc_id is not null"), apart)
     chosen = found.where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    kept = docs.join(chosen, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns)
+    kept = docs.join(chosen, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*(F.col(f"`{c}`") for c in docs.columns))
     return kept.union(docs.where("doc_id is null"))

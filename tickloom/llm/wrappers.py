@@ -34,6 +34,7 @@ ASIDE_NAMES = frozenset(
     "disqus cookie cookies consent gdpr notice notices popup modal overlay newsletter subscribe subscription signup "
     "login share sharing social related recommended widget toolbar pagination pager search alert".split()
 )
+ALWAYS_ASIDE = frozenset("nav aside footer head template noscript iframe".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
 REGIONS = ("article", "main")
 #: Elements in a group that repeats, at most; pages of a host before a text counts as its template's.
@@ -45,7 +46,12 @@ STEPS = 64
 
 
 def aside(node: Node) -> bool:
-    return node.hidden or node.tag in ASIDE_TAGS or bool(node.names & ASIDE_NAMES)
+    """Whether a node is beside the main text. What holds the page's heading is so by few tags only."""
+    if node.hidden:
+        return True
+    if node.holds and node.tag not in ALWAYS_ASIDE:
+        return False
+    return node.tag in ASIDE_TAGS or bool(node.names & ASIDE_NAMES)
 
 
 # --- expressions: an item is a dict with k (key), o (optional), r (repeated), n (pages),
@@ -209,9 +215,9 @@ def _headed(parts: list) -> list:
     for part in parts:
         if isinstance(part, Node):
             if part.tag == "header":
-                part = Node("div", kids=list(_headings(part)))
+                part = Node("div", holds=True, kids=list(_headings(part)))
             elif part.kids:
-                part = Node(part.tag, part.names, part.hidden, _headed(part.kids))
+                part = Node(part.tag, part.names, part.hidden, part.holds, _headed(part.kids))
         out.append(part)
     return out
 
@@ -229,7 +235,7 @@ def _without(part, fixed: set[int]):
     if isinstance(part, str):
         text = " ".join(part.split())
         return "" if zlib.crc32(text.encode()) in fixed else part
-    return Node(part.tag, part.names, part.hidden, [_without(k, fixed) for k in part.kids])
+    return Node(part.tag, part.names, part.hidden, part.holds, [_without(k, fixed) for k in part.kids])
 
 
 def _at(root: Node, paths: list[str]) -> list[Node]:
