@@ -1,11 +1,12 @@
 from __future__ import annotations
 
 import datetime as dt
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
 
-from tests.helpers import bars, ordered
+from tests.helpers import bars, ordered, plan_text
 from tickloom.functions import scalars as sc
 from tickloom.operators import fundamentals as fu
 from tickloom.operators import quality as ql
@@ -14,8 +15,9 @@ from tickloom.operators import upsert as up
 from tickloom.operators.flows import institutional_snapshots, result_volatility
 from tickloom.operators.scoring import score_stocks
 from tickloom.operators.technicals import add_technical_indicators
-from tickloom.plans.pipelines import scan_universe
+from tickloom.plans.pipelines import refresh_eod, scan_universe
 from tickloom.schemas import DDL, names
+from tickloom.session import shared_dir
 from tickloom.sources import readers
 
 D = dt.date
@@ -139,11 +141,41 @@ def test_write_upsert_touches_only_its_partitions(spark, tmp_path):
         {"source": F.lit("s"), "trade_year": F.year("trade_date")})
     rows.write.partitionBy("trade_year").parquet(path)
     files = set((tmp_path / "prices" / "trade_year=2019").iterdir())
-    fresh = rows.where("trade_year = 2020").withColumn("close", F.lit(5.0))
-    up.write_upsert(spark, path, fresh, up.KEYS["price_daily"], "trade_year")
+    fresh = rows.where("trade_year = 2020").select(
+        "*", F.explode(F.array(F.lit(1), F.lit(3), F.lit(2))).alias("seq"))
+    fresh = fresh.withColumn("close", F.lit(5.0) + F.col("seq"))
+    up.write_upsert(spark, path, fresh, up.KEYS["price_daily"], "trade_year", ["seq"])
     got = {r.trade_date: r.close for r in spark.read.parquet(path).collect()}
-    assert got == {D(2019, 12, 31): 1.0, D(2020, 1, 1): 5.0}
+    assert got == {D(2019, 12, 31): 1.0, D(2020, 1, 1): 8.0}
+    assert "seq" not in spark.read.parquet(path).columns
     assert set((tmp_path / "prices" / "trade_year=2019").iterdir()) == files
+    plan = plan_text(up.touched_rows(spark, path, "trade_year", [2020]))
+    assert "PartitionFilters: [isnotnull(trade_year" in plan and "= 2020" in plan
+    held = Path(shared_dir(spark).removeprefix("file:")) / spark.sparkContext.applicationId
+    assert not list(held.glob("stage-*"))
+
+
+def test_nightly_refresh_on_stored_tables(spark, tmp_path):
+    """Prices, snapshots, scores and the run are stored; a second run changes nothing."""
+    closes = [100 + (i % 7) + i * 0.1 for i in range(60)]
+    old = bars(spark, closes[:50]).unionByName(bars(spark, closes[:50], symbol="Y.NS"))
+    new = bars(spark, closes).unionByName(bars(spark, [-c for c in closes], symbol="Y.NS"))
+    old, new = (d.withColumn("source", F.lit("s")) for d in (old, new))
+    up.store_by_year(spark, f"{tmp_path}/price_daily", old, up.KEYS["price_daily"], "trade_date", ())
+    universe = spark.createDataFrame([("X.NS",), ("Y.NS",)], "symbol string")
+    splits = spark.createDataFrame([], "symbol string, ex_date date, value double")
+
+    def night(run):
+        stored = spark.read.parquet(f"{tmp_path}/price_daily").drop("trade_date_year")
+        done = refresh_eod(stored, new, universe, splits, F.lit(D(2020, 2, 29)), run_id=run,
+                           write_root=str(tmp_path))
+        parts = (done.prices, done.snapshots, done.scores)
+        return [sorted(map(str, d.collect())) for d in parts], done.run.count()
+
+    first, runs = night("one")
+    assert [len(rows) for rows in first] == [110, 22, 2] and runs == 1
+    again, runs = night("two")
+    assert again == first and runs == 2
 
 
 def test_institutional_trend_needs_history(spark):

@@ -7,13 +7,12 @@ before the shuffle, so a key repeated millions of times costs one row per task.
 from __future__ import annotations
 
 from collections.abc import Sequence
-from uuid import uuid4
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from tickloom.session import shared_dir
+from tickloom.session import delete_path, materialise, path_exists, shared_path
 
 # Natural keys of the persisted tables.
 KEYS: dict[str, tuple[str, ...]] = {
@@ -41,14 +40,21 @@ def last_per_key(rows: DataFrame, keys: Sequence[str], order: Sequence[str | Col
 
 
 def keep_latest(
-    existing: DataFrame, incoming: DataFrame, keys: Sequence[str], order: Sequence[str] = ()
+    existing: DataFrame, incoming: DataFrame, keys: Sequence[str], order: Sequence[str | Column] = ()
 ) -> DataFrame:
     """Incoming rows replace existing ones with the same key (NULL keys compare equal);
-    among incoming duplicates the last by ``order`` wins."""
+    among incoming duplicates the last by ``order`` (an ingest number, say) wins.
+    Rows that ``order`` leaves level are told apart by their values, never by chance."""
     both = existing.withColumn("_batch", F.lit(0)).unionByName(
         incoming.withColumn("_batch", F.lit(1)), allowMissingColumns=True
     )
-    return last_per_key(both, keys, ["_batch", *order]).drop("_batch")
+    return last_per_key(both, keys, ["_batch", *order, *by_values(both, keys)]).drop("_batch")
+
+
+def by_values(rows: DataFrame, keys: Sequence[str]) -> list[Column]:
+    """A last resort among rows of one key: the larger values, column by column."""
+    kinds = [(n, t) for n, t in rows.dtypes if n not in (*keys, "_batch")]
+    return [F.col(f"`{n}`").desc() for n, t in kinds if not t.startswith(("map", "variant"))]
 
 
 def change_counts(
@@ -102,7 +108,9 @@ def clean_flows(incoming: DataFrame) -> DataFrame:
     ).withColumn("participant", F.upper(F.trim("participant")))
 
 
-def collapse_audits(audits: DataFrame, order: Sequence[str] = ("id",)) -> DataFrame:
+def collapse_audits(
+    audits: DataFrame, order: Sequence[str | Column] = ("id",)
+) -> DataFrame:
     """Last row per observation; its ``scan_count`` is the sum over the repeats.
 
     The sum is a map-side combined aggregate joined to the kept row, so a heavily
@@ -121,7 +129,8 @@ def save_audits(existing: DataFrame, incoming: DataFrame) -> DataFrame:
     batch = existing.withColumn("_batch", F.lit(0)).unionByName(
         incoming.withColumns({"scan_count": F.lit(1), "_batch": F.lit(1)}), allowMissingColumns=True
     )
-    return collapse_audits(batch, ["_batch"]).drop("_batch")
+    order = ["_batch", *by_values(batch, KEYS["signal_audit"])]
+    return collapse_audits(batch, order).drop("_batch")
 
 
 def merge_watchlist(existing: DataFrame, incoming: DataFrame) -> DataFrame:
@@ -228,25 +237,59 @@ def append_run(results: DataFrame, path: str) -> None:
 
 def write_upsert(
     spark: SparkSession, path: str, incoming: DataFrame, keys: Sequence[str], partition: str,
-    order: Sequence[str] = (), schema: StructType | None = None,
-) -> None:
-    """Upsert ``incoming`` into a partitioned parquet table.
+    order: Sequence[str | Column], schema: StructType | None = None,
+) -> DataFrame:
+    """Upsert ``incoming`` into a partitioned parquet table; returns the stored batch.
 
-    Only partitions the batch touches are read and rewritten.  The merged rows
-    are staged in the shared folder first, since a table must not be overwritten
-    while it is being read; a retry after a lost executor sees whole data.
+    The batch is stored once. Its partition values (bounded by the calendar) become a
+    literal filter, so only partitions it touches are scanned; ``order`` says which of
+    several rows of one key is the last. Merged rows are staged in the shared folder,
+    since a table must not be overwritten while it is being read, and the stage goes
+    once the table is written. A retry after a lost executor sees whole data.
     """
-    reader = spark.read.schema(schema) if schema is not None else spark.read
-    existing = reader.parquet(path)
-    touched = incoming.select(partition).distinct()
-    current = existing.join(touched, partition, "left_semi")
-    merged = keep_latest(current, incoming, keys, order)
-    stage = f"{shared_dir(spark)}/stage-{uuid4().hex}"
+    batch = materialise(incoming, "batch")
+    values = [r[0] for r in batch.select(partition).distinct().collect()]
+    if not values:
+        return batch
+    current = touched_rows(spark, path, partition, values, schema)
+    extra = [c for c in order if isinstance(c, str) and c not in current.columns]
+    merged = keep_latest(current, batch, keys, order).drop(*extra)
+    stage = shared_path(spark, "stage")
     merged.write.parquet(stage)
     (
         spark.read.schema(merged.schema).parquet(stage)
         .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
         .partitionBy(partition).parquet(path)
     )
+    delete_path(spark, stage)
+    spark.catalog.refreshByPath(path)
+    return batch
 
 
+def touched_rows(
+    spark: SparkSession, path: str, partition: str, values: Sequence[object],
+    schema: StructType | None = None,
+) -> DataFrame:
+    """The stored rows of the partitions a batch touches, by a partition filter."""
+    reader = spark.read.schema(schema) if schema is not None else spark.read
+    wanted = F.col(partition).isin([v for v in values if v is not None])
+    if None in values:
+        wanted = wanted | F.col(partition).isNull()
+    return reader.parquet(path).where(wanted)
+
+
+def store_by_year(
+    spark: SparkSession, path: str, rows: DataFrame, keys: Sequence[str], day: str,
+    order: Sequence[str | Column],
+) -> DataFrame:
+    """Upsert rows into a table that is partitioned by the year of ``day``; the table
+    is made if it is not there. Returns the whole table, read back."""
+    year = f"{day}_year"
+    batch = rows.withColumn(year, F.year(day))
+    if path_exists(spark, path):
+        write_upsert(spark, path, batch, keys, year, order)
+    else:
+        empty = batch.limit(0)
+        merged = keep_latest(empty, batch, keys, order)
+        merged.write.partitionBy(year).parquet(path)
+    return spark.read.parquet(path).drop(year)

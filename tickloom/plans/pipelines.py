@@ -6,10 +6,11 @@ error table instead of an exception.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tickloom.operators import fundamentals as fu
@@ -23,9 +24,10 @@ from tickloom.operators.strategies import dedupe_sources, evaluate_strategies
 from tickloom.operators.technicals import add_technical_indicators
 from tickloom.operators.windows import bars_window
 from tickloom.operators.upsert import (
-    KEYS, clean_prices, clean_quarters, clean_snapshots, incremental_bounds, keep_latest,
-    run_summary, write_upsert,
+    KEYS, append_run, clean_prices, clean_quarters, clean_snapshots, incremental_bounds,
+    keep_latest, run_summary, store_by_year,
 )
+from tickloom.session import materialise
 
 MIN_SCAN_BARS = 30
 SNAPSHOT_INDICATORS = (
@@ -174,32 +176,39 @@ def refresh_eod(
     stored: DataFrame, incoming: DataFrame, universe: DataFrame, splits: DataFrame,
     end: Column, *, run_id: str, overlap_days: int = 5, years: int = 5,
     facts: DataFrame | None = None, write_root: str | None = None,
+    order: Sequence[str] = (),
 ) -> RefreshResult:
-    """Ingest, adjust, recompute and score in one plan.
+    """Ingest, adjust, recompute and score.
 
     Per symbol only days from (latest − overlap) on are taken from the batch;
     recurrences need the whole history, so indicators are recomputed in full and
-    only the re-read days come out.  With ``write_root`` the merged prices are
-    written first and everything after reads them back, so the long part of the
-    plan starts from stored data.
+    only the re-read days come out.  Bounds, batch and rejected symbols are stored
+    before anything is written, so they do not move with the table.  With
+    ``write_root``, ``stored`` is its table ``price_daily`` (by ``trade_date_year``);
+    prices, snapshots and scores are upserted there and the run is appended, and the
+    results are read back.  ``order`` names columns of the batch (an ingest number,
+    say) by which the last of several rows of one key is told.
     """
-    bounds = incremental_bounds(universe, stored, end, overlap_days, years)
+    spark = stored.sparkSession
+    bounds = materialise(
+        incremental_bounds(universe, stored, end, overlap_days, years), "bounds"
+    )
     wanted = incoming.join(
         bounds.where(~F.col("skip")).select("symbol", "start_date", "end_date"), "symbol"
     ).where(F.col("trade_date").between(F.col("start_date"), F.col("end_date")))
-    batch = wanted.drop("start_date", "end_date")
+    batch = materialise(wanted.drop("start_date", "end_date"), "batch")
     report = validate_ohlcv(batch, end, universe)
-    bad = report.where(~F.col("ok")).select("symbol", F.array_join("errors", "; ").alias("error"))
+    bad = materialise(
+        report.where(~F.col("ok")).select("symbol", F.array_join("errors", "; ").alias("error")),
+        "bad",
+    )
     good = clean_prices(batch.join(bad, "symbol", "left_anti"))
-    merged = keep_latest(stored, good, KEYS["price_daily"])
-    if write_root is not None:
-        spark = stored.sparkSession
-        path = f"{write_root}/price_daily"
-        write_upsert(
-            spark, path, good.withColumn("trade_year", F.year("trade_date")),
-            KEYS["price_daily"], "trade_year",
+    if write_root is None:
+        merged = keep_latest(stored, good, KEYS["price_daily"], order).drop(*order)
+    else:
+        merged = store_by_year(
+            spark, f"{write_root}/price_daily", good, KEYS["price_daily"], "trade_date", order
         )
-        merged = spark.read.parquet(path).drop("trade_year")
     adjusted = apply_split_adjustment(dedupe_sources(merged), splits)
     ind = add_technical_indicators(adjusted)
     starts = bounds.select("symbol", "start_date")
@@ -219,7 +228,19 @@ def refresh_eod(
     outcome = universe.select("symbol").join(bad, "symbol", "left").withColumn(
         "run_id", F.lit(run_id)
     )
-    return RefreshResult(merged, snapshots, scores, bad, run_summary(outcome))
+    run = run_summary(outcome)
+    if write_root is not None:
+        snapshots = store_by_year(
+            spark, f"{write_root}/technical_snapshots", snapshots, KEYS["technical_snapshots"],
+            "as_of_date", (),
+        )
+        scores = store_by_year(
+            spark, f"{write_root}/composite_scores", scores, KEYS["composite_scores"],
+            "as_of_date", (),
+        )
+        append_run(run, f"{write_root}/refresh_runs")
+        run = spark.read.parquet(f"{write_root}/refresh_runs")
+    return RefreshResult(merged, snapshots, scores, bad, run)
 
 
 def refresh_fundamentals(
@@ -282,13 +303,6 @@ def daily_brief(comparison: DataFrame) -> dict[str, DataFrame]:
     return {"totals": scans.brief_totals(comparison), **lists}
 
 
-def refresh_table(
-    spark: SparkSession, path: str, incoming: DataFrame, table: str, partition: str
-) -> None:
-    """Upsert a cleaned batch into a stored table by its natural key."""
-    write_upsert(spark, path, incoming, KEYS[table], partition)
-
-
 def fundamentals_report(
     annual: DataFrame, quarterly: DataFrame, universe: DataFrame
 ) -> DataFrame:

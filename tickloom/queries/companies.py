@@ -14,7 +14,7 @@ from tickloom.operators.quality import import_preview, validate_annual, validate
 from tickloom.operators.ranking import peer_ranks_long
 from tickloom.queries.registry import query
 from tickloom.queries.sqlbase import part, sql
-from tickloom.session import materialise, shared_dir
+from tickloom.session import materialise, shared_path
 from tickloom.sources import readers
 
 
@@ -167,9 +167,7 @@ SELECT symbol, fiscal_year, period_end, revenue, shares_outstanding FROM annual
 """), "revenue", 4)
 def statement_csv_round_trip(t: Tables) -> DataFrame:
     """Annual rows exported as CSV to the shared folder and scanned back."""
-    from uuid import uuid4
-
-    path = f"{shared_dir(t.spark)}/annual-{uuid4().hex}"
+    path = shared_path(t.spark, "annual")
     readers.write_csv(t.annual, path)
     return readers.annual_csv(t.spark, path).select(
         "symbol", "fiscal_year", "period_end", "revenue", "shares_outstanding"

@@ -12,12 +12,12 @@ from tickloom.operators import ops
 from tickloom.operators import quality as ql
 from tickloom.operators.scoring import research_stance, score_stocks
 from tickloom.operators.signals import latest_with_signals
-from tickloom.operators.upsert import KEYS, keep_latest
+from tickloom.operators.upsert import KEYS, keep_latest, store_by_year
 from tickloom.plans.pipelines import composite_inputs, refresh_eod
 from tickloom.queries import backtests, companies, indicators, state
 from tickloom.queries.registry import query
 from tickloom.queries.sqlbase import part, sql
-from tickloom.session import materialise
+from tickloom.session import materialise, shared_path
 from tickloom.sources import readers
 
 BANKS = ("NATION_1", "NATION_12")
@@ -638,7 +638,7 @@ def provider_health(t: Tables) -> DataFrame:
 
 # --- nightly refresh --------------------------------------------------------------------------
 
-def nightly(t: Tables):
+def nightly(t: Tables, write_root: str | None = None):
     """Stored rows to 30 June 2001, then a batch of one source, split-adjusted.
 
     A symbol with a price below 100 in the batch gets it negated and must fail.
@@ -649,7 +649,13 @@ def nightly(t: Tables):
     batch = prices.where(F.col("source") == "kite").withColumn(
         "close", F.when(close < 100, -close).otherwise(close)
     )
-    return refresh_eod(stored, batch, t.universe, t.splits, t.as_of, run_id="night")
+    if write_root is not None:
+        stored = store_by_year(
+            t.spark, f"{write_root}/price_daily", stored, KEYS["price_daily"], "trade_date", ()
+        )
+    return refresh_eod(
+        stored, batch, t.universe, t.splits, t.as_of, run_id="night", write_root=write_root
+    )
 
 
 part("night_bad", """
@@ -665,7 +671,16 @@ WHERE trade_date <= DATE '2001-06-30'
 """)
 
 
-@query("nightly_refresh_scores", "L4", sql("""
+NIGHT_BARS = """
+SELECT symbol, trade_date, open / f AS open, high / f AS high, low / f AS low, close / f AS close,
+       volume * f AS volume FROM (
+  SELECT k.*, coalesce((SELECT product(value) FROM splits AS s WHERE s.symbol = k.symbol
+                        AND s.ex_date > k.trade_date), 1) AS f FROM (
+    SELECT symbol, trade_date, arg_max(open, p) AS open, arg_max(high, p) AS high,
+           arg_max(low, p) AS low, arg_max(close, p) AS close, arg_max(volume, p) AS volume
+    FROM night_rows GROUP BY 1, 2) AS k)
+"""
+NIGHT_SCORES = sql("""
 SELECT symbol, active_signal_count, round(35 + 0.3 * tech, 1) AS score FROM (
   SELECT i.symbol, s.active_signal_count,
          list_avg(list_filter([least(100, 40 + 12 * s.active_signal_count)::DOUBLE,
@@ -678,19 +693,44 @@ SELECT symbol, active_signal_count, round(35 + 0.3 * tech, 1) AS score FROM (
            greatest(0, least(100, (relative_volume - 0.5) / 1.5 * 100))],
            lambda x: x IS NOT NULL)) AS tech
   FROM (SELECT * FROM ind WHERE n = bar_count) AS i JOIN last_sig AS s ON s.symbol = i.symbol)
-""", bars="""
-SELECT symbol, trade_date, open / f AS open, high / f AS high, low / f AS low, close / f AS close,
-       volume * f AS volume FROM (
-  SELECT k.*, coalesce((SELECT product(value) FROM splits AS s WHERE s.symbol = k.symbol
-                        AND s.ex_date > k.trade_date), 1) AS f FROM (
-    SELECT symbol, trade_date, arg_max(open, p) AS open, arg_max(high, p) AS high,
-           arg_max(low, p) AS low, arg_max(close, p) AS close, arg_max(volume, p) AS volume
-    FROM night_rows GROUP BY 1, 2) AS k)
-"""), "score", 1)
+""", bars=NIGHT_BARS)
+
+
+@query("nightly_refresh_scores", "L4", NIGHT_SCORES, "score", 1)
 def nightly_refresh_scores(t: Tables) -> DataFrame:
     return nightly(t).scores.select("symbol", "active_signal_count", "score")
 
 
+def stored_night(t: Tables):
+    """The same night on stored tables: written, and everything read back."""
+    root = shared_path(t.spark, "night")
+    return nightly(t, root)
+
+
+@query("nightly_refresh_prices", "L4 U1 T1", sql("""
+SELECT symbol, trade_date, source, close, volume FROM night_rows
+"""), "close volume", 4)
+def nightly_refresh_prices(t: Tables) -> DataFrame:
+    return stored_night(t).prices.select("symbol", "trade_date", "source", "close", "volume")
+
+
+@query("nightly_refresh_snapshots", "L4 U2", sql("""
+SELECT i.symbol, i.trade_date AS as_of_date, i.close, i.sma_20, i.ema_50, i.rsi_14, i.atr_14
+FROM ind AS i JOIN (
+  SELECT symbol, max(trade_date) - 5 AS since FROM bars2 WHERE trade_date <= DATE '2001-06-30'
+  GROUP BY symbol) AS s ON s.symbol = i.symbol AND i.trade_date >= s.since
+""", bars=NIGHT_BARS), "close sma_20 ema_50 rsi_14 atr_14", 4)
+def nightly_refresh_snapshots(t: Tables) -> DataFrame:
+    return stored_night(t).snapshots.select(
+        "symbol", "as_of_date", "close", "sma_20", "ema_50", "rsi_14", "atr_14"
+    )
+
+
+@query("nightly_refresh_stored_scores", "L4 U7", NIGHT_SCORES, "score", 1)
+def nightly_refresh_stored_scores(t: Tables) -> DataFrame:
+    return stored_night(t).scores.select("symbol", "active_signal_count", "score")
+
+
 @query("nightly_refresh_run", "L4 U14", sql("""
 SELECT 'night' AS run_id, count(*) AS requested_symbols,
        count(*) - count(b.symbol) AS successful_symbols, count(b.symbol) AS failed_symbols,

@@ -2,20 +2,18 @@
 
 from __future__ import annotations
 
-from uuid import uuid4
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tickloom.bridge import Tables
 from tickloom.queries.registry import query
 from tickloom.queries.sqlbase import sql
-from tickloom.session import shared_dir
+from tickloom.session import shared_path
 from tickloom.streaming import jobs
 
 
 def _folder(t: Tables, name: str) -> str:
-    return f"{shared_dir(t.spark)}/{name}-{uuid4().hex}"
+    return shared_path(t.spark, name)
 
 
 def _timed(events: DataFrame) -> DataFrame:

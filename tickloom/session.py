@@ -1,9 +1,11 @@
-"""Session helpers: local sessions for tests and bench, and the checkpoint folder."""
+"""Session helpers: local sessions for tests and bench, and tables in the shared folder."""
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
+from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -32,23 +34,62 @@ def local_session(app: str = "tickloom", cpus: int | str = 8, memory: str = "8g"
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor can reach, named by ``spark.checkpoint.dir``.
 
-    A machine-local folder is only ever chosen in local mode, where driver and
-    executors share one disk; on a cluster a missing setting is an error.
+    Only where that is unset, as in tests, and driver and executors are one process,
+    is a folder of its own made; on a cluster a missing setting is an error.
     """
-    configured = spark.conf.get("spark.checkpoint.dir", None)
-    if configured:
-        return configured
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-    chosen = tempfile.mkdtemp(prefix="tickloom-")
-    spark.conf.set("spark.checkpoint.dir", chosen)
-    return chosen
-
-
-def materialise(df: DataFrame) -> DataFrame:
-    """Cut lineage with a reliable checkpoint in the shared folder."""
-    spark = df.sparkSession
     context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(shared_dir(spark))
-    return df.checkpoint()
+    configured = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if not configured:
+        if not context.master.startswith("local") or context.master.startswith("local-"):
+            raise ValueError("set spark.checkpoint.dir to a folder all executors share")
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="tickloom-"))
+        configured = context.getCheckpointDir()
+    return configured.rstrip("/")
+
+
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new path for one table or stream of this application."""
+    return f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/{name}-{uuid4().hex}"
+
+
+def path_exists(spark: SparkSession, path: str) -> bool:
+    context = spark.sparkContext
+    where = context._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(context._jsc.hadoopConfiguration()).exists(where)
+
+
+def delete_path(spark: SparkSession, path: str) -> None:
+    """Remove a folder of ours, in whatever store it lies."""
+    context = spark.sparkContext
+    where = context._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(context._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def materialise(df: DataFrame, name: str = "table") -> DataFrame:
+    """Cut lineage: the rows as parquet in the shared folder, read back.
+
+    Readers prune columns, push filters and know the size. The folder of an
+    application goes when its process ends.
+    """
+    spark = df.sparkSession
+    path = shared_path(spark, name)
+    df.write.parquet(path)
+    _clean_at_exit(spark)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+_WATCHED: set[str] = set()
+
+
+def _clean_at_exit(spark: SparkSession) -> None:
+    application = spark.sparkContext.applicationId
+    if application in _WATCHED:
+        return
+    _WATCHED.add(application)
+    folder = f"{shared_dir(spark)}/{application}"
+
+    def clean() -> None:
+        if spark.sparkContext._jsc is not None:
+            delete_path(spark, folder)
+
+    atexit.register(clean)

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tickloom.operators.upsert import KEYS, clean_prices, write_upsert
+from tickloom.session import path_exists
 
 
 def event_bars(
@@ -84,24 +85,21 @@ def latest_batches(spark: SparkSession, path: str, keys: Sequence[str]) -> DataF
     return df.where("_pos = 1").drop("_pos", "batch")
 
 
-def ingest_prices(stream: DataFrame, table: str, checkpoint: str) -> None:
+def ingest_prices(
+    stream: DataFrame, table: str, checkpoint: str, order: Sequence[str] = ()
+) -> None:
     """Incremental price ingest: late corrections arrive as repeated days and replace
-    the stored row, so nothing is dropped for being late."""
+    the stored row, so nothing is dropped for being late. ``order`` names the columns
+    by which the last of several rows of one key in a batch is told."""
 
     def handle(batch: DataFrame, number: int) -> None:
         clean = clean_prices(batch).withColumn("trade_year", F.year("trade_date"))
         spark = batch.sparkSession
-        if not _exists(spark, table):
-            clean.limit(0).write.partitionBy("trade_year").parquet(table)
+        if not path_exists(spark, table):
+            clean.limit(0).drop(*order).write.partitionBy("trade_year").parquet(table)
         write_upsert(
-            spark, table, clean, KEYS["price_daily"], "trade_year", schema=clean.schema
+            spark, table, clean, KEYS["price_daily"], "trade_year", order,
+            schema=clean.drop(*order).schema,
         )
 
     run_available(stream, handle, checkpoint)
-
-
-def _exists(spark: SparkSession, path: str) -> bool:
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    files = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    return files.exists(target)
