@@ -33,7 +33,7 @@ def test_recurrences_carry_over_blocks(spark):
     df = with_history_block(bars(spark, closes), block_days=60)
     out = smooth(number_rows(df), [
         span("e12", F.col("close"), 12), span("e200", F.col("close"), 200),
-        Recurrence("w14", F.col("close"), 1 / 14, 1, 14),
+        Recurrence("w14", F.col("close"), 1 / 14, 14),
     ])
     got = ordered(out.select("trade_date", "e12", "e200", "w14"), "trade_date")
     s = pd.Series(closes)
@@ -77,6 +77,41 @@ def test_warm_up_edges(spark, n):
     assert_same(got.prior_sma_200, c.rolling(200).mean().shift(1))
 
 
+@pytest.mark.parametrize("gaps", [(0, 1, 5), (30,), (40, 41, 42, 100), (259,), (0, 3, 60, 61, 200, 258, 259)])
+def test_missing_closes(spark, gaps):
+    """Means need all values, averages keep their state over a gap, returns are padded."""
+    closes = walk(260)
+    df = bars(spark, closes).withColumn(
+        "close", F.when(~F.datediff("trade_date", F.lit(dt.date(2020, 1, 1))).isin(list(gaps)), F.col("close")))
+    got = ordered(add_technical_indicators(df), "trade_date")
+    c = pd.Series(closes)
+    h, low = c + 1, c - 1
+    c[list(gaps)] = np.nan
+    d = c.diff()
+    gain = d.clip(lower=0).ewm(alpha=1 / 14, adjust=False, min_periods=14).mean()
+    loss = (-d.clip(upper=0)).ewm(alpha=1 / 14, adjust=False, min_periods=14).mean()
+    assert_same(got.rsi_14, (100 - 100 / (1 + gain / loss)).where(loss != 0, 100.0))
+    tr = pd.concat([h - low, (h - c.shift()).abs(), (low - c.shift()).abs()], axis=1).max(axis=1)
+    assert_same(got.atr_14, tr.ewm(alpha=1 / 14, adjust=False, min_periods=14).mean())
+    for k in (20, 50, 100, 200):
+        assert_same(got[f"sma_{k}"], c.rolling(k).mean())
+        assert_same(got[f"ema_{k}"], c.ewm(span=k, adjust=False, min_periods=k).mean())
+    e12, e26 = (c.ewm(span=k, adjust=False, min_periods=k).mean() for k in (12, 26))
+    assert_same(got.macd, e12 - e26)
+    assert_same(got.macd_signal, (e12 - e26).ewm(span=9, adjust=False, min_periods=9).mean())
+    assert_same(got.bb_upper, c.rolling(20).mean() + 2 * c.rolling(20).std())
+    padded = c.ffill()
+    returns = padded / padded.shift() - 1
+    assert_same(got.historical_volatility_20, returns.rolling(20).std() * 252**0.5 * 100)
+
+
+def test_blocks_with_too_many_rows_are_an_error(spark):
+    df = bars(spark, [1.0] * 40).select(
+        "*", F.explode(F.sequence(F.lit(1), F.lit(100))).alias("copy"))
+    with pytest.raises(Exception, match="too many rows"):
+        number_rows(df).agg(F.max("_block_row")).collect()
+
+
 def test_flat_prices_give_full_rsi_and_zero_volume_gives_null(spark):
     got = ordered(add_technical_indicators(bars(spark, [10.0] * 30, volumes=[0.0] * 30)), "trade_date")
     assert got.rsi_14.iloc[-1] == 100.0

@@ -1,11 +1,12 @@
 """Exponential recurrences as windowed sums.
 
-``e_t = (1-a)·e_(t-1) + a·x_t`` started at the first value equals
-``q^t · Σ c_i·x_i·q^(-i)`` with ``q = 1-a``, first weight 1 and later ones ``a``.
-``q^(-i)`` would overflow on a long history, so the sum runs inside one block of
-calendar days and the state at each earlier block's end is carried forward,
-decayed by the rows in between.  Exact for any history length, JVM only, and
-one sort for all of it.
+``e = a·e_before + b·x`` at each row with a value, started at the first one.  After a gap of
+``d`` rows the old average weighs ``w = (1-alpha)^d``, so ``a = w/(w+alpha)`` and
+``b = alpha/(w+alpha)``; without gaps that is ``1-alpha`` and ``alpha``.  Rows without a value
+keep the average.  With ``L`` the running sum of ``ln a`` the average is
+``exp(L)·Σ b·x·exp(-L)``.  ``exp(-L)`` would overflow on a long history, so the sum runs
+inside one block of calendar days and the state at each earlier block's end is carried
+forward, decayed by ``L``.  Exact for any history length, JVM only, and one sort for all of it.
 """
 
 from __future__ import annotations
@@ -21,21 +22,22 @@ from tickloom.operators.windows import BLOCK, bars_window, with_history_block
 ROW = "bar_number"
 BLOCK_ROW = "_block_row"
 BLOCK_END = "_block_end"
+#: 0.8 ^ -3000 is still a double; no recurrence here decays faster.
+MOST_ROWS = 3000
 
 
 @dataclass(frozen=True)
 class Recurrence:
-    """``name`` = smoothed ``value``; ``first_row`` is where it starts."""
+    """``name`` = smoothed ``value``, NULL before ``min_values`` values."""
 
     name: str
     value: Column
     alpha: float
-    first_row: int = 1
-    min_rows: int = 1
+    min_values: int = 1
 
 
-def span(name: str, value: Column, periods: int, first_row: int = 1, min_rows: int | None = None):
-    return Recurrence(name, value, 2.0 / (periods + 1), first_row, min_rows or periods)
+def span(name: str, value: Column, periods: int, min_values: int | None = None):
+    return Recurrence(name, value, 2.0 / (periods + 1), min_values or periods)
 
 
 def number_rows(df: DataFrame, **extra: Column) -> DataFrame:
@@ -51,7 +53,11 @@ def number_rows(df: DataFrame, **extra: Column) -> DataFrame:
         }
     )
     in_block = Window.partitionBy("symbol", BLOCK).orderBy("trade_date")
-    return numbered.withColumn(BLOCK_ROW, F.row_number().over(in_block))
+    number = F.row_number().over(in_block)
+    fits = F.when(number <= MOST_ROWS, number).otherwise(
+        F.raise_error(F.lit("a history block has too many rows; use fewer days per block"))
+    )
+    return numbered.withColumn(BLOCK_ROW, fits.cast("int"))
 
 
 def smooth(df: DataFrame, recurrences: Sequence[Recurrence]) -> DataFrame:
@@ -61,30 +67,46 @@ def smooth(df: DataFrame, recurrences: Sequence[Recurrence]) -> DataFrame:
         .orderBy("trade_date")
         .rowsBetween(Window.unboundedPreceding, 0)
     )
+    so_far = bars_window(df).rowsBetween(Window.unboundedPreceding, 0)
     before = bars_window(df).rowsBetween(Window.unboundedPreceding, -1)
-    row, block_row = F.col(ROW), F.col(BLOCK_ROW)
+    row = F.col(ROW)
 
-    local, carried, final = {}, {}, {}
+    seen, logs, sums, local, carried, final = {}, {}, {}, {}, {}, {}
+    for r in recurrences:
+        valid = r.value.isNotNull()
+        seen[f"_last_{r.name}"] = F.max(F.when(valid, row)).over(before)
+        seen[f"_seen_{r.name}"] = F.count(r.value).over(so_far)
+    for r in recurrences:
+        old = F.pow(F.lit(1.0 - r.alpha), row - F.col(f"_last_{r.name}"))
+        decayed = r.value.isNotNull() & F.col(f"_last_{r.name}").isNotNull()
+        logs[f"_log_{r.name}"] = F.when(decayed, F.log(old / (old + r.alpha))).otherwise(0.0)
+        logs[f"_weight_{r.name}"] = F.when(decayed, r.alpha / (old + r.alpha)).otherwise(1.0)
     for r in recurrences:
-        q = F.lit(1.0 - r.alpha)
-        weight = F.when(row == r.first_row, F.lit(1.0)).otherwise(F.lit(r.alpha))
-        term = F.when(row >= r.first_row, weight * r.value * F.pow(q, -block_row))
-        local[f"_in_{r.name}"] = F.pow(q, block_row) * F.sum(term).over(in_block)
+        sums[f"_all_{r.name}"] = F.sum(f"_log_{r.name}").over(so_far)
+        sums[f"_own_{r.name}"] = F.sum(f"_log_{r.name}").over(in_block)
     for r in recurrences:
-        state = F.struct(row.alias("row"), F.coalesce(f"_in_{r.name}", F.lit(0.0)).alias("value"))
+        term = F.col(f"_weight_{r.name}") * r.value * F.exp(-F.col(f"_own_{r.name}"))
+        local[f"_in_{r.name}"] = F.exp(f"_own_{r.name}") * F.sum(term).over(in_block)
+    for r in recurrences:
+        state = F.struct(
+            F.col(f"_all_{r.name}").alias("log"),
+            F.coalesce(f"_in_{r.name}", F.lit(0.0)).alias("value"),
+        )
         carried[f"_ends_{r.name}"] = F.collect_list(F.when(F.col(BLOCK_END), state)).over(before)
     for r in recurrences:
         ends, inside = F.col(f"_ends_{r.name}"), F.coalesce(f"_in_{r.name}", F.lit(0.0))
         full = F.when(F.size(ends) == 0, inside).otherwise(
-            F.aggregate(ends, inside, _decayed(1.0 - r.alpha, row))
+            F.aggregate(ends, inside, _decayed(F.col(f"_all_{r.name}")))
         )
-        final[r.name] = F.when(row >= r.first_row + r.min_rows - 1, full)
-    out = df.withColumns(local).withColumns(carried).withColumns(final)
-    return out.drop(*local, *carried)
+        final[r.name] = F.when(F.col(f"_seen_{r.name}") >= r.min_values, full)
+    out = df
+    for step in (seen, logs, sums, local, carried, final):
+        out = out.withColumns(step)
+    return out.drop(*seen, *logs, *sums, *local, *carried)
 
 
-def _decayed(q: float, row: Column):
+def _decayed(log: Column):
     def add(acc: Column, end: Column) -> Column:
-        return acc + end["value"] * F.pow(F.lit(q), row - end["row"])
+        return acc + end["value"] * F.exp(log - end["log"])
 
     return add

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import WindowSpec
 
 BLOCK = "history_block"
-BLOCK_DAYS = 3000
+BLOCK_DAYS = 1000
 
 
 def with_history_block(df: DataFrame, block_days: int = BLOCK_DAYS) -> DataFrame:
