@@ -5,32 +5,41 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tickloom.operators.upsert import by_values, last_per_key
+
+_PERIOD = ("symbol", "index_name", "from_date", "to_date", "active", "source")
+
 
 def sync_snapshot(
     history: DataFrame, snapshot: DataFrame, index_name: str, effective: Column, source: str
 ) -> DataFrame:
     """New symbols open a period, absent ones close the day before, the rest stay.
 
-    An empty snapshot is an error: the whole index would close.
+    All columns of the history stay; those that the snapshot also has (name, industry,
+    isin and the like) are refreshed. An empty snapshot is an error: the whole index
+    would close.
     """
     if snapshot.isEmpty():
         raise ValueError("an index snapshot must not be empty")
     mine = (F.col("index_name") == index_name) & (F.col("source") == source)
     is_open = mine & F.col("to_date").isNull()
-    present = snapshot.select(F.col("symbol")).distinct().withColumn("_in", F.lit(True))
     # Open rows of this index never share a symbol, so the join adds no rows.
-    opened = history.where(is_open)
-    both = opened.join(present, "symbol", "full")
-    merged = both.select(
-        F.coalesce("index_name", F.lit(index_name)).alias("index_name"),
-        "symbol",
-        F.coalesce("from_date", effective).alias("from_date"),
-        F.when(F.col("_in").isNull(), F.date_sub(effective, 1)).alias("to_date"),
-        F.col("_in").isNotNull().alias("active"),
-        F.coalesce("source", F.lit(source)).alias("source"),
+    carried = [c for c in snapshot.columns if c in history.columns and c not in _PERIOD]
+    present = last_per_key(snapshot, ["symbol"], by_values(snapshot, ["symbol"])).select(
+        "symbol", F.lit(True).alias("_in"), *[F.col(c).alias(f"_new_{c}") for c in carried]
     )
+    both = history.where(is_open).join(present, "symbol", "full")
+    values = {
+        "index_name": F.coalesce("index_name", F.lit(index_name)),
+        "from_date": F.coalesce("from_date", effective),
+        "to_date": F.when(F.col("_in").isNull(), F.date_sub(effective, 1)),
+        "active": F.col("_in").isNotNull(),
+        "source": F.coalesce("source", F.lit(source)),
+        **{c: F.coalesce(f"_new_{c}", c) for c in carried},
+    }
+    merged = both.select(*[values.get(c, F.col(c)).alias(c) for c in history.columns])
     rest = history.where(~F.coalesce(is_open, F.lit(False)))
-    return rest.select(*merged.columns).unionByName(merged)
+    return rest.unionByName(merged)
 
 
 def periods_from_snapshots(snapshots: DataFrame, index_name: str, source: str) -> DataFrame:
@@ -69,7 +78,7 @@ def replay_snapshots(
     mine = (F.col("index_name") == index_name) & (F.col("source") == source)
     if not replace_existing and not history.where(mine).isEmpty():
         raise ValueError("history exists already; pass replace_existing to rebuild it")
-    return history.where(~mine).unionByName(fresh)
+    return history.where(~mine).unionByName(fresh, allowMissingColumns=True)
 
 
 def changes(before: DataFrame, after: DataFrame) -> DataFrame:

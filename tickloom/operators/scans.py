@@ -103,10 +103,12 @@ def brief_totals(comparison: DataFrame, min_score: float = 60.0, step: float = 5
 
 
 def brief_list(
-    comparison: DataFrame, kind: str, *, min_score: float = 60.0, step: float = 5.0, limit: int = 10
+    comparison: DataFrame, kind: str, *, min_score: float = 60.0, step: float = 5.0,
+    limit: int | None = None,
 ) -> DataFrame:
     """One ranked list of the brief: improved, weakened, new_opportunities, new_signals,
-    data_quality."""
+    data_quality; at most ``limit`` rows (10, data_quality 15, unless given)."""
+    limit = limit if limit is not None else 15 if kind == "data_quality" else 10
     ok = F.col("error").isNull()
     change = F.coalesce("score_change", F.lit(0.0))
     tail = [F.desc_nulls_last("composite_score"), "symbol"]
@@ -127,7 +129,7 @@ def brief_list(
         rows = ~ok | (text != "")
         return comparison.where(rows).orderBy(
             F.desc_nulls_last("error"), text.desc_nulls_last(), "symbol"
-        ).limit(15)
+        ).limit(limit)
     else:
         raise ValueError(f"unknown brief list: {kind}")
     return comparison.where(rows).orderBy(first, *tail).limit(limit)
@@ -164,7 +166,7 @@ def shortlist_actions(watchlist: DataFrame, limit: int = 15) -> DataFrame:
     )
 
 
-def scan_freshness(runs: DataFrame, now: Column) -> DataFrame:
-    """Freshness of the latest run per universe."""
+def scan_freshness(runs: DataFrame, now: Column, fresh: int = 24, stale: int = 72) -> DataFrame:
+    """Freshness of the latest run per universe; limits in hours."""
     last = runs.groupBy("universe_name").agg(F.max("created_at").alias("latest_run_at"))
-    return last.withColumn("freshness", freshness("latest_run_at", now))
+    return last.withColumn("freshness", freshness("latest_run_at", now, fresh, stale))

@@ -4,6 +4,7 @@ from tickloom.queries.registry import REGISTRY, oracle_texts, query_functions  #
 from tickloom.queries import (  # noqa: F401,E402
     backtests,
     companies,
+    files,
     indicators,
     operations,
     rules,

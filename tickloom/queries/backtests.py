@@ -164,15 +164,20 @@ SELECT (SELECT count(*) FROM trades) AS total_signals, count(*) AS completed_tra
        count(DISTINCT symbol) AS unique_symbols,
        (SELECT max(c) FROM (SELECT count(*) AS c FROM done GROUP BY symbol)) * 100.0::DOUBLE
          / count(*) AS max_symbol_concentration_pct,
-       (exp(sum(step) * 365 / greatest(max(exit_date) - min(entry_date), 1)) - 1) * 100 AS cagr_pct
+       (exp(sum(step) * 365 / greatest(max(exit_date) - min(entry_date), 1)) - 1) * 100 AS cagr_pct,
+       (exp(sum(step)) - 1) * 100 AS absolute_return_pct,
+       (SELECT min((exp(level - peak) - 1) * 100) FROM (
+          SELECT level, max(level) OVER (ORDER BY k) AS peak FROM curve)) AS max_drawdown_pct,
+       count(*) AS turnover, 20.0::DOUBLE AS avg_holding_period_days
 FROM done
-"""), "win_rate_pct avg_return_pct sharpe_ratio sortino_ratio exposure_time_pct "
+"""), "win_rate_pct absolute_return_pct max_drawdown_pct avg_holding_period_days avg_return_pct sharpe_ratio sortino_ratio exposure_time_pct "
       "max_symbol_concentration_pct cagr_pct", 3)
 def portfolio_metrics(t: Tables) -> DataFrame:
     return bt.portfolio_metrics(stored_trades(t)).select(
         "total_signals", "completed_trades", "pending_trades", "win_rate_pct", "avg_return_pct",
         "sharpe_ratio", "sortino_ratio", "exposure_time_pct", "unique_symbols",
-        "max_symbol_concentration_pct", "cagr_pct",
+        "max_symbol_concentration_pct", "cagr_pct", "absolute_return_pct", "max_drawdown_pct",
+        "turnover", "avg_holding_period_days",
     )
 
 

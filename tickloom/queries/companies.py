@@ -48,10 +48,34 @@ def quarterly_statements(t: Tables) -> DataFrame:
 
 
 @query("statement_views", "P36", sql("""
-SELECT symbol, fiscal_year, operating_cash_flow, capital_expenditure FROM annual
-"""), "operating_cash_flow capital_expenditure", 4)
+SELECT symbol, fiscal_year, operating_cash_flow, capital_expenditure, free_cash_flow FROM annual
+"""), "operating_cash_flow capital_expenditure free_cash_flow", 4)
 def statement_views(t: Tables) -> DataFrame:
-    return readers.statement_view(t.annual, "cash_flow").drop("free_cash_flow")
+    return readers.statement_view(t.annual, "cash_flow")
+
+
+@query("balance_sheet_view", "P36", sql("""
+SELECT symbol, fiscal_year, total_assets, total_liabilities, current_assets, current_liabilities,
+       retained_earnings, book_value, total_liabilities * 0.5 AS debt, net_debt,
+       current_assets * 0.1 AS cash_and_equivalents, shares_outstanding,
+       shares_outstanding * 10.0 AS market_cap, CAST(NULL AS DOUBLE) AS enterprise_value FROM annual
+"""), "total_assets total_liabilities current_assets current_liabilities retained_earnings book_value "
+      "debt net_debt cash_and_equivalents market_cap enterprise_value", 4)
+def balance_sheet_view(t: Tables) -> DataFrame:
+    full = t.annual.withColumns({
+        "debt": F.col("total_liabilities") * 0.5,
+        "cash_and_equivalents": F.col("current_assets") * 0.1,
+        "market_cap": F.col("shares_outstanding") * 10.0,
+        "enterprise_value": F.lit(None).cast("double"),
+    })
+    return readers.statement_view(full, "balance")
+
+
+@query("income_statement_view", "P36", sql("""
+SELECT symbol, fiscal_year, revenue, gross_profit, ebitda, ebit, net_income, eps FROM annual
+"""), "revenue gross_profit ebitda ebit net_income eps", 4)
+def income_statement_view(t: Tables) -> DataFrame:
+    return readers.statement_view(t.annual, "income")
 
 
 @query("combined_statements", "J7", sql("""
@@ -83,10 +107,10 @@ _LABELS = {
 
 
 @query("statement_rows_to_columns", "P34", sql("""
-SELECT symbol, '1997' AS period, revenue, net_income, total_assets FROM annual
-WHERE fiscal_year = 1997
-UNION ALL
-SELECT symbol, '1998', revenue, net_income, total_assets FROM annual WHERE fiscal_year = 1998
+SELECT a.symbol, CAST(y.fiscal_year AS VARCHAR) AS period, b.revenue, b.net_income, b.total_assets
+FROM (SELECT DISTINCT symbol FROM annual) AS a
+CROSS JOIN (SELECT DISTINCT fiscal_year FROM annual) AS y
+LEFT JOIN annual AS b ON b.symbol = a.symbol AND b.fiscal_year = y.fiscal_year
 """), "revenue net_income total_assets", 4)
 def statement_rows_to_columns(t: Tables) -> DataFrame:
     """Statements turned into label rows × year columns, a weaker label included, and back."""
@@ -98,13 +122,13 @@ def statement_rows_to_columns(t: Tables) -> DataFrame:
         F.struct(F.lit("Total Assets").alias("label"), F.col("total_assets").alias("value")),
         F.struct(F.lit("Unknown Line").alias("label"), F.lit(1.0).alias("value")),
     )
+    years = sorted(r[0] for r in t.annual.select("fiscal_year").distinct().collect())
     wide = (
-        t.annual.where(F.col("fiscal_year").isin(1997, 1998))
-        .select("symbol", "fiscal_year", F.explode(rows).alias("v"))
+        t.annual.select("symbol", "fiscal_year", F.explode(rows).alias("v"))
         .groupBy("symbol", F.col("v.label").alias("label"))
-        .agg(*[F.max(F.when(F.col("fiscal_year") == y, value)).alias(str(y)) for y in (1997, 1998)])
+        .agg(*[F.max(F.when(F.col("fiscal_year") == y, value)).alias(str(y)) for y in years])
     )
-    return fu.statement_to_fields(wide, ["1997", "1998"], _LABELS)
+    return fu.statement_to_fields(wide, [str(y) for y in years], _LABELS)
 
 
 @query("derived_statement_fields", "P35 P33", sql("""
@@ -146,8 +170,8 @@ def market_cap_buckets(t: Tables) -> DataFrame:
 
 @query("manual_statement_import", "P37 L12", sql("""
 SELECT symbol, fiscal_year, -revenue AS revenue, round(eps, 2) AS eps,
-       'manual' AS source, 'INR' AS currency FROM annual
-"""), "revenue", 4)
+       round(book_value / 1e7, 6) * 1e7 AS book_value, 'manual' AS source, 'INR' AS currency FROM annual
+"""), "revenue book_value", 3)
 def manual_statement_import(t: Tables) -> DataFrame:
     """Statements written the way a spreadsheet shows them, then read back."""
     crore = F.format_number(F.abs(F.col("revenue")) / 1e7, 11)
@@ -156,9 +180,10 @@ def manual_statement_import(t: Tables) -> DataFrame:
         F.concat(F.col("fiscal_year").cast("string"), F.lit(".0")).alias("Financial Year"),
         F.concat(F.lit("("), crore, F.lit(")")).alias("Sales"),
         F.concat(F.lit("Rs. "), F.format_number("eps", 2)).alias("EPS (Rs)"),
+        F.format_number(F.round(F.col("book_value") / 1e7, 6), 6).alias("Book Value"),
     )
     return readers.import_statements(text, source="manual").select(
-        "symbol", "fiscal_year", "revenue", "eps", "source", "currency"
+        "symbol", "fiscal_year", "revenue", "eps", "book_value", "source", "currency"
     )
 
 

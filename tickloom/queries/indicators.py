@@ -209,3 +209,48 @@ def indicator_refresh_window(t: Tables) -> DataFrame:
         "symbol", F.col("trade_date").alias("as_of_date"), "sma_20", "ema_20", "rsi_14"
     )
     return clean_snapshots(df, ["sma_20", "ema_20", "rsi_14"], F.date_sub(t.as_of, 5))
+
+
+# --- missing closes ----------------------------------------------------------------------------
+
+part("gapbars", """
+SELECT symbol, trade_date, row_number() OVER (PARTITION BY symbol ORDER BY trade_date) AS n,
+       CASE WHEN (trade_date - DATE '1970-01-01') % 33 <> 0 THEN close END AS c
+FROM bars
+""")
+part("gapema", """
+SELECT symbol, n, c AS y, CASE WHEN c IS NULL THEN 0 ELSE 1 END AS seen, 1.0::DOUBLE AS w
+FROM gapbars WHERE n = 1
+UNION ALL
+SELECT b.symbol, b.n,
+       CASE WHEN b.c IS NULL THEN e.y WHEN e.y IS NULL THEN b.c
+            ELSE (e.w * (1 - 2.0 / 21) * e.y + 2.0 / 21 * b.c) / (e.w * (1 - 2.0 / 21) + 2.0 / 21) END,
+       e.seen + CASE WHEN b.c IS NULL THEN 0 ELSE 1 END,
+       CASE WHEN b.c IS NULL AND e.y IS NOT NULL THEN e.w * (1 - 2.0 / 21) ELSE 1.0 END
+FROM gapema AS e JOIN gapbars AS b ON b.symbol = e.symbol AND b.n = e.n + 1
+""")
+
+
+@query("indicators_with_gaps", "W1 W2 W5 W7", sql("""
+SELECT b.symbol, b.trade_date, b.close, sma_20, CASE WHEN e.seen >= 20 THEN e.y END AS ema_20,
+       sma_20 + 2 * std20 AS bb_upper,
+       CASE WHEN n_ret = 20 THEN ret_std * sqrt(252) * 100 END AS historical_volatility_20
+FROM (
+  SELECT symbol, trade_date, n, c AS close, CASE WHEN count(c) OVER w = 20 THEN avg(c) OVER w END AS sma_20,
+         CASE WHEN count(c) OVER w = 20 THEN stddev_samp(c) OVER w END AS std20,
+         count(ret) OVER w AS n_ret, stddev_samp(ret) OVER w AS ret_std
+  FROM (
+    SELECT *, padded / lag(padded) OVER (PARTITION BY symbol ORDER BY n) - 1 AS ret FROM (
+      SELECT *, last_value(c IGNORE NULLS) OVER (PARTITION BY symbol ORDER BY n) AS padded
+      FROM gapbars) AS p) AS r
+  WINDOW w AS (PARTITION BY symbol ORDER BY n ROWS 19 PRECEDING)) AS b
+JOIN gapema AS e ON e.symbol = b.symbol AND e.n = b.n
+"""), "close sma_20 ema_20 bb_upper historical_volatility_20", 3)
+def indicators_with_gaps(t: Tables) -> DataFrame:
+    """Indicators where about one close in 33 is missing."""
+    kept = F.datediff("trade_date", F.lit("1970-01-01").cast("date")) % 33 != 0
+    bars = t.bars.withColumn("close", F.when(kept, F.col("close")))
+    return add_technical_indicators(bars).select(
+        "symbol", "trade_date", "close", "sma_20", "ema_20", "bb_upper",
+        "historical_volatility_20",
+    )

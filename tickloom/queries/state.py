@@ -594,11 +594,19 @@ def watchlist_with_scores(t: Tables) -> DataFrame:
 
 
 @query("scan_freshness", "P39", sql("""
-SELECT 'all' AS universe_name, 'aging' AS freshness
+SELECT symbol AS universe_name,
+       CASE WHEN max(CASE WHEN l_quantity >= 10 THEN trade_date END) IS NULL THEN 'unknown'
+            WHEN max(CASE WHEN l_quantity >= 10 THEN trade_date END) >= max(as_of) - 59 THEN 'fresh'
+            WHEN max(CASE WHEN l_quantity >= 10 THEN trade_date END) >= max(as_of) - 89 THEN 'aging'
+            ELSE 'stale' END AS freshness
+FROM lines CROSS JOIN today WHERE l_quantity >= 10 OR l_partkey % 7 = 0 GROUP BY symbol
 """))
 def scan_freshness(t: Tables) -> DataFrame:
-    """Two days after the last run."""
-    runs = t.lines.agg(F.max("trade_date").cast("timestamp").alias("created_at")).withColumn(
-        "universe_name", F.lit("all")
+    """One universe per symbol, its runs on days with a larger line, judged by 60 and 90 days."""
+    run = F.when(F.col("l_quantity") >= 10, F.col("trade_date"))
+    runs = t.lines.where((F.col("l_quantity") >= 10) | (F.col("l_partkey") % 7 == 0)).select(
+        F.col("symbol").alias("universe_name"), run.cast("timestamp").alias("created_at")
+    )
+    return scans.scan_freshness(runs, F.date_add(t.as_of, 1), fresh=60 * 24, stale=90 * 24).select(
+        "universe_name", "freshness"
     )
-    return scans.scan_freshness(runs, F.date_add(t.as_of, 2)).select("universe_name", "freshness")
