@@ -76,7 +76,7 @@ def test_entry_and_contract(spark):
 
 def test_every_inventory_family_is_covered():
     covered = {i for q in REGISTRY.values() for i in q.covers}
-    sizes = {"U": 16, "P": 41, "J": 12, "A": 28, "W": 25, "O": 10, "E": 5, "F": 8, "M": 9, "L": 13,
+    sizes = {"S": 16, "U": 16, "P": 41, "J": 12, "A": 28, "W": 25, "O": 10, "E": 5, "F": 8, "M": 9, "L": 13,
              "T": 4}
     absent = [f"{f}{i}" for f, n in sizes.items() for i in range(1, n + 1)
               if f"{f}{i}" not in covered]

@@ -346,12 +346,25 @@ SELECT symbol, round(round(total, 9), 1) AS score, round(round(f, 9), 1) AS fund
        CASE WHEN total >= 80 THEN 'Strong research candidate'
             WHEN total >= 60 THEN 'Watchlist candidate'
             WHEN total >= 40 THEN 'Neutral / needs more evidence' ELSE 'High caution' END AS band,
-       active_signal_count, risks
-FROM (SELECT *, f * 0.35 + tech * 0.30 + flow * 0.17 + ev * 0.12 + macro * 0.06 AS total,
-        least(6, len(list_filter([NOT fin AND altman_z_score < 1.8, active_signal_count = 0,
-          close <= ema_200, d_trend = 'falling', fii_trend = 'bearish', dii_trend = 'bearish',
-          volatility_multiple > 1.5, macro <= 35], lambda v: coalesce(v, false)))) AS risks
-      FROM score_parts)
+       active_signal_count, notes, len(notes) AS risks, incomplete
+FROM (SELECT p.*, f * 0.35 + tech * 0.30 + flow * 0.17 + ev * 0.12 + macro * 0.06 AS total,
+        list_slice(list_filter([
+          CASE WHEN fin AND k.gnpa >= 5 THEN 'GNPA is' END,
+          CASE WHEN fin AND k.nnpa >= 2 THEN 'NNPA is' END,
+          CASE WHEN fin AND k.capital < 13 THEN 'Capital adequacy' END,
+          CASE WHEN fin AND k.credit > k.deposit + 8 THEN 'Credit growth' END,
+          CASE WHEN NOT fin AND altman_z_score < 1.8 THEN 'Low Altman' END,
+          CASE WHEN active_signal_count = 0 THEN 'No prebuilt' END,
+          CASE WHEN close <= ema_200 THEN 'Price is' END,
+          CASE WHEN d_trend = 'falling' THEN 'Delivery trend' END,
+          CASE WHEN fii_trend = 'bearish' THEN 'FII flow' END,
+          CASE WHEN dii_trend = 'bearish' THEN 'DII flow' END,
+          CASE WHEN volatility_multiple > 1.5 THEN 'Result-period volatility' END,
+          CASE WHEN macro <= 35 THEN 'Fundamental ranks' END], lambda v: v IS NOT NULL), 1, 6) AS notes,
+        coalesce((fin AND (k.symbol IS NULL OR k.base >= 5 OR k.gnpa IS NULL)) OR rsi_14 IS NULL
+          OR close IS NULL OR ema_50 IS NULL OR ema_200 IS NULL OR latest_pct IS NULL
+          OR volatility_multiple IS NULL OR f IS NULL OR macro IS NULL, false) AS incomplete
+      FROM score_parts AS p LEFT JOIN bank AS k ON k.symbol = p.symbol)
 """)
 
 
@@ -368,12 +381,14 @@ def composite_scores(t: Tables) -> DataFrame:
 
 
 @query("composite_risk_notes", "M9", sql("""
-SELECT c.symbol, CAST(c.risks AS BIGINT) AS risks FROM composite AS c JOIN score_parts AS p
-  ON p.symbol = c.symbol WHERE NOT p.fin
+SELECT symbol, CAST(risks AS BIGINT) AS risks, array_to_string(notes, '; ') AS notes FROM composite
 """))
 def composite_risk_notes(t: Tables) -> DataFrame:
-    industrial = ~F.col("industry").startswith("Private")
-    return composite(t).where(industrial).select("symbol", F.size("risks").alias("risks"))
+    """All symbols, banks too: which risks are named, by the first two words of each."""
+    heads = F.transform("risks", lambda r: F.substring_index(r, " ", 2))
+    return composite(t).select(
+        "symbol", F.size("risks").alias("risks"), F.array_join(heads, "; ").alias("notes")
+    )
 
 
 @query("composite_upsert", "U7 S5", sql("""
@@ -417,29 +432,33 @@ HAVING max(revenue) <> 0 AND (max(revenue) - min(revenue)) / abs(max(revenue)) >
 SELECT symbol, area, status FROM (
   SELECT s.symbol, s.fin, unnest(['Price data', 'Fundamentals', 'Banking metrics', 'Signals',
            'Flows / events', 'Fundamentals cross-check', 'Composite score']) AS area,
-         unnest([CASE WHEN moves > 0 THEN 'PARTIAL' ELSE 'OK' END, 'PARTIAL',
+         unnest([CASE WHEN moves > 0 OR as_of - last_day > 5 THEN 'PARTIAL' ELSE 'OK' END, 'PARTIAL',
            CASE WHEN NOT fin THEN 'N/A' WHEN b.symbol IS NULL THEN 'ACTION' ELSE 'PARTIAL' END,
-           CASE WHEN s.active_signal_count > 0 THEN 'OK' ELSE 'PARTIAL' END, 'OK',
-           CASE WHEN coalesce(d.n, 0) = 0 THEN 'OK' ELSE 'PARTIAL' END,
-           CASE WHEN c.risks = 0 THEN 'OK' ELSE 'PARTIAL' END]) AS status
+           CASE WHEN s.active_signal_count > 0 THEN 'OK' ELSE 'PARTIAL' END,
+           CASE WHEN v.symbol IS NULL OR e.symbol IS NULL THEN 'PARTIAL' ELSE 'OK' END,
+           CASE WHEN coalesce(d.n, 0) = 0 AND coalesce(x.n, 0) >= 2 THEN 'OK' ELSE 'PARTIAL' END,
+           CASE WHEN c.risks = 0 AND NOT c.incomplete THEN 'OK' ELSE 'PARTIAL' END]) AS status
   FROM score_parts AS s JOIN composite AS c ON c.symbol = s.symbol
-  JOIN (SELECT symbol, count(*) FILTER (abs(close / prior_close - 1) * 100 > 40) AS moves FROM num
-        GROUP BY symbol) AS p ON p.symbol = s.symbol
+  JOIN (SELECT symbol, count(*) FILTER (abs(close / prior_close - 1) * 100 > 40) AS moves,
+               max(trade_date) AS last_day FROM num GROUP BY symbol) AS p ON p.symbol = s.symbol
+  CROSS JOIN today
+  LEFT JOIN volatility AS v ON v.symbol = s.symbol
+  LEFT JOIN delivery_summary AS e ON e.symbol = s.symbol
+  LEFT JOIN (SELECT symbol, count(DISTINCT source) AS n FROM annual2 GROUP BY symbol) AS x
+    ON x.symbol = s.symbol
   LEFT JOIN bank AS b ON b.symbol = s.symbol
   LEFT JOIN (SELECT symbol, count(*) AS n FROM disagree GROUP BY symbol) AS d
-    ON d.symbol = s.symbol) WHERE NOT fin
+    ON d.symbol = s.symbol)
 """))
 def data_trust_checklist(t: Tables) -> DataFrame:
-    rows = checklist(t)
-    banks = t.universe.where(F.col("industry").isin(*BANKS)).select("symbol")
-    return rows.join(banks, "symbol", "left_anti").select("symbol", "area", "status")
+    return checklist(t).select("symbol", "area", "status")
 
 
 def checklist(t: Tables) -> DataFrame:
     from tickloom.operators.fundamentals import source_disagreements
 
     empty = F.array().cast("array<string>")
-    bars = ql.validate_ohlcv(t.bars, F.lit("1990-01-01").cast("date")).select(
+    bars = ql.validate_ohlcv(t.bars, t.as_of).select(
         "symbol", F.col("rows").alias("price_rows"), F.col("errors").alias("price_errors"),
         F.col("warnings").alias("price_warnings"),
     )
@@ -459,9 +478,15 @@ def checklist(t: Tables) -> DataFrame:
         "symbol", "active_signal_count", "missing_data", "risks",
         F.col("industry").startswith("Private").alias("banking_applicable"),
     )
+    two = t.annual_two_source.groupBy("symbol").agg(F.count_distinct("source").alias("_sources"))
+    delivered = fl.delivery_stats(t.delivery).select("symbol", F.lit(True).alias("_delivery"))
+    moved = fl.result_volatility(t.bars, t.earnings_dates).select(
+        "symbol", F.lit(True).alias("_volatility")
+    )
     joined = (
         scored.join(bars, "symbol").join(annual, "symbol").join(bank, "symbol", "left")
-        .join(differ, "symbol", "left")
+        .join(differ, "symbol", "left").join(two, "symbol", "left")
+        .join(delivered, "symbol", "left").join(moved, "symbol", "left")
     )
     return ql.trust_checklist(
         joined.withColumns(
@@ -469,10 +494,10 @@ def checklist(t: Tables) -> DataFrame:
                 "banking_rows": F.coalesce("_rows", F.lit(0)),
                 "banking_errors": F.coalesce("_errors", empty),
                 "banking_warnings": F.coalesce("_warnings", empty),
-                "has_delivery": F.lit(True), "has_volatility": F.lit(True),
-                "sources": F.lit(2), "disagreements": F.coalesce("_n", F.lit(0)),
-                "missing_data": F.filter(
-                    "missing_data", lambda m: m != "result volatility multiple"),
+                "has_delivery": F.coalesce("_delivery", F.lit(False)),
+                "has_volatility": F.coalesce("_volatility", F.lit(False)),
+                "sources": F.coalesce("_sources", F.lit(0)),
+                "disagreements": F.coalesce("_n", F.lit(0)),
             }
         )
     )
