@@ -428,7 +428,7 @@ HAVING max(revenue) <> 0 AND (max(revenue) - min(revenue)) / abs(max(revenue)) >
 """)
 
 
-@query("data_trust_checklist", "A25", sql("""
+part("trust_areas", """
 SELECT symbol, area, status FROM (
   SELECT s.symbol, s.fin, unnest(['Price data', 'Fundamentals', 'Banking metrics', 'Signals',
            'Flows / events', 'Fundamentals cross-check', 'Composite score']) AS area,
@@ -449,7 +449,10 @@ SELECT symbol, area, status FROM (
   LEFT JOIN bank AS b ON b.symbol = s.symbol
   LEFT JOIN (SELECT symbol, count(*) AS n FROM disagree GROUP BY symbol) AS d
     ON d.symbol = s.symbol)
-"""))
+""")
+
+
+@query("data_trust_checklist", "A25", sql("SELECT symbol, area, status FROM trust_areas"))
 def data_trust_checklist(t: Tables) -> DataFrame:
     return checklist(t).select("symbol", "area", "status")
 
@@ -503,7 +506,13 @@ def checklist(t: Tables) -> DataFrame:
     )
 
 
-@query("data_trust_levels", "A25")
+@query("data_trust_levels", "A25", sql("""
+SELECT symbol, actions, partials,
+       CASE WHEN actions > 0 OR partials >= 3 THEN 'Low' WHEN partials > 0 THEN 'Medium'
+            ELSE 'High' END AS trust_level
+FROM (SELECT symbol, count(*) FILTER (status = 'ACTION') AS actions,
+             count(*) FILTER (status = 'PARTIAL') AS partials FROM trust_areas GROUP BY symbol)
+"""))
 def data_trust_levels(t: Tables) -> DataFrame:
     return ql.trust_level(checklist(t))
 

@@ -322,8 +322,9 @@ FROM (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY place) AS k FROM
       WHERE n = bar_count) WHERE k <= 3
 UNION ALL
 SELECT symbol, 'data_quality', symbol || ' has data-quality warning(s)', 'data_quality'
-FROM (SELECT symbol, max(n) AS bars FROM ind WHERE abs(close / prior_close - 1) * 100 > 40
-      GROUP BY symbol)
+FROM (SELECT symbol, max(trade_date) AS last_day,
+             count(*) FILTER (abs(close / prior_close - 1) * 100 > 40) AS moves FROM ind
+      GROUP BY symbol) CROSS JOIN today WHERE moves > 0 OR as_of - last_day > 5
 UNION ALL
 SELECT symbol, 'research_candidate', symbol || ' crossed strong research score threshold',
        'composite_score'
@@ -333,7 +334,7 @@ def alert_previews(t: Tables) -> DataFrame:
     """Scores are a simple stand-in (90 with two active signals) so all three kinds appear."""
     ind = indicators(t)
     last = sg.latest_with_signals(ind)
-    report = validate_ohlcv(t.bars, F.lit("1990-01-01").cast("date"))
+    report = validate_ohlcv(t.bars, t.as_of)
     score = F.when(F.col("active_signal_count") >= 2, F.lit(90.0)).otherwise(F.lit(50.0))
     scored = last.select(
         "symbol", "active_signals", "active_signal_count", score.alias("score")
