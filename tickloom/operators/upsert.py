@@ -34,7 +34,7 @@ KEYS: dict[str, tuple[str, ...]] = {
 
 
 def last_per_key(rows: DataFrame, keys: Sequence[str], order: Sequence[str | Column]) -> DataFrame:
-    newest = [F.col(o).desc() if isinstance(o, str) else o for o in order]
+    newest = [F.col(o).desc() if isinstance(o, str) else o for o in order] or [F.col(keys[0])]
     w = Window.partitionBy(*keys).orderBy(*newest)
     return rows.withColumn("_pos", F.row_number().over(w)).where("_pos = 1").drop("_pos")
 
