@@ -18,7 +18,7 @@ from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from tests.llm.cases import ROOT
+from tests.llm.cases import ROOT, hard_texts
 from tests.llm.cases import given as given_rows
 from tests.llm.test_text_operators import kept, linked
 from tickloom.llm import packing, quality, queries, records, sentencepieces, sharding, tokens
@@ -198,6 +198,16 @@ def test_sentencepiece_parity_on_documents(docs, texts, nothing):
     assert sentencepieces.encode(nothing, PIECES).count() == 0
 
 
+def test_words_give_the_ids_of_whole_texts():
+    ours, theirs = sentencepieces.loaded(PIECES, 2)
+    texts = [t or "" for _, t in hard_texts()] + [
+        "Hello  world", "  a b ", "Éà\n\nx\ty", "日本 <s> x ﬁ", "a  b", "   ", " ", "</s>a<unk>", "▁a b", "a ▁b", "a\u3000 b. c",
+    ]
+    assert isinstance(ours, sentencepieces.ByWords)
+    for _ in range(2):
+        assert ours.ids(texts) == sentencepieces.Whole(ours.tokenizer).ids(texts) == theirs.encode(texts)
+
+
 def message(*fields) -> bytes:
     """A protobuf message from (number, value) pairs."""
 
@@ -234,10 +244,10 @@ def test_sentencepiece_unigram_model(tmp_path, fallback):
     ours, theirs = sentencepieces.loaded(str(file), 1)
     assert sentencepieces.parsed(data).kind == sentencepieces.UNIGRAM
     for text in ("ab ab", "abba  cab", " a b ", "", "zé ab", "aabbaabb cc"):
-        ids = ours.encode(text, add_special_tokens=False).ids
+        (ids,) = ours.ids([text])
         assert ids == theirs.encode(text), text
         if fallback:
-            assert ours.decode(ids, skip_special_tokens=False) == theirs.decode(ids)
+            assert ours.tokenizer.decode(ids, skip_special_tokens=False) == theirs.decode(ids)
 
 
 def test_pipeline(session, tmp_path):

@@ -23,12 +23,12 @@ LETTER = np.isin(np.arange(256), np.frombuffer(b"abcdefghijklmnopqrstuvwxyzABCDE
 WIDE = np.isin(np.arange(256), [0xC2, 0xE1, 0xE2, 0xE3])
 
 
-def pieces(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def pieces(data: np.ndarray, bounds: np.ndarray, stops: bool = True) -> tuple[np.ndarray, np.ndarray]:
     """Starts of the pieces of the texts that lie end to end in `data`, and pieces per text.
 
     A piece begins with each text that is not empty, at each space with no white space before
-    or after it, and at a comma or full stop between a letter and a space. Where a neighbour may
-    be white space, the piece goes on.
+    or after it, and (`stops`) at a comma or full stop between a letter and a space. Where a
+    neighbour may be white space, the piece goes on.
     """
     n = len(data)
     cut = np.zeros(n + 1, bool)
@@ -38,9 +38,10 @@ def pieces(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray
         wide = WIDE[data]
         inner[1:] &= ~wide[:-3]
         inner[2:] &= ~wide[:-4]
-        middle = data[1:-1]
-        stop = ((middle == 44) | (middle == 46)) & LETTER[data[:-2]] & (data[2:] == 32)
-        cut[1 : n - 1] = inner | stop
+        if stops:
+            middle = data[1:-1]
+            inner |= ((middle == 44) | (middle == 46)) & LETTER[data[:-2]] & (data[2:] == 32)
+        cut[1 : n - 1] = inner
     cut[bounds] = True
     starts = np.flatnonzero(cut[:n])
     return starts, np.diff(np.searchsorted(starts, bounds))
@@ -49,13 +50,11 @@ def pieces(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray
 class Encoder:
     """Ids of one vocabulary. `mark` is one token and joins with no piece beside it."""
 
-    def __init__(self, file: str, mark: str):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+    stops = True
 
-        self.tokenizer = Tokenizer.from_file(file)
+    def __init__(self, tokenizer, mark: str):
+        self.tokenizer, self.mark, self.sign = tokenizer, mark, mark.strip(" ")
         self.tokenizer.encode_special_tokens = True
-        self.mark, self.sign = mark, mark.strip(" ")
         (self.mark_id,) = self.tokenizer.encode(mark, add_special_tokens=False).ids
         self._forget()
 
@@ -96,9 +95,9 @@ class Encoder:
         where = np.searchsorted(self.keys, keys)
         self.keys, self.entry = np.insert(self.keys, where, keys), np.insert(self.entry, where, entry)
 
-    def encode(self, data: np.ndarray, bounds: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all texts end to end, each text's followed by `end`, and their bounds."""
-        starts, counts = pieces(data, bounds)
+    def encode(self, data: np.ndarray, bounds: np.ndarray, end: int | None) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts end to end, each text's followed by `end` (if any), and their bounds."""
+        starts, counts = pieces(data, bounds, self.stops)
         ends = np.append(starts[1:], len(data))[: len(starts)]
         keys, first, which = np.unique(
             word_hashes(data, starts, ends), return_index=True, return_inverse=True
@@ -118,10 +117,12 @@ class Encoder:
         tokens = np.zeros(len(sizes) + 1, np.int64)
         np.cumsum(sizes, out=tokens[1:])
         of_text = np.append(0, np.cumsum(counts))
-        cuts = tokens[of_text] + np.arange(len(bounds))
-        out = np.full(cuts[-1], end, np.uint32)
         place = np.arange(tokens[-1])
         ids = self.pool[place + np.repeat(self.bounds[entry] - tokens[:-1], sizes)]
+        if end is None:
+            return ids, tokens[of_text]
+        cuts = tokens[of_text] + np.arange(len(bounds))
+        out = np.full(cuts[-1], end, np.uint32)
         out[place + np.repeat(np.arange(len(counts)), np.diff(tokens[of_text]))] = ids
         return out, cuts
 
@@ -129,7 +130,10 @@ class Encoder:
 @cache
 def encoder(file: str, mark: str) -> Encoder:
     """One encoder per worker process and vocabulary."""
-    return Encoder(file, mark)
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    from tokenizers import Tokenizer
+
+    return Encoder(Tokenizer.from_file(file), mark)
 
 
 #: Marks for vocabularies that keep the space before a word, and for those that drop it.
