@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 import zipfile
@@ -28,12 +29,26 @@ def shared_folder(spark: SparkSession) -> str:
     return folder if ":" in folder else "file://" + folder
 
 
+_ROOTS: list[Scratch] = []
+
+
+def _clean() -> None:
+    """What operators left in the shared folder goes with the application."""
+    while _ROOTS:
+        scratch = _ROOTS.pop()
+        if scratch.spark.sparkContext._jsc is not None:
+            scratch.drop()
+
+
 class Scratch:
     """Tables of one run in the shared folder: they cut lineage and outlive lost executors."""
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         self.root = f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+        if not _ROOTS:
+            atexit.register(_clean)
+        _ROOTS.append(self)
 
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
@@ -42,9 +57,10 @@ class Scratch:
         df.write.parquet(self.path(name))
         return self.spark.read.schema(df.schema).parquet(self.path(name))
 
-    def drop(self, name: str) -> None:
+    def drop(self, name: str = "") -> None:
+        """Remove one table, or all."""
         jvm = self.spark.sparkContext._jvm
-        where = jvm.org.apache.hadoop.fs.Path(self.path(name))
+        where = jvm.org.apache.hadoop.fs.Path(self.path(name) if name else self.root)
         where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
