@@ -32,7 +32,7 @@ def test_recurrences_carry_over_blocks(spark):
     closes = walk(700)
     df = with_history_block(bars(spark, closes), block_days=60)
     out = smooth(number_rows(df), [
-        span("e12", F.col("close"), 12), span("e200", F.col("close"), 200),
+        span("e12", "close", 12), span("e200", "close", 200),
         Recurrence("w14", F.col("close"), 1 / 14, 14),
     ])
     got = ordered(out.select("trade_date", "e12", "e200", "w14"), "trade_date")

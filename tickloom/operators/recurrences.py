@@ -5,8 +5,8 @@
 ``b = alpha/(w+alpha)``; without gaps that is ``1-alpha`` and ``alpha``.  Rows without a value
 keep the average.  With ``L`` the running sum of ``ln a`` the average is
 ``exp(L)·Σ b·x·exp(-L)``.  ``exp(-L)`` would overflow on a long history, so the sum runs
-inside one block of calendar days and the state at each earlier block's end is carried
-forward, decayed by ``L``.  Exact for any history length, JVM only, and one sort for all of it.
+inside one block of calendar days; the average and the decay at each earlier block's end
+are folded into the start of the next.  Exact for any history length, JVM only, and one sort for all of it.
 """
 
 from __future__ import annotations
@@ -28,16 +28,20 @@ MOST_ROWS = 3000
 
 @dataclass(frozen=True)
 class Recurrence:
-    """``name`` = smoothed ``value``, NULL before ``min_values`` values."""
+    """``name`` = smoothed ``value``, NULL before ``min_values`` values.
+
+    Recurrences of one ``series`` have their values in the same rows."""
 
     name: str
     value: Column
     alpha: float
     min_values: int = 1
+    series: str = ""
 
 
-def span(name: str, value: Column, periods: int, min_values: int | None = None):
-    return Recurrence(name, value, 2.0 / (periods + 1), min_values or periods)
+def span(name: str, column: str, periods: int, min_values: int | None = None):
+    alpha = 2.0 / (periods + 1)
+    return Recurrence(name, F.col(column), alpha, min_values or periods, column)
 
 
 def number_rows(df: DataFrame, **extra: Column) -> DataFrame:
@@ -73,40 +77,36 @@ def smooth(df: DataFrame, recurrences: Sequence[Recurrence]) -> DataFrame:
 
     seen, logs, sums, local, carried, final = {}, {}, {}, {}, {}, {}
     for r in recurrences:
-        valid = r.value.isNotNull()
-        seen[f"_last_{r.name}"] = F.max(F.when(valid, row)).over(before)
-        seen[f"_seen_{r.name}"] = F.count(r.value).over(so_far)
+        key = r.series or r.name
+        seen.setdefault(f"_last_{key}", F.max(F.when(r.value.isNotNull(), row)).over(before))
+        seen.setdefault(f"_seen_{key}", F.count(r.value).over(so_far))
     for r in recurrences:
-        old = F.pow(F.lit(1.0 - r.alpha), row - F.col(f"_last_{r.name}"))
-        decayed = r.value.isNotNull() & F.col(f"_last_{r.name}").isNotNull()
+        last = F.col(f"_last_{r.series or r.name}")
+        old = F.pow(F.lit(1.0 - r.alpha), row - last)
+        decayed = r.value.isNotNull() & last.isNotNull()
         logs[f"_log_{r.name}"] = F.when(decayed, F.log(old / (old + r.alpha))).otherwise(0.0)
         logs[f"_weight_{r.name}"] = F.when(decayed, r.alpha / (old + r.alpha)).otherwise(1.0)
     for r in recurrences:
-        sums[f"_all_{r.name}"] = F.sum(f"_log_{r.name}").over(so_far)
-        sums[f"_own_{r.name}"] = F.sum(f"_log_{r.name}").over(in_block)
+        sums[f"_sum_{r.name}"] = F.sum(f"_log_{r.name}").over(in_block)
     for r in recurrences:
-        term = F.col(f"_weight_{r.name}") * r.value * F.exp(-F.col(f"_own_{r.name}"))
-        local[f"_in_{r.name}"] = F.exp(f"_own_{r.name}") * F.sum(term).over(in_block)
+        term = F.col(f"_weight_{r.name}") * r.value * F.exp(-F.col(f"_sum_{r.name}"))
+        local[f"_in_{r.name}"] = F.exp(f"_sum_{r.name}") * F.sum(term).over(in_block)
     for r in recurrences:
         state = F.struct(
-            F.col(f"_all_{r.name}").alias("log"),
+            F.exp(f"_sum_{r.name}").alias("decay"),
             F.coalesce(f"_in_{r.name}", F.lit(0.0)).alias("value"),
         )
         carried[f"_ends_{r.name}"] = F.collect_list(F.when(F.col(BLOCK_END), state)).over(before)
     for r in recurrences:
         ends, inside = F.col(f"_ends_{r.name}"), F.coalesce(f"_in_{r.name}", F.lit(0.0))
+        earlier = F.aggregate(
+            ends, F.lit(0.0), lambda acc, end: acc * end["decay"] + end["value"]
+        )
         full = F.when(F.size(ends) == 0, inside).otherwise(
-            F.aggregate(ends, inside, _decayed(F.col(f"_all_{r.name}")))
+            earlier * F.exp(f"_sum_{r.name}") + inside
         )
-        final[r.name] = F.when(F.col(f"_seen_{r.name}") >= r.min_values, full)
+        final[r.name] = F.when(F.col(f"_seen_{r.series or r.name}") >= r.min_values, full)
     out = df
     for step in (seen, logs, sums, local, carried, final):
         out = out.withColumns(step)
     return out.drop(*seen, *logs, *sums, *local, *carried)
-
-
-def _decayed(log: Column):
-    def add(acc: Column, end: Column) -> Column:
-        return acc + end["value"] * F.exp(log - end["log"])
-
-    return add

@@ -151,19 +151,19 @@ def add_technical_indicators(bars: DataFrame) -> DataFrame:
     df = smooth(
         df,
         [
-            span("_ema12", F.col("close"), 12),
-            span("_ema26", F.col("close"), 26),
-            span("ema_20", F.col("close"), 20),
-            span("ema_50", F.col("close"), 50),
-            span("ema_100", F.col("close"), 100),
-            span("ema_200", F.col("close"), 200),
-            Recurrence("_gain", F.when(change > 0, change).when(change <= 0, 0.0), wilder, 14),
-            Recurrence("_loss", F.when(change < 0, -change).when(change >= 0, 0.0), wilder, 14),
+            span("_ema12", "close", 12),
+            span("_ema26", "close", 26),
+            span("ema_20", "close", 20),
+            span("ema_50", "close", 50),
+            span("ema_100", "close", 100),
+            span("ema_200", "close", 200),
+            Recurrence("_gain", F.when(change > 0, change).when(change <= 0, 0.0), wilder, 14, "change"),
+            Recurrence("_loss", F.when(change < 0, -change).when(change >= 0, 0.0), wilder, 14, "change"),
             Recurrence("atr_14", F.col("_tr"), wilder, 14),
         ],
     )
     df = df.withColumn("macd", F.col("_ema12") - F.col("_ema26"))
-    df = smooth(df, [span("macd_signal", F.col("macd"), 9)])
+    df = smooth(df, [span("macd_signal", "macd", 9)])
 
     rs = safe_divide("_gain", "_loss")
     df = df.withColumns(
