@@ -143,6 +143,24 @@ def test_search_odd_rows(session):
     assert pivots.search(few.limit(0), every=100).count() == 0
 
 
+def test_copies_of_a_third_of_the_rows(session):
+    """Ties go to the smaller ids, however many rows are equal."""
+    rng = np.random.default_rng(8)
+    common = rng.normal(size=8).tolist()
+    ids = rng.permutation(3000).tolist()
+    rows = [(i, common if n < 1000 else rng.normal(size=8).tolist()) for n, i in enumerate(ids)]
+    df = session.createDataFrame(rows, "vec_id long, embedding array<double>")
+    found, want = results(pivots.search(df, every=20)), exact(rows, 20)
+    equal = {i for i, v in rows if v is common and i % 20 == 0}
+    assert len(equal) > 20 and found.keys() == want.keys()
+    assert {q: found[q] for q in equal} == {q: want[q] for q in equal}
+
+
+def test_ties_with_the_last_one_kept():
+    far = np.array([3, 1, 2, 2, 5, 2, 0])
+    assert pivots.nearest(far, 3).nonzero()[0].tolist() == [1, 2, 3, 5, 6]
+
+
 def test_footrule_by_files_is_the_footrule():
     rng = np.random.default_rng(6)
     vectors, centres, n = rng.normal(size=(50, 5)), rng.normal(size=(20, 5)), 8

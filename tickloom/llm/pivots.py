@@ -5,6 +5,7 @@ vectors; each block has an inverted file per pivot, with the vectors that have t
 their nearest and its place in their order. A query adds up over the files of its own nearest
 pivots how well the places agree, which gives the footrule distance of the two orders (pivots
 beyond the list count as at its end); the best part of each block is ranked anew by distance.
+Equal vectors of a block are one entry with its smallest ids, and ties at the cut are all kept.
 
 The work is queries times vectors divided by the block, as for any stated query set against all
 rows; no block, query block or result is held whole anywhere.
@@ -86,6 +87,21 @@ def best(ids: np.ndarray, vectors: np.ndarray, own: int, query: np.ndarray, k: i
     return list(zip(ids[order].tolist(), score[order].tolist(), strict=True))
 
 
+def copies(ids: np.ndarray, vectors: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A row of each different vector, the `most` rows with the smallest ids of each, and the vectors of these."""
+    _, first, which = np.unique(vectors, axis=0, return_index=True, return_inverse=True)
+    which = which.ravel()
+    order = np.lexsort((ids, which))
+    starts = np.searchsorted(which[order], np.arange(len(first)))
+    rows = order[np.arange(len(order)) - starts[which[order]] < most]
+    return first, rows, which[rows]
+
+
+def nearest(far: np.ndarray, most: int) -> np.ndarray:
+    """Which ones are among the `most` nearest or tie with the last of them."""
+    return far <= np.partition(far, most - 1)[most - 1]
+
+
 def _matrix(column: pa.ChunkedArray) -> np.ndarray:
     flat = column.combine_chunks().flatten().to_numpy(zero_copy_only=False)
     return flat.reshape(len(column), -1) if len(column) else np.empty((0, 0))
@@ -121,22 +137,22 @@ def search(vectors: DataFrame, every: int, k: int = 10, pivots: int = PIVOTS, po
         known, queries = np.flatnonzero(~asks), np.flatnonzero(asks)
         out: list[tuple] = []
         if len(known) and len(queries):
-            files = Files(vs[known], centres, posted)
+            first, kept, which = copies(ids[known], vs[known], k + 1)
+            files = Files(vs[known[first]], centres, posted)
             orders = nearest_pivots(vs[queries], centres, files.posted)
-            most = min(len(known), max(LEAST, k + 1, round(reranked * len(known))))
+            most = min(len(first), max(LEAST, k + 1, round(reranked * len(known))))
             for q, order in zip(queries.tolist(), orders, strict=True):
-                far = files.footrule(order)
-                near = known[np.argpartition(far, most - 1)[:most]]
+                near = known[kept[nearest(files.footrule(order), most)[which]]]
                 out += [(int(ids[q]), v, s) for v, s in best(ids[near], vs[near], ids[q], vs[q], k)]
         columns = zip(*out, strict=True) if out else ([], [], [])
         kinds = (pa.int64(), pa.int64(), pa.float64())
         return pa.table([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["query_id", "vec_id", "score"])
 
     found = data.unionByName(asked).groupBy("block", "part").applyInArrow(run, FOUND)
-    nearest = Window.partitionBy("query_id").orderBy("score", "vec_id")
+    closest = Window.partitionBy("query_id").orderBy("score", "vec_id")
     once = found.groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
     return (
-        once.withColumn("rank", F.row_number().over(nearest)).where(F.col("rank") <= k)
+        once.withColumn("rank", F.row_number().over(closest)).where(F.col("rank") <= k)
         .select("query_id", "rank", "vec_id", "score")
     )
 
