@@ -169,6 +169,14 @@ def test_repeated_windows(docs, texts, nothing, width, monkeypatch):
     assert substring.remove_repeated(nothing).count() == 0
 
 
+def test_a_batch_computed_again_keeps_its_name(docs):
+    """A lost executor has map outputs made again under another stage id."""
+    rows = docs.select("doc_id", "text", F.xxhash64("text").alias("hash"))
+    windows = substring._windows(rows, 35, 4)
+    first, second = ({r.batch for r in windows.select("batch").distinct().collect()} for _ in range(2))
+    assert first and first == second
+
+
 def test_intervals_are_maximal():
     edges = np.array([0, 100, 300])
     first, last = substring.merged(np.array([0, 1, 2, 36, 72, 99, 100]), 35, edges)

@@ -53,11 +53,13 @@ def _directory(batch: pa.RecordBatch, counts: np.ndarray) -> bytes:
 
 
 def _windows(docs: DataFrame, width: int, groups: int) -> DataFrame:
-    """Packed rows: each batch's different window hashes, split by group."""
+    """Packed rows: each batch's different window hashes, split by group.
+
+    A batch is named by its partition and number, so that one computed again keeps its name.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        context = TaskContext.get()
-        base = f"{context.stageId()}-{context.partitionId()}"
+        part = TaskContext.get().partitionId()
         for number, batch in enumerate(slices(batches, "text")):
             data, bounds = buffer_of(batch.column("text"))
             starts, ends, counts = spans(data, bounds, SPACED)
@@ -76,7 +78,7 @@ def _windows(docs: DataFrame, width: int, groups: int) -> DataFrame:
             group = (hashes >> np.uint64(40)).astype(np.int64) % groups
             order = np.argsort(group, kind="stable")
             edges = np.searchsorted(group[order], np.arange(groups + 1))
-            key = f"{base}-{number}"
+            key = f"{part}-{number}"
             home = hash_of(key) % groups
             rows = {c: [] for c in ("grp", "batch", "hashes", "gaps", "directory", "known")}
             for g in np.flatnonzero((np.diff(edges) > 0) | (np.arange(groups) == home)).tolist():
