@@ -69,6 +69,21 @@ def test_template_without_article():
     assert text == " ".join(f"Story 7 {'word ' * 30}7 More 7 about 7".split())
 
 
+def story(i):
+    own = f"<em>By {i}</em>" if i == 1 else f"<i>By {i}</i>"
+    return f"<body><div class='top'>My site</div><div class='x'><h2>Head {i}</h2><p>Story {i} {'word ' * 30}</p>{own}</div></body>"
+
+
+def test_a_host_of_copies_keeps_its_texts(session):
+    """Copies say nothing of the template: what only they have is not its own."""
+    rows = [(i, "http://copies.x/a", story(1)) for i in range(6)]
+    rows += [(10 + i, "http://some.x/a", story(1 if i < 4 else i)) for i in range(12)]
+    df = session.createDataFrame(rows, "page_id long, url string, html string").repartition(4)
+    found = {r.page_id: r.text for r in wrappers.extract(df).collect()}
+    assert all("Head 1 Story 1 word" in found[i] and "By 1" in found[i] for i in (*range(6), *range(10, 14)))
+    assert all(f"Head {i} Story {i} word" in found[10 + i] and "My site" not in found[10 + i] for i in range(4, 12))
+
+
 def article(page: str) -> str:
     inner = re.search(r"<article>(.*?)</article>", page, re.S)[1]
     inner = re.sub(r"</?(p|h1|br|li|ul|div)>", "\n", inner)

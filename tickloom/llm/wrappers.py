@@ -5,13 +5,15 @@ become repeated groups). Then the expressions of a host's pages are aligned one
 texts that differ become slots, elements that one side lacks become optional, and what repeats
 on either side is repeated. The wrapper then tells which region of the template is the main text
 and which texts in it are the template's own. Folding and aligning are done per task first and
-joined in steps, so that a host with a third of all pages is no longer than others.
+joined in steps, so that a host with a third of all pages is no longer than others. Equal pages
+of a host count once: a text is the template's own if a large share of the different pages has it.
 """
 
 from __future__ import annotations
 
 import json
 import zlib
+from hashlib import blake2b
 from collections.abc import Iterator
 from urllib.parse import urlsplit
 
@@ -37,8 +39,12 @@ ASIDE_NAMES = frozenset(
 ALWAYS_ASIDE = frozenset("nav aside footer head template noscript iframe".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
 REGIONS = ("article", "main")
-#: Elements in a group that repeats, at most; pages of a host before a text counts as its template's.
-LONGEST_GROUP, SEEN = 3, 3
+#: Elements that are a part of a text and no region, however much of the page they hold.
+LINES = HEADINGS | {"p"}
+#: Elements in a group that repeats, at most.
+LONGEST_GROUP = 3
+#: Different pages of a host before a text counts as its template's, and the share of them that has it.
+SEEN, SHARE = 3, 0.5
 #: Wrappers of together at most so many bytes are broadcast; beyond it, pages meet them in a join.
 BROADCAST_BYTES = 8 << 20
 #: Parts in which a host's wrappers are joined before the last step.
@@ -131,13 +137,18 @@ def aligned(a: list[dict], b: list[dict]) -> list[dict]:
 # --- from wrapper to region ---
 
 
-def mass(items: list[dict]) -> int:
+def own(item: dict, pages: int) -> bool:
+    """Whether a text is the template's, of a host with so many different pages."""
+    return item["h"] is not None and item["n"] >= max(SEEN, SHARE * pages)
+
+
+def mass(items: list[dict], pages: int) -> int:
     """Characters in slots, that is in texts that differ between pages."""
     total = 0
     for item in items:
         if "c" in item:
-            total += mass(item["c"])
-        elif item["h"] is None or item["n"] < SEEN:
+            total += mass(item["c"], pages)
+        elif not own(item, pages):
             total += item["m"]
     return total
 
@@ -151,22 +162,26 @@ def flat(items: list[dict]) -> Iterator[dict]:
             yield item
 
 
-def regions(wrapper: list[dict]) -> dict:
-    """`paths` of the template's main regions, and the checksums of `fixed` texts that are not main text."""
+def regions(wrapper: list[dict], pages: int | None = None) -> dict:
+    """`paths` of the template's main regions, and the checksums of `fixed` texts that are not main text.
+
+    `pages` is how many different ones the wrapper is of; if not given, as many as its commonest item has.
+    """
+    pages = pages or max((x["n"] for x in wrapper), default=1)
     for tag in REGIONS:
         found = list(_tagged(wrapper, tag, ()))
         if found:
             return {"paths": found, "fixed": []}
     path, items = [], wrapper
     while True:
-        total = mass(items)
-        inside = [(mass(x["c"]), x) for x in flat(items) if "c" in x]
+        total = mass(items, pages)
+        inside = [(mass(x["c"], pages), x) for x in flat(items) if "c" in x]
         heaviest = max(inside, key=lambda p: p[0], default=(0, None))
-        if not total or heaviest[0] < 0.8 * total or heaviest[1]["r"]:
+        if not total or heaviest[0] < 0.8 * total or heaviest[1]["r"] or heaviest[1]["k"].split(".")[0] in LINES:
             break
         path.append(heaviest[1]["k"])
         items = heaviest[1]["c"]
-    return {"paths": ["/".join(path)], "fixed": sorted(_fixed(items))}
+    return {"paths": ["/".join(path)], "fixed": sorted(_fixed(items, pages))}
 
 
 def _tagged(items: list[dict], tag: str, path: tuple[str, ...]) -> Iterator[str]:
@@ -179,12 +194,12 @@ def _tagged(items: list[dict], tag: str, path: tuple[str, ...]) -> Iterator[str]
                 yield from _tagged(item["c"], tag, here)
 
 
-def _fixed(items: list[dict]) -> set[int]:
+def _fixed(items: list[dict], pages: int) -> set[int]:
     out = set()
     for item in items:
         if "c" in item:
-            out |= _fixed(item["c"])
-        elif item["h"] is not None and item["n"] >= SEEN:
+            out |= _fixed(item["c"], pages)
+        elif own(item, pages):
             out.add(item["h"])
     return out
 
@@ -265,21 +280,39 @@ def host_of(url: str | None) -> str:
 
 # --- Spark ---
 
-PARTIAL = "host string, part int, wrapper string"
+PAGE = "host string, page binary, wrapper string"
+PARTIAL = "host string, part int, pages long, wrapper string"
 
 
-def _partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A wrapper per host and batch of pages."""
+def _expressions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The expression of every page, once of equal ones of a batch, with a hash that tells pages apart."""
     for batch in slices(batches, "html"):
-        found: dict[str, list[dict]] = {}
+        found: dict[tuple[str, bytes], str] = {}
         for url, page in zip(batch.column("url").to_pylist(), batch.column("html").to_pylist(), strict=True):
             if page:
-                host, own = host_of(url), expression(tree(page))
-                found[host] = aligned(found[host], own) if host in found else own
+                key = host_of(url), blake2b(page.encode(), digest_size=16).digest()
+                if key not in found:
+                    found[key] = json.dumps(expression(tree(page)))
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([h for h, _ in found], pa.string()), pa.array([p for _, p in found], pa.binary()), pa.array(found.values(), pa.string())],
+            ["host", "page", "wrapper"],
+        )
+
+
+def _partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A wrapper per host and batch of different pages."""
+    for batch in slices(batches, "wrapper"):
+        found: dict[str, list[dict]] = {}
+        pages: dict[str, int] = {}
+        for host, text in zip(batch.column("host").to_pylist(), batch.column("wrapper").to_pylist(), strict=True):
+            page = json.loads(text)
+            found[host] = aligned(found[host], page) if host in found else page
+            pages[host] = pages.get(host, 0) + 1
         texts = [json.dumps(w) for w in found.values()]
         parts = [zlib.crc32(t.encode()) % STEPS for t in texts]
         yield pa.RecordBatch.from_arrays(
-            [pa.array(found, pa.string()), pa.array(parts, pa.int32()), pa.array(texts, pa.string())], ["host", "part", "wrapper"]
+            [pa.array(found, pa.string()), pa.array(parts, pa.int32()), pa.array(pages.values(), pa.int64()), pa.array(texts, pa.string())],
+            ["host", "part", "pages", "wrapper"],
         )
 
 
@@ -291,19 +324,21 @@ def _joined(table: pa.Table) -> pa.Table:
         wrapper = aligned(wrapper, json.loads(text))
     return pa.table({
         "host": pa.array([table["host"][0].as_py()], pa.string()), "part": pa.array([0], pa.int32()),
-        "wrapper": pa.array([json.dumps(wrapper)], pa.string()),
+        "pages": pa.array([sum(table["pages"].to_pylist())], pa.int64()), "wrapper": pa.array([json.dumps(wrapper)], pa.string()),
     })
 
 
 def wrappers(pages: DataFrame) -> DataFrame:
-    """host and wrapper (JSON) of every host of `pages` (url, html)."""
-    partial = plain(pages, url="string", html="string").mapInArrow(_partial, PARTIAL)
-    first = partial.groupBy("host", "part").applyInArrow(_joined, PARTIAL)
-    return first.groupBy("host").applyInArrow(_joined, PARTIAL).select("host", "wrapper")
+    """host, pages (different ones) and wrapper (JSON) of every host of `pages` (url, html)."""
+    every = plain(pages, url="string", html="string").mapInArrow(_expressions, PAGE)
+    different = every.dropDuplicates(["host", "page"]).sortWithinPartitions("host", "page")
+    first = different.mapInArrow(_partial, PARTIAL).groupBy("host", "part").applyInArrow(_joined, PARTIAL)
+    return first.groupBy("host").applyInArrow(_joined, PARTIAL).select("host", "pages", "wrapper")
 
 
-def _regions_of(wrapper: pa.Array) -> pa.Array:
-    return pa.array([json.dumps(regions(json.loads(w))) for w in wrapper.to_pylist()], pa.string())
+def _regions_of(wrapper: pa.Array, pages: pa.Array) -> pa.Array:
+    rows = zip(wrapper.to_pylist(), pages.to_pylist(), strict=True)
+    return pa.array([json.dumps(regions(json.loads(w), n)) for w, n in rows], pa.string())
 
 
 def _hosts(urls: pa.Array) -> pa.Array:
@@ -329,7 +364,7 @@ def extract(pages: DataFrame) -> DataFrame:
     spark = pages.sparkSession
     scratch = Scratch(spark, "wrappers")
     rule = F.arrow_udf(_regions_of, StringType())
-    found = scratch.stored("regions", wrappers(pages).select("host", rule("wrapper").alias("regions")))
+    found = scratch.stored("regions", wrappers(pages).select("host", rule("wrapper", "pages").alias("regions")))
     size = found.agg(F.sum(F.octet_length("host") + F.octet_length("regions"))).first()[0] or 0
     rows = plain(pages, page_id="long", url="string", html="string").withColumn(
         "host", F.arrow_udf(_hosts, StringType())("url")
