@@ -84,6 +84,24 @@ def test_a_host_of_copies_keeps_its_texts(session):
     assert all(f"Head {i} Story {i} word" in found[10 + i] and "My site" not in found[10 + i] for i in range(4, 12))
 
 
+def test_the_wrapper_decides_in_articles_too(session):
+    """Notices and comments with neutral names: the template's own texts, and articles beside the article."""
+    def page(i):
+        notice = "<div class='k'><b>Part of our series</b><p>Read on tomorrow</p></div>" if i % 4 else ""
+        said = "".join(f"<article class='z'><p>Nice {i} {k}</p></article>" for k in range(i % 3))
+        return (
+            f"<body><article class='a'><h1>Head {i}</h1>{notice}<p>Story {i} {'word ' * 40}</p><p>Read on tomorrow</p>"
+            f"<i>Filed by hand</i></article><div class='q'>{said}</div></body>"
+        )
+
+    rows = [(i, "http://paper.x/a", page(i)) for i in range(12)] + [(20, "http://alone.x/a", page(3))]
+    df = session.createDataFrame(rows, "page_id long, url string, html string").repartition(4)
+    found = {r.page_id: r.text for r in wrappers.extract(df).collect()}
+    for i in range(12):
+        assert found[i] == " ".join(f"Head {i} Story {i} {'word ' * 40} Read on tomorrow".split())
+    assert "Part of our series" in found[20] and "Filed by hand" in found[20]
+
+
 def article(page: str) -> str:
     inner = re.search(r"<article>(.*?)</article>", page, re.S)[1]
     inner = re.sub(r"</?(p|h1|br|li|ul|div)>", "\n", inner)

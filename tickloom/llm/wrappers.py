@@ -163,15 +163,18 @@ def flat(items: list[dict]) -> Iterator[dict]:
 
 
 def regions(wrapper: list[dict], pages: int | None = None) -> dict:
-    """`paths` of the template's main regions, and the checksums of `fixed` texts that are not main text.
+    """`paths` of the template's main regions, and `fixed` texts there that are not main text.
 
+    Tags only help to choose the regions; which texts of theirs are the template's is told by the
+    pages. A fixed text is known by its place (keys below the region) and checksum.
     `pages` is how many different ones the wrapper is of; if not given, as many as its commonest item has.
     """
     pages = pages or max((x["n"] for x in wrapper), default=1)
     for tag in REGIONS:
-        found = list(_tagged(wrapper, tag, ()))
+        found = _chosen(list(_tagged(wrapper, tag, (), True)), pages)
         if found:
-            return {"paths": found, "fixed": []}
+            fixed = set().union(*(_fixed(x["c"], pages) for _, x, _ in found))
+            return {"paths": sorted({p for p, _, _ in found}), "fixed": sorted(fixed)}
     path, items = [], wrapper
     while True:
         total = mass(items, pages)
@@ -184,23 +187,38 @@ def regions(wrapper: list[dict], pages: int | None = None) -> dict:
     return {"paths": ["/".join(path)], "fixed": sorted(_fixed(items, pages))}
 
 
-def _tagged(items: list[dict], tag: str, path: tuple[str, ...]) -> Iterator[str]:
-    for item in flat(items):
-        if "c" in item:
+def _tagged(items: list[dict], tag: str, path: tuple[str, ...], steady: bool) -> Iterator[tuple[str, dict, bool]]:
+    """Path and item of the outermost elements with the tag, and whether each page has just one there."""
+    for item in items:
+        once = steady and not item["o"] and not item["r"]
+        if item["k"].startswith("("):
+            yield from _tagged(item["c"], tag, path, once)
+        elif "c" in item:
             here = (*path, item["k"])
             if item["k"].split(".")[0] == tag:
-                yield "/".join(here)
+                yield "/".join(here), item, once
             else:
-                yield from _tagged(item["c"], tag, here)
+                yield from _tagged(item["c"], tag, here, once)
+
 
+def _chosen(found: list[tuple[str, dict, bool]], pages: int) -> list[tuple[str, dict, bool]]:
+    """The regions that every page has once, if they hold most of what differs between pages, else all.
 
-def _fixed(items: list[dict], pages: int) -> set[int]:
+    (Others beside them are what readers add, or lists of other pages.)
+    """
+    steady = [x for x in found if x[2]]
+    if pages < SEEN or 2 * sum(mass(x["c"], pages) for _, x, _ in steady) <= sum(mass(x["c"], pages) for _, x, _ in found):
+        return found
+    return steady
+
+
+def _fixed(items: list[dict], pages: int, path: str = "") -> set[str]:
     out = set()
-    for item in items:
+    for item in flat(items):
         if "c" in item:
-            out |= _fixed(item["c"], pages)
+            out |= _fixed(item["c"], pages, f"{path}{item['k']}/")
         elif own(item, pages):
-            out.add(item["h"])
+            out.add(f"{path}{item['h']}")
     return out
 
 
@@ -246,11 +264,12 @@ def _headings(node: Node) -> Iterator[Node]:
                 yield from _headings(kid)
 
 
-def _without(part, fixed: set[int]):
+def _without(part, fixed: set[str], path: str = ""):
     if isinstance(part, str):
         text = " ".join(part.split())
-        return "" if zlib.crc32(text.encode()) in fixed else part
-    return Node(part.tag, part.names, part.hidden, part.holds, [_without(k, fixed) for k in part.kids])
+        return "" if text and f"{path}{zlib.crc32(text.encode())}" in fixed else part
+    inside = f"{path}{part.key}/"
+    return Node(part.tag, part.names, part.hidden, part.holds, [_without(k, fixed, inside) for k in part.kids])
 
 
 def _at(root: Node, paths: list[str]) -> list[Node]:
