@@ -98,6 +98,15 @@ def test_plan_is_optimal_on_small_sets(sizes):
     assert sum(n for _, n in plan) == fewest(sorted(sizes, reverse=True), 20)
 
 
+def test_plan_tries_fillings_as_full_as_others():
+    sizes = [10, 9, 9, 9, 8, 5, 5, 3, 2]
+    plan = packing.plan(Counter(sizes), 20)
+    assert Counter(s for f, n in plan for s in f * n) == Counter(sizes)
+    assert sum(n for _, n in plan) == 3
+    left = Counter(sizes[1:])
+    assert set(packing.undominated(sorted(left), left, 10, 1000)) == {(9,), (8, 2), (5, 5)}
+
+
 def test_fillings_get_fuller_and_are_maximal():
     left = {2: 1, 3: 2, 5: 1, 8: 1}
     found = list(packing.fillings(sorted(left), left, 11, 1000))

@@ -6,13 +6,14 @@ place by its rank among the pieces of its length.
 
 The plan is a branch-and-bound search. Around the largest remaining length, fillings of the rest
 are enumerated (maximal ones, fullest first); a branch is cut once its waste leaves no solution
-with fewer sequences than the best known, which at first is the best-fit one.
+with fewer sequences than the best known, which at first is the best-fit one. Searches over ever
+fuller fillings come first, then ones over all fillings that none dominates.
 """
 
 from __future__ import annotations
 
 import zlib
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right, insort
 from collections import Counter
 from collections.abc import Iterator
 
@@ -30,6 +31,8 @@ RANKED_TOGETHER = 1_000
 #: Steps of one enumeration of fillings; the search is made with each, and the best plan stays.
 #: (Short ones leave small pieces for later, long ones waste least at once.)
 FILL_STEPS = (20, 50, 100, 200, 500, 2_000)
+#: The same for searches that also try fillings as full as others, or less.
+WIDE_STEPS = (30, 200)
 #: Steps of each search, besides one for each sequence on the way down.
 SEARCH_STEPS = 3_000
 
@@ -67,8 +70,8 @@ def cut_pieces(docs: DataFrame, file: str, mark: str, end: int, capacity: int) -
 def fillings(sizes: list[int], left: dict[int, int], room: int, steps: int) -> Iterator[tuple[int, ...]]:
     """Maximal fillings of `room`, each with the largest length first, better ones later.
 
-    The first is the best-fit one; each later one is fuller than all before (a filling that
-    wastes more is dominated). Stops at a full one or after `steps`.
+    The first is the best-fit one; each later one is fuller than all before. Stops at a full one
+    or after `steps`.
     """
     best, taken, used = -1, [], Counter()
 
@@ -110,6 +113,46 @@ def _most(sizes: list[int], i: int, left: dict[int, int], used: Counter, rest: i
     return total
 
 
+def undominated(sizes: list[int], left: dict[int, int], room: int, steps: int) -> list[tuple[int, ...]]:
+    """Maximal fillings of `room` found in so many steps, but for dominated ones, fullest last."""
+    found, taken, used = {}, [], Counter()
+
+    def go(rest: int, top: int) -> None:
+        nonlocal steps
+        i = bisect_right(sizes, rest) - 1
+        while i >= 0 and left[sizes[i]] <= used[sizes[i]]:
+            i -= 1
+        if i < 0:
+            found[tuple(taken)] = None
+            return
+        for k in range(bisect_right(sizes, min(rest, top)) - 1, -1, -1):
+            size = sizes[k]
+            if steps <= 0:
+                return
+            if left[size] > used[size]:
+                steps -= 1
+                taken.append(size)
+                used[size] += 1
+                go(rest - size, size)
+                used[size] -= 1
+                taken.pop()
+
+    go(room, room)
+    out = sorted(reversed(found), key=sum)
+    return [f for k, f in enumerate(out) if not any(_dominates(g, f) for g in out[k + 1 :])]
+
+
+def _dominates(one: tuple[int, ...], other: tuple[int, ...]) -> bool:
+    """Whether the other's pieces (descending), each put where it fits best, lie in places of the one's."""
+    rooms = sorted(one)
+    for size in other:
+        k = bisect_left(rooms, size)
+        if k == len(rooms):
+            return False
+        insort(rooms, rooms.pop(k) - size)
+    return True
+
+
 def _times(filling: tuple[int, ...], left: dict[int, int]) -> int:
     return min(left[size] // n for size, n in Counter(filling).items())
 
@@ -134,11 +177,13 @@ class Shelf:
         for size in filling:
             self.left[size] += times
 
-    def choices(self, capacity: int, steps: int) -> list[tuple[tuple[int, ...], int]]:
+    def choices(self, capacity: int, steps: int, wide: bool = False) -> list[tuple[tuple[int, ...], int]]:
         """Sequences around the largest length, the fullest first, and how often each can be had."""
         largest = self.sizes[-1]
         self.left[largest] -= 1
-        found = [(largest, *f) for f in fillings(self.sizes, self.left, capacity - largest, steps)]
+        room = capacity - largest
+        rests = undominated(self.sizes, self.left, room, steps) if wide else []
+        found = [(largest, *f) for f in rests or fillings(self.sizes, self.left, room, steps)]
         self.left[largest] += 1
         out = []
         for filling in reversed(found):
@@ -169,18 +214,18 @@ def best_fit(counts: dict[int, int], capacity: int) -> list[tuple[tuple[int, ...
 def plan(counts: dict[int, int], capacity: int) -> list[tuple[tuple[int, ...], int]]:
     """Fillings and how often each is used; together they use up `counts`."""
     best, need = best_fit(counts, capacity), lower_bound(counts, capacity)
-    for fill_steps in FILL_STEPS:
+    for fill_steps, wide in [*((n, False) for n in FILL_STEPS), *((n, True) for n in WIDE_STEPS)]:
         if sum(n for _, n in best) > need:
-            best = _search(counts, capacity, best, need, fill_steps)
+            best = _search(counts, capacity, best, need, fill_steps, wide)
     return best
 
 
-def _search(counts: dict[int, int], capacity: int, best: list, need: int, fill_steps: int) -> list:
+def _search(counts: dict[int, int], capacity: int, best: list, need: int, fill_steps: int, wide: bool) -> list:
     """A plan with fewer sequences than `best`, if the search comes upon one."""
     total, fewest = sum(s * n for s, n in counts.items()), sum(n for _, n in best)
     search_steps = SEARCH_STEPS
     shelf, path, waste = Shelf(counts), [], 0
-    levels = [iter(shelf.choices(capacity, fill_steps))] if shelf.sizes else []
+    levels = [iter(shelf.choices(capacity, fill_steps, wide))] if shelf.sizes else []
     while levels and fewest > need and search_steps > 0:
         choice = next(levels[-1], None)
         search_steps -= choice is None
@@ -199,7 +244,7 @@ def _search(counts: dict[int, int], capacity: int, best: list, need: int, fill_s
         path.append(choice)
         waste += more
         if shelf.sizes:
-            levels.append(iter(shelf.choices(capacity, fill_steps)))
+            levels.append(iter(shelf.choices(capacity, fill_steps, wide)))
         else:
             best, fewest = list(path), sum(n for _, n in path)
             levels.append(iter(()))
