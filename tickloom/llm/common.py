@@ -20,13 +20,20 @@ BATCH_BYTES = 4 << 20
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; one of its own only where that is unset."""
+    """The folder in ``spark.checkpoint.dir``, in the store that it names or the cluster's default one.
+
+    Only where that is unset, as in tests, and driver and executors are one process, is a folder
+    of its own made; on a cluster a missing setting is an error.
+    """
     context = spark.sparkContext
     folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not folder:
+        if not context.master.startswith("local") or context.master.startswith("local-"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="llm-"))
         folder = context.getCheckpointDir()
-    return folder if ":" in folder else "file://" + folder
+    where = context._jvm.org.apache.hadoop.fs.Path(folder)
+    return where.getFileSystem(context._jsc.hadoopConfiguration()).makeQualified(where).toString()
 
 
 _ROOTS: list[Scratch] = []
@@ -53,8 +60,8 @@ class Scratch:
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
 
-    def stored(self, name: str, df: DataFrame) -> DataFrame:
-        df.write.parquet(self.path(name))
+    def stored(self, name: str, df: DataFrame, **options: object) -> DataFrame:
+        df.write.options(**options).parquet(self.path(name))
         return self.spark.read.schema(df.schema).parquet(self.path(name))
 
     def drop(self, name: str = "") -> None:

@@ -8,7 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tickloom.llm import (
+    bpe,
+    lexical,
     licenses,
+    negatives,
     packing,
     pivots,
     quality,
@@ -83,6 +86,22 @@ def op10_pivot_permutations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pivots.search(table(spark, sf_dir, "embeddings"), every=100)
 
 
+def op11_strassen_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return negatives.mine(table(spark, sf_dir, "embeddings"), every=100)
+
+
+def op12_trie_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return bpe.encode(docs, vocabulary("word_bpe_49k.json"), tokens.SPACE_DROPPED).select(
+        "doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
+    )
+
+
+def op13_bit_sliced_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.rank(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -96,10 +115,15 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_sentencepiece,
         op9_license_templates,
         op10_pivot_permutations,
+        op11_strassen_negatives,
+        op12_trie_bpe,
+        op13_bit_sliced_search,
     )
 }
 
 SQL: dict[str, str] = {
     "op1_rule_ledger": quality.SQL,
     "op9_license_templates": licenses.sql(),
+    "op11_strassen_negatives": negatives.SQL,
+    "op13_bit_sliced_search": lexical.SQL,
 }

@@ -3,6 +3,7 @@
 In the vocabularies used here a space between two other characters always starts a new
 pre-token, so a text's ids are those of its pieces end to end. Pieces recur: each distinct one
 is encoded once and remembered under its 64-bit hash, and a batch is put together from arrays.
+Strings of special tokens hold no space, so each lies in one piece, and the library reads it there.
 """
 
 from __future__ import annotations
@@ -54,8 +55,10 @@ class Encoder:
 
     def __init__(self, tokenizer, mark: str):
         self.tokenizer, self.mark, self.sign = tokenizer, mark, mark.strip(" ")
-        self.tokenizer.encode_special_tokens = True
-        (self.mark_id,) = self.tokenizer.encode(mark, add_special_tokens=False).ids
+        self.special = {t.content: i for i, t in tokenizer.get_added_tokens_decoder().items()}
+        if any(" " in t for t in self.special):
+            raise ValueError("a special token with a space has no place in one piece")
+        (self.mark_id,) = self._batch([mark])[0].tolist()
         self._forget()
 
     def _forget(self) -> None:
@@ -72,6 +75,7 @@ class Encoder:
         for i, text in enumerate(texts):
             core = text[1:] if text[0] == " " else text
             hard = not core or self.sign in core or core[0].isspace() or core[-1].isspace()
+            hard = hard or any(t in core for t in self.special)
             (odd if hard else easy).append(i)
         for i, ids in zip(odd, self._batch([texts[i] for i in odd]), strict=True):
             out[i] = ids

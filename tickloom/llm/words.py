@@ -11,8 +11,9 @@ import xxhash
 
 #: Bytes (or words) that are hashed in one step; bounds memory whatever the length of a text.
 STEP = 1 << 19
-#: Longer words are hashed one by one.
-LONG = 4096
+#: Longer words are hashed one by one, by XXH64: from 1,024 bytes on, two words of two letters in
+#: the order of Thue and Morse have one polynomial hash, whatever its base.
+LONG = 512
 MASK = (1 << 64) - 1
 BASE = 0x9E3779B97F4A7C15
 
