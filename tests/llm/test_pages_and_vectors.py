@@ -3,13 +3,19 @@
 from __future__ import annotations
 
 import html
+import json
 import re
+import time
+from functools import reduce
+from hashlib import blake2b
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tests.llm.cases import ROOT, given
 from tickloom.llm import pivots, queries, wrappers
+from tickloom.llm.common import Scratch
 from tickloom.llm.markup import blocks, tree
 
 PAGE = """<!DOCTYPE html><html><head><title>T &amp; U</title><script>var a="</p>";</script></head><body>
@@ -102,6 +108,62 @@ def test_the_wrapper_decides_in_articles_too(session):
     assert "Part of our series" in found[20] and "Filed by hand" in found[20]
 
 
+@pytest.mark.parametrize("page", ["<a " * 3_300_000, '<a "' * 500_000, '<a "<a" ' * 300_000, "<!x " * 500_000, "</script " * 300_000 + "<script>", "<b>" * 50_000 + "<p>" * 50_000, "<p><td>" + "<b>" * 20_000 + "<p></p>" * 20_000])
+def test_broken_pages_are_read_once(page):
+    start = time.perf_counter()
+    assert isinstance(wrappers.main_text(page, {"paths": [""], "fixed": [], "beside": []}), str)
+    assert time.perf_counter() - start < 10
+    if page.startswith("<a <a"):
+        start = time.perf_counter()
+        tree(page)
+        assert time.perf_counter() - start < 2
+
+
+def neutral(i):
+    """No article, no telling names: a notice on all pages, a menu, comments on some, a text of paragraphs."""
+    said = "".join(f"<div class='u'><b>R{i}{k}</b><span>fine {i} {k}</span></div>" for k in range(i % 3))
+    return (
+        f"<body><div class='a'><div>One</div><div>Two</div></div><div class='b'><div class='c'>We keep your data</div>"
+        f"<div class='d'><h1>Head {i}</h1><p>Text {i} {' '.join(f'w{i}x{k}' for k in range(60))}</p><p>End {i}</p>"
+        f"<i>All rights with us</i></div></div><div class='e'>{said}</div></body>"
+    )
+
+
+def test_neutral_names_need_the_other_pages(session, monkeypatch):
+    """The text changes when the other pages are taken away, and not with the way Spark cuts them."""
+    monkeypatch.setattr(wrappers, "BATCH", 4)
+    monkeypatch.setattr(wrappers, "FAN", 2)
+    rows = [(i, "http://neutral.x/a", neutral(i % 37)) for i in range(60)] + [(100, "http://alone.y/a", neutral(5))]
+    df = session.createDataFrame(rows, "page_id long, url string, html string")
+    found = [{r.page_id: r.text for r in wrappers.extract(df.repartition(n)).collect()} for n in (1, 7)]
+    assert found[0] == found[1]
+    for i in range(60):
+        j = i % 37
+        assert found[0][i] == f"Head {j} Text {j} {' '.join(f'w{j}x{k}' for k in range(60))} End {j}"
+    assert "All rights with us" in found[0][100] and found[0][100] != found[0][5]
+
+
+def test_a_hot_host_is_joined_in_a_tree(session, monkeypatch):
+    """Parts of a host by the hash of its pages, aligned in its order, joined level by level: as in plain loops."""
+    monkeypatch.setattr(wrappers, "BATCH", 4)
+    monkeypatch.setattr(wrappers, "FAN", 3)
+    pages = [neutral(i) for i in range(50)]
+    df = session.createDataFrame([("http://hot.x/a", p) for p in pages] * 2, "url string, html string").repartition(5)
+    (row,) = wrappers.wrappers(df, Scratch(session, "test")).collect()
+    hashes = {blake2b(p.encode(), digest_size=16).digest(): p for p in pages}
+    dealt = session.createDataFrame([(h,) for h in hashes], "page binary").select("page", F.pmod(F.xxhash64("page"), F.lit(13)).alias("part"))
+    level: dict[int, list] = {}
+    for r in sorted(dealt.collect(), key=lambda r: bytes(r.page)):
+        level.setdefault(r.part, []).append(wrappers.expression(tree(hashes[bytes(r.page)])))
+    joined = {k: reduce(wrappers.aligned, v) for k, v in level.items()}
+    while len(joined) > 1:
+        above: dict[int, list] = {}
+        for k, w in joined.items():
+            above.setdefault(k // 3, []).append(json.dumps(w))
+        joined = {k: reduce(wrappers.aligned, map(json.loads, sorted(v))) for k, v in above.items()}
+    assert (row.host, row.pages) == ("hot.x", 50) and json.loads(row.wrapper) == joined[0]
+
+
 def article(page: str) -> str:
     inner = re.search(r"<article>(.*?)</article>", page, re.S)[1]
     inner = re.sub(r"</?(p|h1|br|li|ul|div)>", "\n", inner)

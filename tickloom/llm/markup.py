@@ -4,12 +4,15 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from dataclasses import dataclass, field
 
+#: A tag ends at its `>`. One that meets a `<` outside quotes before it, or the end of the page, is
+#: broken and dropped as far as it was read, so no part of a page is read twice. Runs of broken tags
+#: without quotes are one token. A quote that is never closed is a character.
 TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<[!?][^>]*>"
-    r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>"
-    r"|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>",
+    r"<!--.*?(?:-->|\Z)|<[!?][^>]*+(?:>|\Z)|(?:</?[a-zA-Z][^<>\"']*+(?=<))++"
+    r"|<(/?)([a-zA-Z][^\s/<>]*+)((?:[^<>\"']++|\"[^\"]*+\"|'[^']*+'|[\"'])*+)(>|\Z|(?=<))",
     re.S,
 )
 ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
@@ -32,8 +35,9 @@ ENDS = {
 
 
 HEAD = frozenset(("h1", "main"))
-#: Elements nested deeper hang beside their parent, so that no page makes a tree too deep to walk.
-DEEPEST = 120
+#: Elements nested deeper hang beside their parent, so that no page makes a tree too deep to walk;
+#: so many may be open, further ones hold nothing of their own.
+DEEPEST, OPEN = 120, 512
 
 
 @dataclass
@@ -64,6 +68,7 @@ def tree(page: str) -> Node:
     """The page as a tree. Tags that are never closed end with what holds them."""
     root = Node("#root")
     stack, at, n = [root], 0, len(page)
+    open_tags: Counter[str] = Counter()
     while at < n:
         found = TOKEN.search(page, at)
         start = found.start() if found else n
@@ -72,49 +77,60 @@ def tree(page: str) -> Node:
         if not found:
             break
         at = found.end()
-        tag = found[2] or found[5]
-        if not tag:
+        if found[4] != ">":
             continue
-        tag = tag.lower()
-        if found[1] or found[4]:
-            _close(stack, tag)
+        tag = found[2].lower()
+        if found[1]:
+            if open_tags[tag]:
+                _close(stack, tag, open_tags)
             continue
-        if tag in ENDS_P:
-            _end(stack, {"p"}, BLOCK - {"p"})
+        if tag in ENDS_P and open_tags["p"]:
+            _end(stack, {"p"}, BLOCK - {"p"}, open_tags)
         if tag in ENDS:
-            _end(stack, *ENDS[tag])
-        attributes = found[3] if found[2] else found[6]
-        node = _named(tag, attributes)
+            _end(stack, *ENDS[tag], open_tags)
+        node = _named(tag, found[3])
         node.hidden |= len(stack) > DEEPEST and stack[-1].hidden
         stack[min(len(stack), DEEPEST) - 1].kids.append(node)
         if tag in HEAD:
-            for outer in (*stack, node):
+            node.holds = True
+            for outer in reversed(stack):
+                if outer.holds:
+                    break
                 outer.holds = True
         if tag in RAW:
-            end = re.compile(rf"</{re.escape(tag)}\b[^>]*>", re.I).search(page, at)
+            end = re.compile(rf"</{re.escape(tag)}(?![^\s/>])", re.I).search(page, at)
             node.kids.append(page[at : end.start() if end else n])
-            at = end.end() if end else n
-        elif tag not in VOID:
+            after = page.find(">", end.end()) if end else -1
+            at = after + 1 if after >= 0 else n
+        elif tag not in VOID and len(stack) < OPEN:
             stack.append(node)
+            open_tags[tag] += 1
     return root
 
 
-def _end(stack: list[Node], tags: set[str], walls: set[str]) -> None:
+def _cut(stack: list[Node], at: int, open_tags: Counter[str]) -> None:
+    open_tags.subtract(node.tag for node in stack[at:])
+    del stack[at:]
+
+
+def _end(stack: list[Node], tags: set[str], walls: set[str], open_tags: Counter[str]) -> None:
     """Closes the outermost open one of `tags` above the last of `walls`."""
     last = None
+    if not any(open_tags[t] for t in tags):
+        return
     for i in range(len(stack) - 1, 0, -1):
         if stack[i].tag in tags:
             last = i
         elif stack[i].tag in walls:
             break
     if last is not None:
-        del stack[last:]
+        _cut(stack, last, open_tags)
 
 
-def _close(stack: list[Node], tag: str) -> None:
+def _close(stack: list[Node], tag: str, open_tags: Counter[str]) -> None:
     for i in range(len(stack) - 1, 0, -1):
         if stack[i].tag == tag:
-            del stack[i:]
+            _cut(stack, i, open_tags)
             return
         if tag not in BLOCK and stack[i].tag in BLOCK:
             return

@@ -3,16 +3,20 @@
 A page's tree is first folded on itself (runs of like elements, or of like groups of elements,
 become repeated groups). Then the expressions of a host's pages are aligned one after another:
 texts that differ become slots, elements that one side lacks become optional, and what repeats
-on either side is repeated. The wrapper then tells which region of the template is the main text
-and which texts in it are the template's own. Folding and aligning are done per task first and
-joined in steps, so that a host with a third of all pages is no longer than others. Equal pages
-of a host count once: a text is the template's own if a large share of the different pages has it.
+on either side is repeated. The wrapper tells which region of the template is the main text (where
+the pages differ most) and which texts in it are the template's own (those that a large share of
+the different pages has in one place). Only where it leaves a choice do words help: an article or
+main element that every page has once and that holds most of the differing text is the region, and
+an element named like a comment, notice or advert is left out if it holds less than half of it.
+
+Equal pages of a host count once. Its different pages are dealt by their hash into parts of some
+256, aligned in the order of the hash, and the parts' wrappers are joined in a tree, so that a host
+with a third of all pages is many tasks, and the wrapper does not depend on how Spark cuts them.
 """
 
 from __future__ import annotations
 
 import json
-import zlib
 from hashlib import blake2b
 from collections.abc import Iterator
 from urllib.parse import urlsplit
@@ -25,7 +29,7 @@ from pyspark.sql.types import StringType
 from tickloom.llm.common import Scratch, plain, slices
 from tickloom.llm.markup import Node, blocks, tree
 
-#: Elements that are never main text, and words of class, id and role that say so.
+#: Elements that are never main text, and words of class, id and role that help to choose.
 ASIDE_TAGS = frozenset(
     "nav footer aside form script style noscript template iframe svg button select textarea input head title "
     "object embed canvas audio video dialog menu xmp noembed noframes".split()
@@ -47,17 +51,21 @@ LONGEST_GROUP = 3
 SEEN, SHARE = 3, 0.5
 #: Wrappers of together at most so many bytes are broadcast; beyond it, pages meet them in a join.
 BROADCAST_BYTES = 8 << 20
-#: Parts in which a host's wrappers are joined before the last step.
-STEPS = 64
+#: Different pages of a host that are aligned in one task, about, and wrappers that are joined in one.
+BATCH, FAN = 256, 32
 
 
 def aside(node: Node) -> bool:
-    """Whether a node is beside the main text. What holds the page's heading is so by few tags only."""
+    """Whether a node's tag is none of main text. What holds the page's heading is so by few tags only."""
     if node.hidden:
         return True
     if node.holds and node.tag not in ALWAYS_ASIDE:
         return False
-    return node.tag in ASIDE_TAGS or bool(node.names & ASIDE_NAMES)
+    return node.tag in ASIDE_TAGS
+
+
+def checksum(text: str) -> int:
+    return int.from_bytes(blake2b(text.encode(), digest_size=8).digest(), "big")
 
 
 # --- expressions: an item is a dict with k (key), o (optional), r (repeated), n (pages),
@@ -71,7 +79,7 @@ def expression(page: Node) -> list[dict]:
         if isinstance(kid, str):
             text = " ".join(kid.split())
             if text:
-                items.append({"k": "#", "o": 0, "r": 0, "n": 1, "m": len(text), "h": zlib.crc32(text.encode())})
+                items.append({"k": "#", "o": 0, "r": 0, "n": 1, "m": len(text), "h": checksum(text)})
         elif not aside(kid):
             items.append({"k": kid.key, "o": 0, "r": 0, "n": 1, "c": expression(kid)})
     return folded(items)
@@ -163,28 +171,66 @@ def flat(items: list[dict]) -> Iterator[dict]:
 
 
 def regions(wrapper: list[dict], pages: int | None = None) -> dict:
-    """`paths` of the template's main regions, and `fixed` texts there that are not main text.
+    """`paths` of the template's main regions, `fixed` texts there that are not main text, and
+    `beside`: places below a region whose name says that they are not.
 
-    Tags only help to choose the regions; which texts of theirs are the template's is told by the
-    pages. A fixed text is known by its place (keys below the region) and checksum.
-    `pages` is how many different ones the wrapper is of; if not given, as many as its commonest item has.
+    The way goes down to the element that holds most of what differs between pages. A fixed text
+    is known by its place (keys below the region) and checksum. `pages` is how many different
+    ones the wrapper is of; if not given, as many as its commonest item has.
     """
     pages = pages or max((x["n"] for x in wrapper), default=1)
-    for tag in REGIONS:
-        found = _chosen(list(_tagged(wrapper, tag, (), True)), pages)
+    # Too few pages to tell what differs: elements that are called a text come first.
+    if pages < SEEN:
+        found = _named_regions(wrapper, (), pages, 0)
         if found:
-            fixed = set().union(*(_fixed(x["c"], pages) for _, x, _ in found))
-            return {"paths": sorted({p for p, _, _ in found}), "fixed": sorted(fixed)}
-    path, items = [], wrapper
+            return _described(found, pages)
+    path, items, found = [], wrapper, []
     while True:
         total = mass(items, pages)
         inside = [(mass(x["c"], pages), x) for x in flat(items) if "c" in x]
         heaviest = max(inside, key=lambda p: p[0], default=(0, None))
-        if not total or heaviest[0] < 0.8 * total or heaviest[1]["r"] or heaviest[1]["k"].split(".")[0] in LINES:
+        tag = heaviest[1]["k"].split(".")[0] if heaviest[1] else ""
+        if not total or heaviest[0] < 0.8 * total or heaviest[1]["r"] or tag in LINES:
             break
         path.append(heaviest[1]["k"])
         items = heaviest[1]["c"]
-    return {"paths": ["/".join(path)], "fixed": sorted(_fixed(items, pages))}
+    if not any(k.split(".")[0] in REGIONS for k in path):
+        found = _named_regions(items, tuple(path), pages, total)
+    return _described(found or [("/".join(path), items)], pages)
+
+
+def _described(found: list[tuple[str, list[dict]]], pages: int) -> dict:
+    return {
+        "paths": sorted({p for p, _ in found}),
+        "fixed": sorted(set().union(*(_fixed(i, pages) for _, i in found))),
+        "beside": sorted(set().union(*(_beside(i, pages, 0.5 * mass(i, pages)) for _, i in found))),
+    }
+
+
+def _named_regions(items: list[dict], path: tuple[str, ...], pages: int, total: int) -> list[tuple[str, list[dict]]]:
+    """Of article elements, else main ones, below a region: those that hold most of it and more than all others."""
+    for tag in REGIONS:
+        tagged = [
+            x for x in _tagged(items, tag, path, True)
+            if 0 < total < 2 * mass(x[1]["c"], pages) or not any(ASIDE_NAMES.intersection(k.split(".")[1:]) for k in x[0].split("/"))
+        ]
+        chosen = _chosen(tagged, pages)
+        if chosen and 2 * sum(mass(x["c"], pages) for _, x, _ in chosen) > total:
+            return [(p, x["c"]) for p, x, _ in chosen]
+    return []
+
+
+def _beside(items: list[dict], pages: int, most: float, path: str = "") -> set[str]:
+    """Places of elements with a name that says so, if they hold less than `most`."""
+    out = set()
+    for item in flat(items):
+        if "c" in item:
+            here = f"{path}{item['k']}"
+            if ASIDE_NAMES.intersection(item["k"].split(".")[1:]) and mass(item["c"], pages) < most:
+                out.add(here)
+            else:
+                out |= _beside(item["c"], pages, most, f"{here}/")
+    return out
 
 
 def _tagged(items: list[dict], tag: str, path: tuple[str, ...], steady: bool) -> Iterator[tuple[str, dict, bool]]:
@@ -232,12 +278,12 @@ def main_text(page: str, wrapper: dict | None) -> str:
     if not found:
         wrapper = regions(expression(root))
         found = _at(root, wrapper["paths"])
-    fixed = set(wrapper["fixed"])
+    fixed, beside = set(wrapper["fixed"]), set(wrapper["beside"])
     parts: list = []
     for node in found:
         kids = node.kids
-        if fixed:
-            kids = [_without(k, fixed) for k in kids]
+        if fixed or beside:
+            kids = [_without(k, fixed, beside) for k in kids]
         parts += [None, *kids]
     return " ".join(blocks(_headed(parts), aside))
 
@@ -264,12 +310,15 @@ def _headings(node: Node) -> Iterator[Node]:
                 yield from _headings(kid)
 
 
-def _without(part, fixed: set[str], path: str = ""):
+def _without(part, fixed: set[str], beside: set[str], path: str = ""):
     if isinstance(part, str):
         text = " ".join(part.split())
-        return "" if text and f"{path}{zlib.crc32(text.encode())}" in fixed else part
-    inside = f"{path}{part.key}/"
-    return Node(part.tag, part.names, part.hidden, part.holds, [_without(k, fixed, inside) for k in part.kids])
+        return "" if text and f"{path}{checksum(text)}" in fixed else part
+    here = f"{path}{part.key}"
+    if here in beside:
+        return Node(part.tag)
+    kids = [_without(k, fixed, beside, f"{here}/") for k in part.kids]
+    return Node(part.tag, part.names, part.hidden, part.holds, kids)
 
 
 def _at(root: Node, paths: list[str]) -> list[Node]:
@@ -300,7 +349,7 @@ def host_of(url: str | None) -> str:
 # --- Spark ---
 
 PAGE = "host string, page binary, wrapper string"
-PARTIAL = "host string, part int, pages long, wrapper string"
+PARTIAL = "host string, part long, pages long, wrapper string"
 
 
 def _expressions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -318,41 +367,34 @@ def _expressions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def _partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A wrapper per host and batch of different pages."""
-    for batch in slices(batches, "wrapper"):
-        found: dict[str, list[dict]] = {}
-        pages: dict[str, int] = {}
-        for host, text in zip(batch.column("host").to_pylist(), batch.column("wrapper").to_pylist(), strict=True):
-            page = json.loads(text)
-            found[host] = aligned(found[host], page) if host in found else page
-            pages[host] = pages.get(host, 0) + 1
-        texts = [json.dumps(w) for w in found.values()]
-        parts = [zlib.crc32(t.encode()) % STEPS for t in texts]
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(found, pa.string()), pa.array(parts, pa.int32()), pa.array(pages.values(), pa.int64()), pa.array(texts, pa.string())],
-            ["host", "part", "pages", "wrapper"],
-        )
-
+def _joined(order: str):
+    def run(table: pa.Table) -> pa.Table:
+        """The wrappers of one host and part as one, aligned in a fixed order."""
+        wrapper = None
+        for text in table.sort_by(order)["wrapper"].to_pylist():
+            wrapper = json.loads(text) if wrapper is None else aligned(wrapper, json.loads(text))
+        return pa.table({
+            "host": pa.array([table["host"][0].as_py()], pa.string()), "part": pa.array([table["part"][0].as_py()], pa.int64()),
+            "pages": pa.array([table["pages"][0].as_py()], pa.int64()), "wrapper": pa.array([json.dumps(wrapper)], pa.string()),
+        })
 
-def _joined(table: pa.Table) -> pa.Table:
-    """The wrappers of one host (and part) as one, in an order of their own."""
-    texts = sorted(table["wrapper"].to_pylist())
-    wrapper = json.loads(texts[0])
-    for text in texts[1:]:
-        wrapper = aligned(wrapper, json.loads(text))
-    return pa.table({
-        "host": pa.array([table["host"][0].as_py()], pa.string()), "part": pa.array([0], pa.int32()),
-        "pages": pa.array([sum(table["pages"].to_pylist())], pa.int64()), "wrapper": pa.array([json.dumps(wrapper)], pa.string()),
-    })
+    return run
 
 
-def wrappers(pages: DataFrame) -> DataFrame:
+def wrappers(pages: DataFrame, scratch: Scratch) -> DataFrame:
     """host, pages (different ones) and wrapper (JSON) of every host of `pages` (url, html)."""
     every = plain(pages, url="string", html="string").mapInArrow(_expressions, PAGE)
-    different = every.dropDuplicates(["host", "page"]).sortWithinPartitions("host", "page")
-    first = different.mapInArrow(_partial, PARTIAL).groupBy("host", "part").applyInArrow(_joined, PARTIAL)
-    return first.groupBy("host").applyInArrow(_joined, PARTIAL).select("host", "pages", "wrapper")
+    different = scratch.stored("expressions", every.dropDuplicates(["host", "page"]))
+    counts = different.groupBy("host").agg(F.count("*").alias("pages"))
+    width = -(-(counts.agg(F.max("pages")).first()[0] or 1) // BATCH)
+    part = F.pmod(F.xxhash64("page"), F.ceil(F.col("pages") / BATCH))
+    dealt = different.join(counts, "host").withColumn("part", part)
+    found = dealt.groupBy("host", "part").applyInArrow(_joined("page"), PARTIAL)
+    while width > 1:
+        above = found.withColumn("part", F.floor(F.col("part") / FAN))
+        found = above.groupBy("host", "part").applyInArrow(_joined("wrapper"), PARTIAL)
+        width = -(-width // FAN)
+    return found.select("host", "pages", "wrapper")
 
 
 def _regions_of(wrapper: pa.Array, pages: pa.Array) -> pa.Array:
@@ -378,12 +420,13 @@ def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text and n_chars (code points) of every row.
 
     A null or empty page has an empty text; a null url is a host of its own. Repeated rows and
-    ids give rows of their own.
+    ids give rows of their own. Very long and broken pages are read in one pass. An empty table
+    gives an empty result. Other columns go, whatever their names.
     """
     spark = pages.sparkSession
     scratch = Scratch(spark, "wrappers")
     rule = F.arrow_udf(_regions_of, StringType())
-    found = scratch.stored("regions", wrappers(pages).select("host", rule("wrapper", "pages").alias("regions")))
+    found = scratch.stored("regions", wrappers(pages, scratch).select("host", rule("wrapper", "pages").alias("regions")))
     size = found.agg(F.sum(F.octet_length("host") + F.octet_length("regions"))).first()[0] or 0
     rows = plain(pages, page_id="long", url="string", html="string").withColumn(
         "host", F.arrow_udf(_hosts, StringType())("url")
