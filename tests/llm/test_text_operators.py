@@ -13,7 +13,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from tests.llm.cases import ROOT, given
-from tickloom.llm import licenses, quality, queries, simhash, substring
+from tickloom.llm import license_texts, licenses, quality, queries, simhash, substring
 
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 
@@ -60,19 +60,50 @@ def test_licenses(docs, texts, nothing):
     assert rows_of(found) == by_sql("op9_license_templates", texts)
     assert licenses.scan(nothing).count() == 0
     (row,) = found.where("doc_id = 18").collect()
-    assert (row.n_base, row.base_labels, row.labels, row.score) == (2, "cc-by-nc,mit", "cc-by-nc,mit", 1.0)
+    assert (row.n_base, row.base_labels, row.labels, row.score) == (2, "cc-by-nc,mit", "cc-by-nc,mit", 0.6)
 
 
-@pytest.mark.parametrize(("label", "template"), licenses.TEMPLATES)
-def test_automata_agree_with_expressions(label, template):
-    automaton, regex = licenses.compiled(label, template), re.compile(licenses.expression(template))
-    full = re.sub(r"<\d+-(\d+)>", lambda m: " ".join("v" * 1 for _ in range(int(m[1]))), template.replace("[[", "").replace("]]", ""))
+def wordings(template):
+    """The longest and the shortest wording of a template."""
+    full = re.sub(r"<\d+-(\d+)>", lambda m: " ".join("v" for _ in range(int(m[1]))), template.replace("[[", "").replace("]]", ""))
     bare = re.sub(r"<(\d+)-\d+>", lambda m: " ".join("v" for _ in range(int(m[1]))), re.sub(r"\[\[.*?\]\]", "", template))
-    for wording in (full, bare, full.replace(full.split()[2], "changed")):
-        words = wording.split()
-        accepted = automaton.accepts([licenses.word_hash(w) for w in words])
-        assert accepted == bool(regex.match(" " + " ".join(words) + " "))
-    assert automaton.accepts([licenses.word_hash(w) for w in [*full.split(), "more"]])
+    return " ".join(full.split()), " ".join(bare.split())
+
+
+@pytest.mark.parametrize("number", range(len(licenses.TEMPLATES)))
+def test_automata_agree_with_the_printed_texts(number):
+    """Both were written down apart: each word of either that is changed is missed by both."""
+    label, score, template = licenses.TEMPLATES[number]
+    automaton, (named, graded, pattern) = licenses.compiled(label, score, template), license_texts.patterns()[number]
+    assert (named, graded) == (label, score)
+    regex = re.compile(pattern)
+    full, bare = wordings(template)
+    words = full.split()
+    changed = [" ".join([*words[:i], "changed", *words[i + 1 :]]) for i in range(len(words))]
+    for wording in (full, bare, *changed):
+        split = wording.encode().split()
+        accepted = automaton.accepts(split)
+        assert accepted == automaton.accepts([licenses.word_hash(w.decode()) for w in split], automaton.hashed)
+        assert accepted == bool(regex.match(f" {wording} "))
+    assert automaton.accepts([*full.encode().split(), b"more"])
+
+
+def test_a_changed_condition_scores_less(session):
+    """Whole licences score 1, with any one condition changed less; in the scan and in SQL."""
+    whole = [(label, wordings(t)[0]) for label, score, t in licenses.TEMPLATES if score == 1.0]
+    assert {label for label, _ in whole} == {"mit", "isc", "bsd-2", "bsd-3"}
+    rows = []
+    for label, text in whole:
+        for old, new in (("this", "this"), ("copyright notice", "copyright mark"), ("as is", "as it is"), ("damages", "losses"), ("warranties", "promises")):
+            rows.append((len(rows), text.replace(old, new).title()))
+    rows.append((len(rows), "x" * 2048 + " " + whole[0][1]))
+    df = session.createDataFrame(rows, "doc_id long, text string")
+    got = rows_of(licenses.scan(df))
+    assert got == by_sql("op9_license_templates", rows)
+    score = {r.doc_id: (r.score, r.labels) for r in licenses.scan(df).collect()}
+    for i, (label, _) in enumerate(whole):
+        assert score[5 * i][0] == 1.0 and label in score[5 * i][1].split(",")
+        assert all(score[5 * i + k][0] < 1 for k in range(1, 5))
 
 
 def fingerprint(text) -> int:
