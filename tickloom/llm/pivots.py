@@ -5,7 +5,9 @@ vectors; each block has an inverted file per pivot, with the vectors that have t
 their nearest and its place in their order. A query adds up over the files of its own nearest
 pivots how well the places agree, which gives the footrule distance of the two orders (pivots
 beyond the list count as at its end); the best part of each block is ranked anew by distance.
-Equal vectors of a block are one entry with its smallest ids, and ties at the cut are all kept.
+A query reads the files of its own 64 nearest pivots only, and 15 % of the vectors are measured:
+recall of the ten nearest was 0.96 on 2,000 vectors of 64 dimensions and 0.99 on 51,282 (with 10 %
+0.92 and 0.99, with 5 % 0.81 and 0.96; with 32 files and 15 % 0.85 and 0.95). Equal vectors of a block are one entry with its smallest ids, and ties at the cut are all kept.
 
 The work is queries times vectors divided by the block, as for any stated query set against all
 rows; no block, query block or result is held whole anywhere.
@@ -24,12 +26,15 @@ from tickloom.llm.common import Scratch
 
 #: Pivots (the only sample: the vectors with the smallest hash of their id), nearest ones posted,
 #: and the part of a block that is ranked anew.
-PIVOTS, POSTED, RERANKED = 256, 192, 0.25
+PIVOTS, POSTED, RERANKED = 256, 64, 0.15
 #: Vectors per block and queries per block.
 BLOCK, QUERIES = 4096, 1024
 #: At least so many of a block are ranked anew.
 LEAST = 100
 
+#: Components beyond it are scaled before they are squared.
+HUGE = 1e150
+
 FOUND = "query_id long, vec_id long, score double"
 
 
@@ -74,13 +79,19 @@ class Files:
 
 def nearest_pivots(vectors: np.ndarray, pivots: np.ndarray, n: int) -> np.ndarray:
     """The indices of the n nearest pivots of each vector, nearest first, ties to the smaller index."""
+    largest = max(np.abs(vectors).max(initial=0), np.abs(pivots).max(initial=0))
+    if largest > HUGE:
+        vectors, pivots = vectors / largest, pivots / largest
     far = (vectors**2).sum(1)[:, None] + (pivots**2).sum(1)[None] - 2 * vectors @ pivots.T
     return np.argsort(far, axis=1, kind="stable")[:, :n]
 
 
 def best(ids: np.ndarray, vectors: np.ndarray, own: int, query: np.ndarray, k: int) -> list[tuple[int, float]]:
     """The k nearest by exact distance, ties to the smaller id, without the query itself."""
-    score = np.sqrt(((vectors - query) ** 2).sum(1))
+    largest = max(np.abs(vectors).max(initial=0), np.abs(query).max(initial=0))
+    scale = largest if largest > HUGE else 1.0
+    with np.errstate(over="ignore"):  # beyond a double a distance is infinite
+        score = np.sqrt(((vectors / scale - query / scale) ** 2).sum(1)) * scale
     other = ids != own
     ids, score = ids[other], score[other]
     order = np.lexsort((ids, score))[:k]
@@ -111,6 +122,8 @@ def search(vectors: DataFrame, every: int, k: int = 10, pivots: int = PIVOTS, po
     """query_id, rank, vec_id, score: the k nearest found of each vec_id that `every` divides.
 
     A vec_id with several vectors is searched with each; its results are the nearest of all.
+    Components of any size count; a distance beyond a double is infinite. Very long vectors are
+    as any other; other columns go, whatever their names; an empty table gives an empty result.
     """
     spark = vectors.sparkSession
     scratch = Scratch(spark, "pivots")
