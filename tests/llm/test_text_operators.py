@@ -200,6 +200,23 @@ def test_repeated_windows(docs, texts, nothing, width, monkeypatch):
     assert substring.remove_repeated(nothing).count() == 0
 
 
+def test_rows_of_a_batch_do_not_grow_with_the_groups(docs, texts, monkeypatch):
+    """Coarse ranges first: the same result, and no more rows a batch, however many groups."""
+    monkeypatch.setattr(substring, "COARSE", 8)
+    monkeypatch.setattr(substring, "DEALT", 5000)
+    rows = docs.select("doc_id", "text", F.xxhash64("text").alias("hash"))
+    most = []
+    for size in (200_000, 2_000, 100):
+        monkeypatch.setattr(substring, "GROUP_BYTES", size)
+        groups = -(-substring.text_bytes(docs) // size)
+        windows = substring._windows(rows, 4, min(groups, substring.COARSE))
+        most.append(windows.groupBy("batch").count().agg(F.max("count")).first()[0])
+        done = substring.remove_repeated(docs, 4)
+        got = done.select("doc_id", F.sha2("kept_text", 256).alias("kept"), "n_removed", F.col("n_words").alias("words"))
+        assert sorted(map(tuple, got.collect()), key=repr) == kept(texts, 4)
+    assert groups > 2000 and max(most) <= 8
+
+
 def test_a_batch_computed_again_keeps_its_name(docs):
     """A lost executor has map outputs made again under another stage id."""
     rows = docs.select("doc_id", "text", F.xxhash64("text").alias("hash"))

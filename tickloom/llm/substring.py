@@ -6,30 +6,37 @@ once), and sends the hashes in one packed row per counting group. So a passage t
 third of the corpus still counts once per batch, and no group grows with it. A counting group
 finds the hashes that came from two batches or more and returns their places; the places of a
 batch are merged into maximal intervals, and the intervals meet their documents.
+
+A group is a range of hashes. Groups grow in number with the texts, batches do not grow, so beyond
+1,024 groups the rows of a batch go to 1,024 coarse ranges first; a task then takes a coarse range
+as a stream, some millions of windows at a time, and deals these into the groups inside it. So a
+batch never makes more than 1,024 rows, and rows stay long however many groups there are.
 """
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from tickloom.llm.common import buffer_of, slices, text_bytes
-from tickloom.llm.words import SPACED, spans, window_hashes, windows_inside, word_hashes
+from tickloom.llm.words import SPACED, mixed, spans, window_hashes, windows_inside, word_hashes
 
 WINDOW = 35
 #: Bytes of text per counting group, about; a group's hashes are held in one task.
 GROUP_BYTES = 8 << 20
+#: Rows that a batch makes at most, and windows that are dealt anew at once.
+COARSE, DEALT = 1024, 1 << 21
 
-PACKED = "grp int, batch string, hashes binary, gaps binary, directory binary, known binary"
-PLACES = "batch string, places binary, directory binary, known binary"
+#: Windows of one batch (`batch`, `gaps`), or of several (`owners`, `places`: one per window).
+PACKED = "grp long, batch long, hashes binary, gaps binary, owners binary, places binary, directory binary, known binary"
+KINDS = (pa.int64(), pa.int64(), *[pa.binary()] * 6)
+PLACES = "batch long, places binary, directory binary, known binary"
 SPANS = "doc_id long, hash long, n_words long, first array<int>, last array<int>"
 
 
@@ -52,6 +59,21 @@ def _directory(batch: pa.RecordBatch, counts: np.ndarray) -> bytes:
     return sink.getvalue().to_pybytes()
 
 
+def group_of(hashes: np.ndarray, groups: int) -> np.ndarray:
+    """The range of each hash, of as many equal ones as there are groups (below 2**31)."""
+    return ((hashes >> np.uint64(32)) * np.uint64(groups) >> np.uint64(32)).astype(np.int64)
+
+
+def home_of(batch: int, groups: int) -> int:
+    """The group whose row carries what a batch's intervals need."""
+    return int(group_of(mixed(np.array([batch], np.uint64)), groups)[0])
+
+
+def _rows(rows: list[dict]) -> pa.RecordBatch:
+    names = [c.split()[0] for c in PACKED.split(", ")]
+    return pa.RecordBatch.from_arrays([pa.array([r.get(n) for r in rows], k) for n, k in zip(names, KINDS, strict=True)], names)
+
+
 def _windows(docs: DataFrame, width: int, groups: int) -> DataFrame:
     """Packed rows: each batch's different window hashes, split by group.
 
@@ -75,37 +97,72 @@ def _windows(docs: DataFrame, width: int, groups: int) -> DataFrame:
             known = np.sort(places[order[again]])
             once = np.sort(order[new])
             hashes, places = hashes[once], places[once]
-            group = (hashes >> np.uint64(40)).astype(np.int64) % groups
+            group = group_of(hashes, groups)
             order = np.argsort(group, kind="stable")
             edges = np.searchsorted(group[order], np.arange(groups + 1))
-            key = f"{part}-{number}"
-            home = hash_of(key) % groups
-            rows = {c: [] for c in ("grp", "batch", "hashes", "gaps", "directory", "known")}
+            key = part << 32 | number
+            home = home_of(key, groups)
+            rows = []
             for g in np.flatnonzero((np.diff(edges) > 0) | (np.arange(groups) == home)).tolist():
                 own = order[edges[g] : edges[g + 1]]
-                values = (
-                    g, key, hashes[own].tobytes(), _pack_gaps(places[own]),
-                    _directory(batch, counts) if g == home else None,
-                    _pack_gaps(known) if g == home else None,
-                )
-                for column, value in zip(rows.values(), values, strict=True):
-                    column.append(value)
-            kinds = (pa.int32(), pa.string(), *[pa.binary()] * 4)
-            arrays = [pa.array(c, k) for c, k in zip(rows.values(), kinds, strict=True)]
-            yield pa.RecordBatch.from_arrays(arrays, list(rows))
+                rows.append({"grp": g, "batch": key, "hashes": hashes[own].tobytes(), "gaps": _pack_gaps(places[own])})
+                if g == home:
+                    rows[-1] |= {"directory": _directory(batch, counts), "known": _pack_gaps(known)}
+            yield _rows(rows)
 
     return docs.mapInArrow(run, PACKED)
 
 
-def hash_of(text: str) -> int:
-    return uuid.uuid5(uuid.NAMESPACE_OID, text).int
+def _content(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hash, batch and place of each window of a packed row."""
+    hashes = np.frombuffer(row["hashes"], np.uint64)
+    if row["owners"] is not None:
+        return hashes, np.frombuffer(row["owners"], np.int64), np.frombuffer(row["places"], "<u4").astype(np.int64)
+    return hashes, np.full(len(hashes), row["batch"], np.int64), _unpack_gaps(row["gaps"])
+
+
+def _finer(groups: int):
+    """Rows of coarse ranges dealt into the groups inside them, a bounded number of windows at a time."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+
+        def dealt() -> pa.RecordBatch:
+            hashes, owners, places = (np.concatenate(x) for x in zip(*held, strict=True))
+            group = group_of(hashes, groups)
+            order = np.lexsort((places, owners, group))
+            found, first = np.unique(group[order], return_index=True)
+            cuts = np.append(first, len(order))
+            return _rows([
+                {
+                    "grp": g, "hashes": hashes[own].tobytes(), "owners": owners[own].tobytes(),
+                    "places": places[own].astype("<u4").tobytes(),
+                }
+                for g, a, b in zip(found.tolist(), cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)
+                for own in [order[a:b]]
+            ])
+
+        for batch in batches:
+            for row in batch.to_pylist():
+                if row["directory"] is not None:
+                    empty = {"hashes": b"", "gaps": b""}
+                    yield _rows([row | empty | {"grp": home_of(row["batch"], groups)}])
+                content = _content(row)
+                held.append(content)
+                n += len(content[0])
+                if n >= DEALT:
+                    yield dealt()
+                    held, n = [], 0
+        if n:
+            yield dealt()
+
+    return run
 
 
 def _repeated(table: pa.Table) -> pa.Table:
     """Of one group: per batch, the places whose hash also came from another batch."""
-    hashes = [np.frombuffer(x, np.uint64) for x in table["hashes"].to_pylist()]
-    sizes = np.array([len(h) for h in hashes])
-    flat = np.concatenate([np.empty(0, np.uint64), *hashes])
+    rows = table.to_pylist()
+    flat, owners, places = (np.concatenate(x) for x in zip(*map(_content, rows), strict=True))
     order = np.argsort(flat)
     ranked = flat[order]
     same = np.zeros(len(flat), bool)
@@ -113,16 +170,19 @@ def _repeated(table: pa.Table) -> pa.Table:
         equal = ranked[1:] == ranked[:-1]
         same[order[1:][equal]] = True
         same[order[:-1][equal]] = True
-    edges = np.append(0, np.cumsum(sizes))
-    places = []
-    for i, gaps in enumerate(table["gaps"].to_pylist()):
-        hit = same[edges[i] : edges[i + 1]]
-        places.append(_pack_gaps(_unpack_gaps(gaps)[hit]) if hit.any() else None)
-    out = pa.table({
-        "batch": table["batch"].cast(pa.string()), "places": pa.array(places, pa.binary()),
-        "directory": table["directory"].cast(pa.binary()), "known": table["known"].cast(pa.binary()),
+    owners, places = owners[same], places[same]
+    order = np.lexsort((places, owners))
+    owners, places = owners[order], places[order]
+    found, first = np.unique(owners, return_index=True)
+    cuts = np.append(first, len(owners))
+    home = [r for r in rows if r["directory"] is not None]
+    packed = [_pack_gaps(places[a:b]) for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
+    return pa.table({
+        "batch": pa.array([*found.tolist(), *(r["batch"] for r in home)], pa.int64()),
+        "places": pa.array([*packed, *[None] * len(home)], pa.binary()),
+        "directory": pa.array([*[None] * len(packed), *(r["directory"] for r in home)], pa.binary()),
+        "known": pa.array([*[None] * len(packed), *(r["known"] for r in home)], pa.binary()),
     })
-    return out.filter(pc.or_(out["places"].is_valid(), out["directory"].is_valid()))
 
 
 def _intervals(width: int):
@@ -167,7 +227,10 @@ def repeated_spans(docs: DataFrame, width: int = WINDOW) -> DataFrame:
     same order whenever they are read.
     """
     groups = max(1, -(-text_bytes(docs) // GROUP_BYTES))
-    places = _windows(docs, width, groups).groupBy("grp").applyInArrow(_repeated, PLACES)
+    rows = _windows(docs, width, min(groups, COARSE))
+    if groups > COARSE:
+        rows = rows.repartition(COARSE, "grp").mapInArrow(_finer(groups), PACKED)
+    places = rows.groupBy("grp").applyInArrow(_repeated, PLACES)
     found = places.groupBy("batch").applyInArrow(_intervals(width), SPANS)
     return found.dropDuplicates(["doc_id", "hash"])
 
@@ -192,7 +255,8 @@ def remove_repeated(docs: DataFrame, width: int = WINDOW) -> DataFrame:
 
     A word goes if a window that covers it also starts anywhere else in the table, in the same
     text too. Kept words are joined by one space. Null and empty texts have no words. Repeated
-    rows count as occurrences of one another. Texts shorter than a window keep every word.
+    rows count as occurrences of one another. Texts shorter than a window keep every word; very
+    long ones stand alone in a batch. An empty table gives an empty result.
     """
     text = F.col("text").cast("string")
     key, hashed = F.col("doc_id").cast("long"), F.xxhash64(text)
