@@ -167,7 +167,7 @@ def test_nightly_refresh_on_stored_tables(spark, tmp_path):
 
     def night(run):
         stored = spark.read.parquet(f"{tmp_path}/price_daily").drop("trade_date_year")
-        done = refresh_eod(stored, new, universe, splits, F.lit(D(2020, 2, 29)), run_id=run,
+        done = refresh_eod(stored, new, universe, splits, F.lit(D(2020, 2, 29)), run_id=run, order=(),
                            write_root=str(tmp_path))
         parts = (done.prices, done.snapshots, done.scores)
         return [sorted(map(str, d.collect())) for d in parts], done.run.count()

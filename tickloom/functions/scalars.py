@@ -42,6 +42,11 @@ def clamp(value: Column, low: float, high: float) -> Column:
     return F.when(value.isNotNull(), F.greatest(F.lit(low), F.least(F.lit(high), value)))
 
 
+def settled(value: Column, digits: int) -> Column:
+    """Rounded; noise in the last bits of a sum must not decide a tie."""
+    return F.round(F.round(value, 9), digits)
+
+
 def scale(value: Column | str, low: float, high: float) -> Column:
     value = col(value)
     if high == low:

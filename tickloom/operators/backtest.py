@@ -6,6 +6,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tickloom.functions.scalars import safe_divide
+from tickloom.operators.signals import signal_events
+from tickloom.operators.windows import bars_window
+from tickloom.session import materialise
 
 
 def events_in_index(events: DataFrame, membership: DataFrame, index_name: str) -> DataFrame:
@@ -87,6 +90,32 @@ def run_signal_backtest(events: DataFrame, bars: DataFrame, holding: int = 20) -
     )
 
 
+def backtest_history(indicators: DataFrame, holding: int = 20) -> DataFrame:
+    """Trades of all signals of a history, from the indicator rows themselves.
+
+    An event's bar is its own row, so what follows it is one more window of the frame that the
+    indicators have: no second reading of the bars, no join, and no Exchange of its own.
+    """
+    ahead = bars_window(indicators).rowsBetween(1, holding)
+    outcomes = {
+        "exit_date": F.last("trade_date").over(ahead), "exit_price": F.last("close").over(ahead),
+        "max_high": F.max("high").over(ahead), "min_low": F.min("low").over(ahead),
+    }
+    events = signal_events(indicators.withColumns(outcomes), *outcomes)
+    entry, usable = F.col("close"), F.col("close").isNotNull()
+
+    def change(value: str) -> Column:
+        return F.when(usable, safe_divide(F.col(value) - entry, entry) * 100.0)
+
+    return events.select(
+        "symbol", "signal", F.col("event_date").alias("entry_date"), entry.alias("entry_price"),
+        F.when(usable, F.col("exit_date")).alias("exit_date"),
+        F.when(usable, F.col("exit_price")).alias("exit_price"),
+        change("exit_price").alias("return_pct"), change("max_high").alias("mfe_pct"),
+        change("min_low").alias("mae_pct"), F.lit(holding).alias("holding_days"),
+    )
+
+
 def summarise_signals(trades: DataFrame) -> DataFrame:
     r = F.col("return_pct")
     win, loss = r > 0, r <= 0
@@ -106,48 +135,80 @@ def summarise_signals(trades: DataFrame) -> DataFrame:
 
 
 # --- equity curve ---------------------------------------------------------
-# A stretch of the ordered trades is described by its total log return, its
-# highest and lowest running value and its deepest fall; two neighbouring
-# stretches combine into one.  So the curve is folded level by level and no
-# task ever holds all trades in order.
-
-def _fold(parts: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-    w = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
-    before = w.orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    df = parts.withColumn("_base", F.coalesce(F.sum("total").over(before), F.lit(0.0)))
-    df = df.withColumns(
-        {"high": F.col("_base") + F.col("high"), "low": F.col("_base") + F.col("low")}
+# Trades lie in ranges of their order (exit day, symbol, …), as many as their number needs, so a
+# day or symbol with very many trades is several ranges. A range is summed up by the logarithm of
+# its factors, how many are negative and how many are zero; the few sums give each range's start,
+# and then its curve. The same once more for the peak.
+
+#: Trades in one range, about.
+RANGE_TRADES = 1_000_000
+_ORDER = ("day", "symbol", "signal", "entry_date")
+
+
+def _before(w_order: str = "range") -> Window:
+    """All earlier ranges: one row each, so one task holds them."""
+    return Window.partitionBy(F.lit(0)).orderBy(w_order).rowsBetween(Window.unboundedPreceding, -1)
+
+
+def equity_curve(trades: DataFrame, range_trades: int = RANGE_TRADES) -> DataFrame:
+    """The compounded curve over completed trades in order of (exit date, symbol, signal, entry date).
+
+    ``sign`` and ``log_equity`` give the product of all ``1 + return``: a loss of exactly
+    100 % makes it zero from there on, a larger one turns its sign. ``drawdown`` is equity /
+    highest equity so far - 1; while no equity has been above zero it is 0, or NULL for a zero.
+    """
+    done = materialise(
+        trades.where(F.col("return_pct").isNotNull()).select(
+            F.coalesce("exit_date", "entry_date").alias("day"), "symbol", "signal", "entry_date",
+            (1 + F.col("return_pct") / 100).alias("factor"),
+        ),
+        "trades",
     )
-    df = df.withColumn("_peak", F.max("high").over(before))
-    df = df.withColumn("fall", F.least("fall", F.col("low") - F.col("_peak")))
-    grouped = df.groupBy(*keys) if keys else df.groupBy()
-    return grouped.agg(
-        F.sum("total").alias("total"), F.max("high").alias("high"),
-        F.min("low").alias("low"), F.min("fall").alias("fall"),
+    ranges = max(1, -(-done.count() // range_trades))
+    ranged = materialise(
+        done.repartitionByRange(ranges, *_ORDER).withColumn("range", F.spark_partition_id()), "ranges"
     )
+    factor = F.col("factor")
+    parts = {
+        "log": F.when(factor != 0, F.ln(F.abs(factor))).otherwise(0.0),
+        "minus": (factor < 0).cast("long"), "zero": (factor == 0).cast("long"),
+    }
+    inside = Window.partitionBy("range").orderBy(*_ORDER).rowsBetween(Window.unboundedPreceding, 0)
+    bases = ranged.withColumns(parts).groupBy("range").agg(*[F.sum(c).alias(c) for c in parts])
+    bases = bases.select(
+        "range", *[F.coalesce(F.sum(c).over(_before()), F.lit(0)).alias(f"_{c}") for c in parts]
+    )
+    placed = ranged.withColumns(parts).withColumns({c: F.sum(c).over(inside) for c in parts})
+    summed = placed.join(bases, "range").withColumns({c: F.col(c) + F.col(f"_{c}") for c in parts})
+    sign = F.when(F.col("zero") > 0, 0).when(F.col("minus") % 2 == 1, -1).otherwise(1)
+    level = F.when(F.col("zero") == 0, F.col("log"))
+    curve = materialise(
+        summed.select(*_ORDER, "range", sign.alias("sign"), level.alias("log_equity")), "curve"
+    )
+    above = F.when(F.col("sign") > 0, F.col("log_equity"))
+    peaks = curve.groupBy("range").agg(F.max(above).alias("_peak")).select(
+        "range", F.max("_peak").over(_before()).alias("_peak")
+    )
+    peak = F.greatest("_peak", F.max(above).over(inside))
+    drawdown = (
+        F.when(peak.isNotNull(), F.col("sign") * F.exp(F.coalesce("log_equity", F.lit(0.0)) - peak) - 1)
+        .when(F.col("sign") < 0, 0.0)
+    )
+    return curve.join(peaks, "range").select(*_ORDER, "sign", "log_equity", drawdown.alias("drawdown"))
 
 
-def max_drawdown(trades: DataFrame, prefix: int = 4) -> DataFrame:
-    """Deepest fall of the compounded curve in (exit_date, symbol) order, one row.
+def max_drawdown(trades: DataFrame, range_trades: int = RANGE_TRADES) -> DataFrame:
+    """Deepest fall of the curve and what is left of one unit, one row.
 
-    Levels: trades of one (date, symbol), bounded by signals × holding days; then
-    symbols sharing a name prefix, prefixes of one date, and finally dates, which
-    are bounded by the calendar.  A return of -100 % is held at 1e-300.
+    ``log_return`` is NULL where nothing, or less than nothing, is left; ``growth`` holds it.
     """
-    done = trades.where(F.col("return_pct").isNotNull())
-    step = F.ln(F.greatest(1 + F.col("return_pct") / 100, F.lit(1e-300)))
-    parts = done.select(
-        F.coalesce("exit_date", "entry_date").alias("day"),
-        F.substring("symbol", 1, prefix).alias("prefix"),
-        "symbol", "signal", "entry_date",
-        step.alias("total"), step.alias("high"), step.alias("low"), F.lit(0.0).alias("fall"),
-    )
-    parts = _fold(parts, ["day", "prefix", "symbol"], ["signal", "entry_date"])
-    parts = _fold(parts, ["day", "prefix"], ["symbol"])
-    parts = _fold(parts, ["day"], ["prefix"])
-    return _fold(parts, [], ["day"]).select(
-        ((F.exp("fall") - 1) * 100).alias("max_drawdown_pct"),
-        F.col("total").alias("log_return"),
+    last = F.max_by(F.struct("sign", "log_equity"), F.struct(*_ORDER))
+    return equity_curve(trades, range_trades).agg(
+        (F.min("drawdown") * 100).alias("max_drawdown_pct"), last.alias("_last")
+    ).select(
+        "max_drawdown_pct",
+        F.when(F.col("_last.sign") > 0, F.col("_last.log_equity")).alias("log_return"),
+        (F.col("_last.sign") * F.exp(F.coalesce("_last.log_equity", F.lit(0.0)))).alias("growth"),
     )
 
 
@@ -177,14 +238,15 @@ def portfolio_metrics(trades: DataFrame) -> DataFrame:
         F.avg(F.when(done, F.col("holding_days"))).alias("avg_holding_period_days"),
     ).withColumns({"_spread": spread, "_curve": curve})
     span = F.greatest(F.datediff("_end", "_start"), F.lit(1))
-    growth = F.exp("_curve.log_return")
+    growth, log_return = F.col("_curve.growth"), F.col("_curve.log_return")
     yearly = F.sqrt(252.0 / F.greatest("_holding", F.lit(1)))
     return totals.select(
         "total_signals", "completed_trades",
         (F.col("total_signals") - F.col("completed_trades")).alias("pending_trades"),
         ((growth - 1) * 100).alias("absolute_return_pct"),
         F.when(
-            span >= 30, (F.exp(F.col("_curve.log_return") * (F.lit(365.0) / span)) - 1) * 100
+            (span >= 30) & (growth >= 0),
+            (F.coalesce(F.exp(log_return * (F.lit(365.0) / span)), F.lit(0.0)) - 1) * 100,
         ).alias("cagr_pct"),
         (F.col("_win") * 100).alias("win_rate_pct"),
         (F.col("_mean") * 100).alias("avg_return_pct"),

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tickloom.functions.scalars import settled
 from tickloom.operators.technicals import true_range
 
 
@@ -16,8 +17,8 @@ def delivery_analytics(delivery: DataFrame) -> DataFrame:
     mean, std = F.avg("delivery_pct").over(w), F.stddev_samp("delivery_pct").over(w)
     df = delivery.withColumns(
         {
-            "delivery_pct_ma20": F.when(enough, F.round(mean, 2)),
-            "delivery_pct_zscore": F.when(enough, F.round(F.try_divide(pct - mean, std), 2)),
+            "delivery_pct_ma20": F.when(enough, settled(mean, 2)),
+            "delivery_pct_zscore": F.when(enough, settled(F.try_divide(pct - mean, std), 2)),
         }
     )
     spike = (pct >= 40.0) & (pct > 1.5 * F.col("delivery_pct_ma20"))
@@ -39,9 +40,9 @@ def delivery_stats(delivery: DataFrame) -> DataFrame:
     recent, prior = F.avg(F.when(val <= 5, pct)), F.avg(F.when(val.between(6, 10), pct))
     days = F.count("delivery_pct")
     return df.groupBy("symbol").agg(
-        F.round(F.max(F.when((val == 1) & pct.isNotNull(), pct)), 1).alias("latest_pct"),
-        F.round(F.max(F.when(pos == 1, F.col("delivery_pct_ma20"))), 1).alias("ma20_pct"),
-        F.round(F.avg(pct), 1).alias("avg_90d_pct"),
+        settled(F.max(F.when((val == 1) & pct.isNotNull(), pct)), 1).alias("latest_pct"),
+        settled(F.max(F.when(pos == 1, F.col("delivery_pct_ma20"))), 1).alias("ma20_pct"),
+        settled(F.avg(pct), 1).alias("avg_90d_pct"),
         F.when(days >= 10,
                F.when(recent > prior * 1.05, F.lit("rising"))
                .when(recent < prior * 0.95, F.lit("falling"))
@@ -160,8 +161,8 @@ def result_volatility(bars: DataFrame, event_dates: DataFrame, window: int = 5)
     ratio = F.when(F.col("_base") > 0, F.col("_event") / F.col("_base"))
     return sums.select(
         "symbol",
-        F.round("_event", 2).alias("event_atr"),
-        F.round("_base", 2).alias("baseline_atr"),
-        F.round(ratio, 2).alias("volatility_multiple"),
+        settled(F.col("_event"), 2).alias("event_atr"),
+        settled(F.col("_base"), 2).alias("baseline_atr"),
+        settled(ratio, 2).alias("volatility_multiple"),
         "events_found",
     )

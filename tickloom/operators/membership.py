@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -42,13 +44,18 @@ def sync_snapshot(
     return rest.unionByName(merged)
 
 
-def periods_from_snapshots(snapshots: DataFrame, index_name: str, source: str) -> DataFrame:
+def periods_from_snapshots(
+    snapshots: DataFrame, index_name: str, source: str, attributes: Sequence[str] = ()
+) -> DataFrame:
     """All periods of a snapshot history in one pass (gaps and islands).
 
-    ``snapshots``: symbol, snapshot_date.  The list of snapshot dates is bounded by
+    ``snapshots``: symbol, snapshot_date and ``attributes`` (name, industry and the like), of
+    which a period keeps the last one known in it.  The list of snapshot dates is bounded by
     the calendar; the rows are windowed by symbol.
     """
-    rows = snapshots.select("symbol", "snapshot_date").distinct()
+    rows = snapshots.groupBy("symbol", "snapshot_date").agg(
+        F.lit(True).alias("_in"), *[F.max(a).alias(a) for a in attributes]
+    )
     dates = rows.select("snapshot_date").distinct()
     timeline = Window.partitionBy(F.lit(0)).orderBy("snapshot_date")
     dates = dates.select(
@@ -63,22 +70,27 @@ def periods_from_snapshots(snapshots: DataFrame, index_name: str, source: str) -
     return placed.groupBy("symbol", "_island").agg(
         F.min("snapshot_date").alias("from_date"),
         F.date_sub(F.max_by("_next", "snapshot_date"), 1).alias("to_date"),
+        *[
+            F.max_by(a, F.when(F.col(a).isNotNull(), F.col("snapshot_date"))).alias(a)
+            for a in attributes
+        ],
     ).select(
         F.lit(index_name).alias("index_name"), "symbol", "from_date", "to_date",
-        F.col("to_date").isNull().alias("active"), F.lit(source).alias("source"),
+        F.col("to_date").isNull().alias("active"), F.lit(source).alias("source"), *attributes,
     )
 
 
 def replay_snapshots(
     history: DataFrame, snapshots: DataFrame, index_name: str, source: str,
-    replace_existing: bool = False,
+    replace_existing: bool = False, attributes: Sequence[str] = (),
 ) -> DataFrame:
     """Periods rebuilt from dated snapshots; an existing overlap needs ``replace_existing``."""
-    fresh = periods_from_snapshots(snapshots, index_name, source)
+    fresh = periods_from_snapshots(snapshots, index_name, source, attributes)
     mine = (F.col("index_name") == index_name) & (F.col("source") == source)
     if not replace_existing and not history.where(mine).isEmpty():
         raise ValueError("history exists already; pass replace_existing to rebuild it")
-    return history.where(~mine).unionByName(fresh, allowMissingColumns=True)
+    others = history.where(~F.coalesce(mine, F.lit(False)))
+    return others.unionByName(fresh, allowMissingColumns=True)
 
 
 def changes(before: DataFrame, after: DataFrame) -> DataFrame:

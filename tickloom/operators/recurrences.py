@@ -44,14 +44,15 @@ def span(name: str, column: str, periods: int, min_values: int | None = None):
     return Recurrence(name, F.col(column), alpha, min_values or periods, column)
 
 
-def number_rows(df: DataFrame, **extra: Column) -> DataFrame:
-    """Row numbers per symbol and per block, plus ``extra`` window columns."""
+def number_rows(df: DataFrame, rows_before: Column | None = None, **extra: Column) -> DataFrame:
+    """Row numbers per symbol (after ``rows_before`` earlier ones) and per block, plus
+    ``extra`` window columns."""
     if BLOCK not in df.columns:
         df = with_history_block(df)
     w = bars_window(df)
     numbered = df.withColumns(
         {
-            ROW: F.row_number().over(w),
+            ROW: F.row_number().over(w) + (F.lit(0) if rows_before is None else rows_before),
             BLOCK_END: F.coalesce(F.lead(BLOCK).over(w) != F.col(BLOCK), F.lit(False)),
             **extra,
         }
@@ -64,8 +65,16 @@ def number_rows(df: DataFrame, **extra: Column) -> DataFrame:
     return numbered.withColumn(BLOCK_ROW, fits.cast("int"))
 
 
-def smooth(df: DataFrame, recurrences: Sequence[Recurrence]) -> DataFrame:
-    """Add one column per recurrence to a frame prepared by ``number_rows``."""
+def smooth(
+    df: DataFrame, recurrences: Sequence[Recurrence], start: str | None = None, trace: bool = False
+) -> DataFrame:
+    """Add one column per recurrence to a frame prepared by ``number_rows``.
+
+    ``start`` names a struct column with the state before a symbol's first row that counts
+    (``value_<name>`` of each recurrence, ``seen_<series>`` and ``last_<series>``), NULL where
+    there is none; the recurrences go on from it. ``trace`` keeps that state after each row
+    in columns of these names.
+    """
     in_block = (
         Window.partitionBy("symbol", BLOCK)
         .orderBy("trade_date")
@@ -78,8 +87,13 @@ def smooth(df: DataFrame, recurrences: Sequence[Recurrence]) -> DataFrame:
     seen, logs, sums, local, carried, final = {}, {}, {}, {}, {}, {}
     for r in recurrences:
         key = r.series or r.name
-        seen.setdefault(f"_last_{key}", F.max(F.when(r.value.isNotNull(), row)).over(before))
-        seen.setdefault(f"_seen_{key}", F.count(r.value).over(so_far))
+        last = F.max(F.when(r.value.isNotNull(), row)).over(before)
+        count = F.count(r.value).over(so_far)
+        if start:
+            last = F.coalesce(last, F.col(f"{start}.last_{key}"))
+            count = count + F.coalesce(f"{start}.seen_{key}", F.lit(0))
+        seen.setdefault(f"_last_{key}", last)
+        seen.setdefault(f"_seen_{key}", count)
     for r in recurrences:
         last = F.col(f"_last_{r.series or r.name}")
         old = F.pow(F.lit(1.0 - r.alpha), row - last)
@@ -99,13 +113,19 @@ def smooth(df: DataFrame, recurrences: Sequence[Recurrence]) -> DataFrame:
         carried[f"_ends_{r.name}"] = F.collect_list(F.when(F.col(BLOCK_END), state)).over(before)
     for r in recurrences:
         ends, inside = F.col(f"_ends_{r.name}"), F.coalesce(f"_in_{r.name}", F.lit(0.0))
+        first = F.coalesce(f"{start}.value_{r.name}", F.lit(0.0)) if start else F.lit(0.0)
         earlier = F.aggregate(
-            ends, F.lit(0.0), lambda acc, end: acc * end["decay"] + end["value"]
-        )
-        full = F.when(F.size(ends) == 0, inside).otherwise(
-            earlier * F.exp(f"_sum_{r.name}") + inside
+            ends, first, lambda acc, end: acc * end["decay"] + end["value"]
         )
-        final[r.name] = F.when(F.col(f"_seen_{r.series or r.name}") >= r.min_values, full)
+        full = earlier * F.exp(f"_sum_{r.name}") + inside
+        if not start:
+            full = F.when(F.size(ends) == 0, inside).otherwise(full)
+        key = r.series or r.name
+        final[r.name] = F.when(F.col(f"_seen_{key}") >= r.min_values, full)
+        if trace:
+            final[f"value_{r.name}"] = full
+            final[f"seen_{key}"] = F.col(f"_seen_{key}")
+            final[f"last_{key}"] = F.when(r.value.isNotNull(), row).otherwise(F.col(f"_last_{key}"))
     out = df
     for step in (seen, logs, sums, local, carried, final):
         out = out.withColumns(step)

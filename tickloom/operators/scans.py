@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tickloom.functions.scalars import freshness
@@ -20,14 +20,31 @@ def filter_scan(results: DataFrame, min_score: float, min_signals: int) -> DataF
     )
 
 
-def batch_slice(universe: DataFrame, start: int, size: int) -> DataFrame:
-    """Rows ``start`` … ``start+size-1`` (1-based) of the universe in symbol order.
+def write_pages(universe: DataFrame, path: str, rows_per_range: int = 100_000) -> None:
+    """Store a universe in ranges of its symbols, with the number of rows of each range."""
+    count = universe.count()
+    ranges = max(1, -(-count // rows_per_range))
+    placed = universe.repartitionByRange(ranges, "symbol").withColumn("range", F.spark_partition_id())
+    placed.write.partitionBy("range").parquet(f"{path}/rows")
+    stored = universe.sparkSession.read.parquet(f"{path}/rows")
+    stored.groupBy("range").agg(F.count("*").alias("rows")).write.parquet(f"{path}/counts")
 
-    The ordered prefix comes from a top-n, so the universe is never numbered in
-    one task.
+
+def read_page(spark: SparkSession, path: str, start: int, size: int) -> DataFrame:
+    """Rows ``start`` … ``start+size-1`` (1-based) of a stored universe in symbol order.
+
+    The counts (one row a range) say which ranges hold the page; only their files are read
+    and sorted, so the last page costs what the first does.
     """
     start, size = max(1, start), max(1, size)
-    return universe.orderBy("symbol").limit(start - 1 + size).offset(start - 1)
+    before, wanted, skip = 0, [], 0
+    for r in sorted(spark.read.parquet(f"{path}/counts").collect(), key=lambda r: r.range):
+        if before + r.rows >= start and before < start - 1 + size:
+            skip = skip if wanted else start - 1 - before
+            wanted.append(r.range)
+        before += r.rows
+    rows = spark.read.parquet(f"{path}/rows").where(F.col("range").isin(wanted)).drop("range")
+    return rows.orderBy("symbol").offset(max(0, skip)).limit(size)
 
 
 def compare_scans(latest: DataFrame, previous: DataFrame | None) -> DataFrame:
@@ -135,6 +152,25 @@ def brief_list(
     return comparison.where(rows).orderBy(first, *tail).limit(limit)
 
 
+BRIEF_LISTS = ("improved", "weakened", "new_opportunities", "new_signals", "data_quality")
+
+
+def ranked_brief(comparison: DataFrame) -> DataFrame:
+    """All lists of the brief in one table: kind, position from 1, and what the lists show."""
+    shown = None
+    for kind in BRIEF_LISTS:
+        rows = brief_list(comparison, kind).select(
+            F.lit(kind).alias("kind"), "symbol", "composite_score", "score_change",
+            F.coalesce("new_active_signals", F.array().cast("array<string>")).alias("new_active_signals"),
+            F.coalesce("error", F.array_join("data_quality_warnings", "; ")).alias("note"),
+            F.monotonically_increasing_id().alias("_at"),
+        )
+        place = Window.partitionBy("kind").orderBy("_at")
+        rows = rows.withColumn("position", F.row_number().over(place)).drop("_at")
+        shown = rows if shown is None else shown.unionByName(rows)
+    return shown
+
+
 def latest_scan_row(results: DataFrame, runs: DataFrame) -> DataFrame:
     """Newest scan row per symbol over all runs."""
     joined = results.join(runs.select("run_id", F.col("created_at").alias("run_at")), "run_id")
@@ -154,18 +190,6 @@ def watchlist_with_scores(items: DataFrame, results: DataFrame, runs: DataFrame)
     return items.join(newest, "symbol", "left")
 
 
-def shortlist_actions(watchlist: DataFrame, limit: int = 15) -> DataFrame:
-    """Active items still to be reviewed or without notes."""
-    status = F.coalesce("review_status", F.lit("watch"))
-    open_item = status.isin("watch", "deep_dive") | (F.trim(F.coalesce("notes", F.lit(""))) == "")
-    return (
-        watchlist.where(F.coalesce("active", F.lit(True)) & open_item)
-        .orderBy("review_status", F.desc_nulls_last("latest_score"),
-                 F.desc_nulls_last("updated_at"), "symbol")
-        .limit(limit)
-    )
-
-
 def scan_freshness(runs: DataFrame, now: Column, fresh: int = 24, stale: int = 72) -> DataFrame:
     """Freshness of the latest run per universe; limits in hours."""
     last = runs.groupBy("universe_name").agg(F.max("created_at").alias("latest_run_at"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tickloom.config import DEFAULT, ScoreWeights
 from tickloom.functions.scalars import (
-    fixed, holds, inverse_scale, is_financial, mean_of, messages, scale,
+    fixed, holds, inverse_scale, is_financial, mean_of, messages, scale, settled,
 )
 
 
@@ -18,8 +18,8 @@ def c(name: str) -> Column:
 
 
 def rounded(value: Column) -> Column:
-    """One decimal; noise in the last bits of a weighted sum must not decide a tie."""
-    return F.round(F.round(value, 9), 1)
+    """One decimal."""
+    return settled(value, 1)
 
 
 def altman_points(z: Column) -> Column:

@@ -24,7 +24,6 @@ from tickloom.operators.recurrences import (
     Recurrence,
     number_rows,
     smooth,
-    span,
 )
 from tickloom.operators.windows import BLOCK, bars_window, with_history_block
 
@@ -37,6 +36,23 @@ INDICATORS = (
 )
 
 
+#: Averages of the close and their periods.
+CLOSE_AVERAGES = {
+    "_ema12": 12, "_ema26": 26, "ema_20": 20, "ema_50": 50, "ema_100": 100, "ema_200": 200,
+}
+#: Bars that the longest window looks back on, the present one not counted.
+TAIL = 252
+#: What goes on from bar to bar: amounts in prices, and counts.
+STATE_PRICES = (
+    *(f"value_{name}" for name in (*CLOSE_AVERAGES, "_gain", "_loss", "atr_14", "macd_signal")),
+    "highest", "close_before",
+)
+STATE_COUNTS = tuple(
+    f"{kind}_{series}" for series in ("close", "change", "atr_14", "macd") for kind in ("seen", "last")
+)
+STATE = (*STATE_PRICES, *STATE_COUNTS)
+
+
 def _lagged_sum(short: str, step: int, count: int, w: WindowSpec) -> Column:
     parts = [F.lag(short, step * i).over(w) if i else F.col(short) for i in range(count)]
     return reduce(lambda a, b: a + b, [F.coalesce(p, F.lit(0)) for p in parts])
@@ -68,19 +84,41 @@ def add_technical_indicators(bars: DataFrame) -> DataFrame:
 
     Columns nobody reads are pruned together with their windows.
     """
+    return indicator_frame(bars)
+
+
+def indicator_frame(bars: DataFrame, start: str | None = None, trace: bool = False) -> DataFrame:
+    """The indicators of whole histories, or of rows that follow a stored state.
+
+    With ``start``, the bars have that struct column (the same in all rows of a symbol, NULL
+    without a state, see ``operators.continuation``) and a column ``is_new``: other rows are
+    the last bars before the state, which windows need and recurrences have seen. ``trace``
+    adds the columns from which a state is made.
+    """
     row = F.col(ROW)
     df = with_history_block(bars) if BLOCK not in bars.columns else bars
     base = df.columns
     w = bars_window(df)
     whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    earlier = F.coalesce(f"{start}.rows_before", F.lit(0)) if start else F.lit(0)
 
     def frame(rows: int) -> WindowSpec:
         return w.rowsBetween(1 - rows, 0)
 
+    def fresh(value: Column) -> Column:
+        """A value that recurrences have not seen yet."""
+        return F.when(F.col("is_new"), value) if start else value
+
+    def since(value: Column, field: str, fn=F.coalesce) -> Column:
+        """A running value that takes up what the state holds."""
+        return fn(value, F.col(f"{start}.{field}")) if start else value
+
+    running = w.rowsBetween(Window.unboundedPreceding, 0)
     df = number_rows(
         df,
+        earlier if start else None,
         prior_close=F.lag("close").over(w),
-        bar_count=F.count("*").over(whole),
+        bar_count=F.count("*").over(whole) + earlier if start else F.count("*").over(whole),
         _tr=true_range(w),
         _sum10=F.sum("close").over(frame(10)),
         _n10=F.count("close").over(frame(10)),
@@ -88,22 +126,23 @@ def add_technical_indicators(bars: DataFrame) -> DataFrame:
         _vol20=F.when(F.count("volume").over(frame(20)) == 20, F.avg("volume").over(frame(20))),
         _high21=F.count("high").over(frame(21)),
         _low21=F.count("low").over(frame(21)),
-        _padded=F.last("close", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)),
-        _padded_before=F.last("close", ignorenulls=True).over(
-            w.rowsBetween(Window.unboundedPreceding, -1)
+        _padded=since(F.last("close", ignorenulls=True).over(running), "close_before"),
+        _padded_before=since(
+            F.last("close", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1)),
+            "close_before",
         ),
+        _highest=since(F.max("high").over(running), "highest", F.greatest),
         _max21=F.max("high").over(frame(21)),
         _min21=F.min("low").over(frame(21)),
-        all_time_high=F.when(
-            F.col("high").isNotNull(),
-            F.max("high").over(w.rowsBetween(Window.unboundedPreceding, 0)),
-        ),
         prior_high_20=F.max("high").over(w.rowsBetween(-20, -1)),
         prior_low_20=F.min("low").over(w.rowsBetween(-20, -1)),
         traded_value_20=F.avg(F.col("close") * F.col("volume")).over(frame(20)),
     )
+    if trace:
+        df = df.withColumn("close_before", since(F.lag("_padded", TAIL).over(w), "close_before"))
     df = df.withColumns(
         {
+            "all_time_high": F.when(F.col("high").isNotNull(), F.col("_highest")),
             "_return": safe_divide("_padded", "_padded_before") - 1.0,
             **{f"_sum{k}": _lagged_sum("_sum10", 10, k // 10, w) for k in (20, 50, 100)},
             **{f"_n{k}": _lagged_sum("_n10", 10, k // 10, w) for k in (20, 50, 100)},
@@ -144,6 +183,7 @@ def add_technical_indicators(bars: DataFrame) -> DataFrame:
         F.when(row > 252, F.col("prior_high")).alias("prior_high_252"),
         (F.col("_prior50") / 50).alias("prior_sma_50"),
         (F.col("_prior200") / 200).alias("prior_sma_200"),
+        *([F.col("_highest").alias("highest"), "close_before"] if trace else []),
     )
 
     change = F.col("close") - F.col("prior_close")
@@ -151,19 +191,18 @@ def add_technical_indicators(bars: DataFrame) -> DataFrame:
     df = smooth(
         df,
         [
-            span("_ema12", "close", 12),
-            span("_ema26", "close", 26),
-            span("ema_20", "close", 20),
-            span("ema_50", "close", 50),
-            span("ema_100", "close", 100),
-            span("ema_200", "close", 200),
-            Recurrence("_gain", F.when(change > 0, change).when(change <= 0, 0.0), wilder, 14, "change"),
-            Recurrence("_loss", F.when(change < 0, -change).when(change >= 0, 0.0), wilder, 14, "change"),
-            Recurrence("atr_14", F.col("_tr"), wilder, 14),
+            *[
+                Recurrence(name, fresh(F.col("close")), 2.0 / (n + 1), n, "close")
+                for name, n in CLOSE_AVERAGES.items()
+            ],
+            Recurrence("_gain", fresh(F.when(change > 0, change).when(change <= 0, 0.0)), wilder, 14, "change"),
+            Recurrence("_loss", fresh(F.when(change < 0, -change).when(change >= 0, 0.0)), wilder, 14, "change"),
+            Recurrence("atr_14", fresh(F.col("_tr")), wilder, 14),
         ],
+        start, trace,
     )
     df = df.withColumn("macd", F.col("_ema12") - F.col("_ema26"))
-    df = smooth(df, [span("macd_signal", "macd", 9)])
+    df = smooth(df, [Recurrence("macd_signal", fresh(F.col("macd")), 0.2, 9, "macd")], start, trace)
 
     rs = safe_divide("_gain", "_loss")
     df = df.withColumns(
@@ -190,7 +229,7 @@ def add_technical_indicators(bars: DataFrame) -> DataFrame:
         *INDICATORS, "prior_close", "prior_high", "prior_high_120", "prior_high_252",
         "prior_high_20", "prior_low_20", "prior_sma_50", "prior_sma_200", "traded_value_20",
     ]
-    return df.select(*keep)
+    return df.select(*keep, *(STATE if trace else []))
 
 
 def _stack_status() -> Column:

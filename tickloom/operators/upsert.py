@@ -243,7 +243,7 @@ def write_upsert(
 
     The batch is stored once. Its partition values (bounded by the calendar) become a
     literal filter, so only partitions it touches are scanned; ``order`` says which of
-    several rows of one key is the last. Merged rows are staged in the shared folder,
+    several rows of one key is the last; columns of it that are not stored stay out. Merged rows are staged in the shared folder,
     since a table must not be overwritten while it is being read, and the stage goes
     once the table is written. A retry after a lost executor sees whole data.
     """
@@ -290,6 +290,7 @@ def store_by_year(
         write_upsert(spark, path, batch, keys, year, order)
     else:
         empty = batch.limit(0)
-        merged = keep_latest(empty, batch, keys, order)
+        extra = [c for c in order if isinstance(c, str)]
+        merged = keep_latest(empty, batch, keys, order).drop(*extra)
         merged.write.partitionBy(year).parquet(path)
     return spark.read.parquet(path).drop(year)

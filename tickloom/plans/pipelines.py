@@ -10,24 +10,24 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickloom.operators import fundamentals as fu
-from tickloom.operators import ops, scans
 from tickloom.operators.adjustments import apply_split_adjustment
-from tickloom.operators.quality import import_preview, validate_annual, validate_ohlcv
-from tickloom.operators.quality import validate_quarterly
+from tickloom.operators.continuation import (
+    indicators_with_state, loaded, new_rows, overlap_start, state_of,
+)
+from tickloom.operators.quality import validate_ohlcv
 from tickloom.operators.scoring import score_stocks
 from tickloom.operators.signals import latest_with_signals
 from tickloom.operators.strategies import dedupe_sources, evaluate_strategies
 from tickloom.operators.technicals import add_technical_indicators
 from tickloom.operators.windows import bars_window
 from tickloom.operators.upsert import (
-    KEYS, append_run, clean_prices, clean_quarters, clean_snapshots, incremental_bounds,
+    KEYS, append_run, clean_prices, clean_snapshots, incremental_bounds,
     keep_latest, run_summary, store_by_year,
 )
-from tickloom.session import materialise
+from tickloom.session import materialise, newest_parts
 
 MIN_SCAN_BARS = 30
 SNAPSHOT_INDICATORS = (
@@ -38,15 +38,20 @@ SNAPSHOT_INDICATORS = (
 
 def scan_universe(
     bars: DataFrame, universe: DataFrame, as_of: Column, facts: DataFrame | None = None,
-    last_bars: DataFrame | None = None,
+    last_bars: DataFrame | None = None, lookback_days: int | None = None,
 ) -> DataFrame:
     """Validate, compute indicators and signals, score; short or broken histories are
     error rows.
 
+    ``lookback_days``: only so many calendar days of prices before ``as_of`` are read, by a
+    filter that reaches the price scan; indicators then start in that window.
+
     ``facts``: optional score inputs per symbol (see ``scoring.INPUTS``); without it
     the scan scores technicals alone.  ``last_bars``: indicator rows from
     :func:`last_bars_at`, when they are at hand.
     """
+    if lookback_days is not None:
+        bars = bars.where(F.col("trade_date").between(F.date_sub(as_of, lookback_days), as_of))
     report = validate_ohlcv(bars, as_of, universe)
     rows = add_technical_indicators(bars) if last_bars is None else last_bars
     last = latest_with_signals(rows).select(
@@ -174,25 +179,26 @@ class RefreshResult:
 
 def refresh_eod(
     stored: DataFrame, incoming: DataFrame, universe: DataFrame, splits: DataFrame,
-    end: Column, *, run_id: str, overlap_days: int = 5, years: int = 5,
+    end: Column, *, run_id: str, order: Sequence[str], overlap_days: int = 5, years: int = 5,
     facts: DataFrame | None = None, write_root: str | None = None,
-    order: Sequence[str] = (),
 ) -> RefreshResult:
-    """Ingest, adjust, recompute and score.
-
-    Per symbol only days from (latest − overlap) on are taken from the batch;
-    recurrences need the whole history, so indicators are recomputed in full and
-    only the re-read days come out.  Bounds, batch and rejected symbols are stored
-    before anything is written, so they do not move with the table.  With
-    ``write_root``, ``stored`` is its table ``price_daily`` (by ``trade_date_year``);
-    prices, snapshots and scores are upserted there and the run is appended, and the
-    results are read back.  ``order`` names columns of the batch (an ingest number,
-    say) by which the last of several rows of one key is told.
+    """Ingest, adjust, continue the indicators and score.
+
+    Per symbol only days from (latest − overlap) on are taken from the batch. ``order`` names
+    columns of the batch (an ingest number, say) by which the last of several rows of one key
+    is told. Bounds, batch and rejected symbols are stored before anything is written, so they
+    do not move with the table.
+
+    With ``write_root``, ``stored`` is its table ``price_daily`` (by ``trade_date_year``);
+    prices, snapshots, scores and run are upserted or appended there and read back. If the
+    root has an ``indicator_state`` (see :func:`start_indicators`), only price partitions since
+    the states' days are read: indicators go on from the state, and a new state is written.
+    Without one, they are computed from whole histories.
     """
     spark = stored.sparkSession
-    bounds = materialise(
-        incremental_bounds(universe, stored, end, overlap_days, years), "bounds"
-    )
+    state = newest_state(spark, write_root) if write_root else None
+    known = stored if state is None else state.select("symbol", F.col("latest_date").alias("trade_date"))
+    bounds = materialise(incremental_bounds(universe, known, end, overlap_days, years), "bounds")
     wanted = incoming.join(
         bounds.where(~F.col("skip")).select("symbol", "start_date", "end_date"), "symbol"
     ).where(F.col("trade_date").between(F.col("start_date"), F.col("end_date")))
@@ -205,13 +211,17 @@ def refresh_eod(
     good = clean_prices(batch.join(bad, "symbol", "left_anti"))
     if write_root is None:
         merged = keep_latest(stored, good, KEYS["price_daily"], order).drop(*order)
+        frame = indicators_with_state(apply_split_adjustment(dedupe_sources(merged), splits))
     else:
-        merged = store_by_year(
-            spark, f"{write_root}/price_daily", good, KEYS["price_daily"], "trade_date", order
+        prices = f"{write_root}/price_daily"
+        merged = store_by_year(spark, prices, good, KEYS["price_daily"], "trade_date", order)
+        frame = (
+            indicators_with_state(apply_split_adjustment(dedupe_sources(merged), splits))
+            if state is None else continued_frame(spark, prices, state, splits, good)
         )
-    adjusted = apply_split_adjustment(dedupe_sources(merged), splits)
-    ind = add_technical_indicators(adjusted)
+        frame = materialise(frame, "indicators")
     starts = bounds.select("symbol", "start_date")
+    ind = new_rows(frame)
     rows = ind.join(starts, "symbol").where(F.col("trade_date") >= F.col("start_date")).select(
         "symbol", F.col("trade_date").alias("as_of_date"), "close", *SNAPSHOT_INDICATORS,
         "ma_stack_status", "source",
@@ -238,75 +248,56 @@ def refresh_eod(
             spark, f"{write_root}/composite_scores", scores, KEYS["composite_scores"],
             "as_of_date", (),
         )
+        write_state(frame, splits, write_root, run_id, overlap_days)
         append_run(run, f"{write_root}/refresh_runs")
         run = spark.read.parquet(f"{write_root}/refresh_runs")
     return RefreshResult(merged, snapshots, scores, bad, run)
 
 
-def refresh_fundamentals(
-    stored: DataFrame, incoming: DataFrame, *, quarterly: bool = False
-) -> tuple[DataFrame, DataFrame]:
-    """(merged table, validation report): symbols with errors keep what was stored."""
-    report = validate_quarterly(incoming) if quarterly else validate_annual(incoming)
-    accepted, _ = import_preview(incoming, report)
-    if quarterly:
-        accepted = clean_quarters(accepted)
-    keys = KEYS["fundamentals_quarterly" if quarterly else "fundamentals_annual"]
-    kept = accepted.select(*[c for c in stored.columns if c in accepted.columns])
-    return keep_latest(stored, kept, keys), report
-
-
-def market_today(
-    bars: DataFrame, scores: DataFrame, actions: DataFrame, runs: DataFrame, today: Column
-) -> dict[str, DataFrame]:
-    """The home-page bundle, each part its own small job."""
-    return {
-        "breadth": ops.market_breadth(bars),
-        "score_movers": ops.score_movers(scores),
-        "top_attention": ops.top_attention(scores),
-        "upcoming_events": ops.upcoming_events(actions, today),
-        "stale_symbols": ops.stale_symbols(bars, today, limit=10),
-        "provider_health": ops.provider_health(runs),
-    }
+def newest_state(spark: SparkSession, write_root: str) -> DataFrame | None:
+    """The states that the last run left, by the largest run_id."""
+    path = f"{write_root}/indicator_state"
+    runs = newest_parts(spark, path, "run_id", 1)
+    return spark.read.parquet(f"{path}/run_id={runs[0]}") if runs else None
 
 
-def data_health(
-    prices: DataFrame, scores: DataFrame, instruments: DataFrame, membership: DataFrame,
-    runs: DataFrame, today: Column,
-) -> dict[str, DataFrame]:
-    return {
-        "prices": ops.price_coverage(prices),
-        "scores": ops.score_coverage(scores, today),
-        "instruments": ops.instrument_coverage(instruments),
-        "membership": ops.membership_coverage(membership),
-        "stale_symbols": ops.stale_symbols(prices, today),
-        "recent_runs": ops.recent_runs(runs, today.cast("timestamp")),
-    }
+def write_state(
+    frame: DataFrame, splits: DataFrame, write_root: str, run_id: str, overlap_days: int = 5
+) -> None:
+    """Each symbol's state as of its last bar that the next run does not read again."""
+    states = state_of(frame, overlap_start(overlap_days), splits)
+    states.write.mode("overwrite").parquet(f"{write_root}/indicator_state/run_id={run_id}")
 
 
-def compare_latest_scans(results: DataFrame, runs: DataFrame, universe: str) -> DataFrame:
-    """The newest saved run of a universe against the one before it."""
-    newest = (
-        runs.where(F.col("universe_name") == universe)
-        .orderBy(F.desc("created_at"), F.desc("run_id")).limit(2)
-    )
-    now = newest.select(F.max(F.struct("created_at", "run_id"))).scalar()["run_id"]
-    before = newest.select(F.min(F.struct("created_at", "run_id"))).scalar()["run_id"]
-    latest = results.where(F.col("run_id") == now)
-    previous = results.where((F.col("run_id") == before) & (before != now))
-    return scans.compare_scans(latest, previous)
-
-
-def daily_brief(comparison: DataFrame) -> dict[str, DataFrame]:
-    kinds = ("improved", "weakened", "new_opportunities", "new_signals", "data_quality")
-    lists = {kind: scans.brief_list(comparison, kind) for kind in kinds}
-    return {"totals": scans.brief_totals(comparison), **lists}
+def start_indicators(
+    stored: DataFrame, splits: DataFrame, write_root: str, run_id: str, overlap_days: int = 5
+) -> None:
+    """A first state from a whole price table, after which refreshes read its newest days only."""
+    adjusted = apply_split_adjustment(dedupe_sources(stored), splits)
+    write_state(indicators_with_state(adjusted), splits, write_root, run_id, overlap_days)
 
 
-def fundamentals_report(
-    annual: DataFrame, quarterly: DataFrame, universe: DataFrame
+def continued_frame(
+    spark: SparkSession, prices: str, state: DataFrame, splits: DataFrame, incoming: DataFrame
 ) -> DataFrame:
-    """Validation and summary in one: the stored annual rows must carry sector fields."""
-    sectors = universe.select("symbol", "sector", "industry")
-    checked = validate_annual(annual.join(sectors, "symbol", "left"), universe)
-    return fu.fundamentals_summary(annual, quarterly, universe, checked)
+    """Indicator rows from the states and the price partitions since the days of those that go on.
+
+    A symbol of the batch reads its stored prices since its state; one without new prices has what
+    it needs in its state. Only a symbol whose state holds no longer (a split was entered for a day
+    before it) is computed from its whole history.
+    """
+    valid, broken = loaded(state, splits)
+    valid, broken = materialise(valid, "states"), materialise(broken, "broken")
+    active = materialise(incoming.groupBy("symbol").agg(F.min("trade_date").alias("first")), "active")
+    known = active.join(valid, "symbol", "left").select(F.least("first", "last_date").alias("d"))
+    since = known.agg(F.min("d")).first()[0]
+    table, year = spark.read.parquet(prices), "trade_date_year"
+    bars = table.where(F.lit(False))
+    if since is not None:
+        bars = table.where((F.col(year) >= since.year) & (F.col("trade_date") >= F.lit(since)))
+        bars = bars.join(active.select("symbol"), "symbol", "left_semi")
+    if not broken.isEmpty():
+        bars = bars.join(broken, "symbol", "left_anti").unionByName(table.join(broken, "symbol", "left_semi"))
+    adjusted = apply_split_adjustment(dedupe_sources(bars.drop(year)), splits)
+    quiet = valid.join(active.select("symbol"), "symbol", "left_anti").select("symbol", F.inline("recent"))
+    return indicators_with_state(adjusted.unionByName(quiet, allowMissingColumns=True), valid)

@@ -6,6 +6,7 @@ from tickloom.queries import (  # noqa: F401,E402
     companies,
     files,
     indicators,
+    jobs,
     operations,
     rules,
     state,

@@ -115,7 +115,7 @@ def signal_backtest_trades(t: Tables) -> DataFrame:
     return bt.run_signal_backtest(events(t), t.bars).drop("holding_days")
 
 
-@query("signal_backtest_summary", "A1 L6", sql("""
+SUMMARY_SQL = sql("""
 SELECT signal, count(return_pct) AS total_trades, count(*) FILTER (return_pct > 0) AS win_count,
        count(*) FILTER (return_pct <= 0) AS loss_count,
        count(*) FILTER (return_pct > 0) * 100.0::DOUBLE / nullif(count(return_pct), 0)
@@ -126,14 +126,19 @@ SELECT signal, count(return_pct) AS total_trades, count(*) FILTER (return_pct >
          / nullif(abs(sum(return_pct) FILTER (return_pct <= 0)), 0) AS profit_factor,
        max(return_pct) AS best_trade_pct, min(return_pct) AS worst_trade_pct
 FROM trades GROUP BY signal
-"""), "win_rate_pct avg_return_pct avg_win_pct avg_loss_pct profit_factor best_trade_pct "
-      "worst_trade_pct")
+""")
+SUMMARY_SUMS = (
+    "win_rate_pct avg_return_pct avg_win_pct avg_loss_pct profit_factor best_trade_pct worst_trade_pct"
+)
+
+
+@query("signal_backtest_summary", "A1 L6", SUMMARY_SQL, SUMMARY_SUMS)
 def signal_backtest_summary(t: Tables) -> DataFrame:
     return bt.summarise_signals(bt.run_signal_backtest(events(t), t.bars))
 
 
 part("done", """
-SELECT *, ln(greatest(1 + return_pct / 100, 1e-300)) AS step,
+SELECT *, ln(1 + return_pct / 100) AS step,
        row_number() OVER (ORDER BY exit_date, symbol, signal, entry_date) AS k
 FROM trades WHERE return_pct IS NOT NULL
 """)
@@ -146,9 +151,9 @@ SELECT k, exit_date, symbol, signal, entry_date,
 @query("equity_drawdown", "W13", sql("""
 SELECT min((exp(level - peak) - 1) * 100) AS max_drawdown_pct, max_by(level, k) AS log_return
 FROM (SELECT k, level, max(level) OVER (ORDER BY k) AS peak FROM curve)
-"""), "max_drawdown_pct log_return", 5)
+"""), "max_drawdown_pct log_return")
 def equity_drawdown(t: Tables) -> DataFrame:
-    return bt.max_drawdown(bt.run_signal_backtest(events(t), t.bars))
+    return bt.max_drawdown(bt.run_signal_backtest(events(t), t.bars)).drop("growth")
 
 
 @query("portfolio_metrics", "A2", sql("""
@@ -171,7 +176,7 @@ SELECT (SELECT count(*) FROM trades) AS total_signals, count(*) AS completed_tra
        count(*) AS turnover, 20.0::DOUBLE AS avg_holding_period_days
 FROM done
 """), "win_rate_pct absolute_return_pct max_drawdown_pct avg_holding_period_days avg_return_pct sharpe_ratio sortino_ratio exposure_time_pct "
-      "max_symbol_concentration_pct cagr_pct", 3)
+      "max_symbol_concentration_pct cagr_pct")
 def portfolio_metrics(t: Tables) -> DataFrame:
     return bt.portfolio_metrics(stored_trades(t)).select(
         "total_signals", "completed_trades", "pending_trades", "win_rate_pct", "avg_return_pct",
@@ -206,6 +211,6 @@ FROM validation_windows JOIN done
   ON entry_date BETWEEN train_start AND train_start + 1461
 GROUP BY signal, train_start
 """), "train_avg_return_pct train_win_rate_pct validate_avg_return_pct validate_win_rate_pct "
-      "performance_drift_pct", 3)
+      "performance_drift_pct")
 def walk_forward(t: Tables) -> DataFrame:
     return bt.walk_forward(stored_trades(t))

@@ -27,7 +27,7 @@ def annual_with_cap(t: Tables) -> DataFrame:
 
 @query("annual_statements", "S2 P28 P29", sql(
     "SELECT symbol, fiscal_year, period_end, revenue, net_income, total_assets, source "
-    "FROM annual"), "revenue net_income total_assets", 4)
+    "FROM annual"), "revenue net_income total_assets")
 def annual_statements(t: Tables) -> DataFrame:
     return readers.fundamentals(t.annual, source="derived").select(
         "symbol", "fiscal_year", "period_end", "revenue", "net_income", "total_assets", "source"
@@ -39,7 +39,7 @@ SELECT symbol, fiscal_year, fiscal_quarter, CASE fiscal_quarter
          WHEN 1 THEN make_date(fiscal_year - 1, 6, 30) WHEN 2 THEN make_date(fiscal_year - 1, 9, 30)
          WHEN 3 THEN make_date(fiscal_year - 1, 12, 31) ELSE make_date(fiscal_year, 3, 31) END
          AS period_end, revenue, net_income FROM quarterly
-"""), "revenue net_income", 4)
+"""), "revenue net_income")
 def quarterly_statements(t: Tables) -> DataFrame:
     return t.quarterly.select(
         "symbol", "fiscal_year", "fiscal_quarter",
@@ -49,7 +49,7 @@ def quarterly_statements(t: Tables) -> DataFrame:
 
 @query("statement_views", "P36", sql("""
 SELECT symbol, fiscal_year, operating_cash_flow, capital_expenditure, free_cash_flow FROM annual
-"""), "operating_cash_flow capital_expenditure free_cash_flow", 4)
+"""), "operating_cash_flow capital_expenditure free_cash_flow")
 def statement_views(t: Tables) -> DataFrame:
     return readers.statement_view(t.annual, "cash_flow")
 
@@ -60,7 +60,7 @@ SELECT symbol, fiscal_year, total_assets, total_liabilities, current_assets, cur
        current_assets * 0.1 AS cash_and_equivalents, shares_outstanding,
        shares_outstanding * 10.0 AS market_cap, CAST(NULL AS DOUBLE) AS enterprise_value FROM annual
 """), "total_assets total_liabilities current_assets current_liabilities retained_earnings book_value "
-      "debt net_debt cash_and_equivalents market_cap enterprise_value", 4)
+      "debt net_debt cash_and_equivalents market_cap enterprise_value")
 def balance_sheet_view(t: Tables) -> DataFrame:
     full = t.annual.withColumns({
         "debt": F.col("total_liabilities") * 0.5,
@@ -73,7 +73,7 @@ def balance_sheet_view(t: Tables) -> DataFrame:
 
 @query("income_statement_view", "P36", sql("""
 SELECT symbol, fiscal_year, revenue, gross_profit, ebitda, ebit, net_income, eps FROM annual
-"""), "revenue gross_profit ebitda ebit net_income eps", 4)
+"""), "revenue gross_profit ebitda ebit net_income eps")
 def income_statement_view(t: Tables) -> DataFrame:
     return readers.statement_view(t.annual, "income")
 
@@ -88,7 +88,7 @@ FULL JOIN (SELECT * FROM annual WHERE fiscal_year <= 2000) AS b
 FULL JOIN (SELECT * FROM annual WHERE fiscal_year <> 1998) AS c
   ON coalesce(i.symbol, b.symbol) = c.symbol
  AND coalesce(i.fiscal_year, b.fiscal_year) = c.fiscal_year
-"""), "revenue total_assets operating_cash_flow", 4)
+"""), "revenue total_assets operating_cash_flow")
 def combined_statements(t: Tables) -> DataFrame:
     a, year = t.annual, F.col("fiscal_year")
     keys = ["symbol", "fiscal_year"]
@@ -111,7 +111,7 @@ SELECT a.symbol, CAST(y.fiscal_year AS VARCHAR) AS period, b.revenue, b.net_inco
 FROM (SELECT DISTINCT symbol FROM annual) AS a
 CROSS JOIN (SELECT DISTINCT fiscal_year FROM annual) AS y
 LEFT JOIN annual AS b ON b.symbol = a.symbol AND b.fiscal_year = y.fiscal_year
-"""), "revenue net_income total_assets", 4)
+"""), "revenue net_income total_assets")
 def statement_rows_to_columns(t: Tables) -> DataFrame:
     """Statements turned into label rows × year columns, a weaker label included, and back."""
     value = F.col("v.value")
@@ -139,7 +139,7 @@ SELECT symbol, fiscal_year, debt - cash AS net_debt,
 FROM (SELECT symbol, fiscal_year, total_liabilities AS debt, current_assets * 0.2 AS cash,
              total_assets * 2 AS cap, row_number() OVER (PARTITION BY symbol
              ORDER BY fiscal_year DESC) AS p FROM annual)
-"""), "net_debt market_cap enterprise_value market_cap_crore", 2)
+"""), "net_debt market_cap enterprise_value market_cap_crore")
 def derived_statement_fields(t: Tables) -> DataFrame:
     df = t.annual.select(
         "symbol", "fiscal_year", F.col("total_liabilities").alias("debt"),
@@ -171,7 +171,7 @@ def market_cap_buckets(t: Tables) -> DataFrame:
 @query("manual_statement_import", "P37 L12", sql("""
 SELECT symbol, fiscal_year, -revenue AS revenue, round(eps, 2) AS eps,
        round(book_value / 1e7, 6) * 1e7 AS book_value, 'manual' AS source, 'INR' AS currency FROM annual
-"""), "revenue book_value", 3)
+"""), "revenue book_value")
 def manual_statement_import(t: Tables) -> DataFrame:
     """Statements written the way a spreadsheet shows them, then read back."""
     crore = F.format_number(F.abs(F.col("revenue")) / 1e7, 11)
@@ -189,7 +189,7 @@ def manual_statement_import(t: Tables) -> DataFrame:
 
 @query("statement_csv_round_trip", "S6 S14 L5", sql("""
 SELECT symbol, fiscal_year, period_end, revenue, shares_outstanding FROM annual
-"""), "revenue", 4)
+"""), "revenue")
 def statement_csv_round_trip(t: Tables) -> DataFrame:
     """Annual rows exported as CSV to the shared folder and scanned back."""
     path = shared_path(t.spark, "annual")
@@ -246,7 +246,7 @@ FROM annual AS a LEFT JOIN (
 @query("market_cap_as_of", "J1", sql("""
 SELECT symbol, fiscal_year, period_end, market_cap, enterprise_value - market_cap AS ev_less_cap
 FROM cap
-"""), "ev_less_cap", 4)
+"""), "ev_less_cap")
 def market_cap_as_of(t: Tables) -> DataFrame:
     return annual_with_cap(t).select(
         "symbol", "fiscal_year", "period_end", "market_cap",
@@ -458,7 +458,7 @@ def latest_health(t: Tables) -> DataFrame:
 
 @query("preferred_source_years", "W17 A19", sql("""
 SELECT symbol, fiscal_year, source, revenue FROM annual2 WHERE source = 'B'
-"""), "revenue", 4)
+"""), "revenue")
 def preferred_source_years(t: Tables) -> DataFrame:
     return fu.preferred_source(t.annual_two_source, ["symbol", "fiscal_year"], "B").select(
         "symbol", "fiscal_year", "source", "revenue"

@@ -1,33 +1,28 @@
-"""File scans: derived rows written as the files that users and exchanges send, scanned back."""
+"""File scans: derived rows written as the files that users and exchanges send, scanned back.
+
+The calendar part counts snapshot dates (k) over all of them."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tickloom.bridge import Tables
+from tickloom.bridge import Tables, supplier_symbol
+from tickloom.operators.membership import periods_from_snapshots
+from tickloom.plans.imports import import_membership_history
 from tickloom.queries.registry import query
 from tickloom.queries.sqlbase import sql
 from tickloom.queries.state import membership_snapshots
-from tickloom.session import delete_path, shared_path
+from tickloom.session import materialise, shared_path
 from tickloom.sources import readers
 
 
-def named_csv(df: DataFrame, folder: str, name: str, *order: str) -> None:
-    """One file with a given name, as a download has; rows in order."""
-    spark = df.sparkSession
-    parts = shared_path(spark, "part")
+def write_lists(rows: DataFrame, folder: str, *order: str) -> None:
+    """One folder per value of ``list``, all in one job; the rows of a list in order."""
     (
-        df.repartition(1).sortWithinPartitions(*order).drop(*[c for c in order if c.startswith("_")])
-        .write.option("header", True).csv(parts)
+        rows.repartition("list").sortWithinPartitions("list", *order).drop(*[c for c in order if c.startswith("_")])
+        .write.mode("append").partitionBy("list").option("header", True).csv(folder)
     )
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    path = jvm.org.apache.hadoop.fs.Path
-    files = path(parts).getFileSystem(conf)
-    files.mkdirs(path(folder))
-    (made,) = [s.getPath() for s in files.globStatus(path(f"{parts}/part-*"))]
-    files.rename(made, path(f"{folder}/{name}"))
-    delete_path(spark, parts)
 
 
 @query("banking_csv_scan", "S7", sql("""
@@ -36,7 +31,7 @@ SELECT 'S' || s_suppkey || '.NS' AS symbol, 2000 + s_suppkey % 3 AS fiscal_year,
        CASE WHEN s_suppkey % 2 = 0 THEN round(s_acctbal / 500, 2) END AS gnpa_pct,
        CAST(NULL AS DOUBLE) AS casa_pct, 'user' AS source
 FROM supplier WHERE s_suppkey % 5 <> 0
-"""), "nim_pct gnpa_pct", 4)
+"""), "nim_pct gnpa_pct")
 def banking_csv_scan(t: Tables) -> DataFrame:
     """Two files with columns in another order, absent ones and years that are none."""
     s = t.read("supplier")
@@ -76,104 +71,107 @@ def universe_csv_scan(t: Tables) -> DataFrame:
 
 
 def constituents(t: Tables) -> DataFrame:
+    """A constituent list per nation."""
     s = t.read("supplier").join(t.read("nation"), F.col("s_nationkey") == F.col("n_nationkey"))
     return s.select(
         F.col("s_name").alias("Company Name"), F.col("n_name").alias(" Industry"),
         F.concat(F.lit(" s"), F.col("s_suppkey").cast("string")).alias("Symbol"),
         F.when(F.col("s_suppkey") % 4 == 0, F.lit("BE")).otherwise(F.lit("EQ")).alias("Series"),
         F.concat(F.lit("IN"), F.col("s_suppkey").cast("string")).alias("ISIN Code"),
-        F.col("s_suppkey").alias("_key"),
+        F.col("s_suppkey").alias("_key"), F.concat(F.lit("index_"), F.col("n_nationkey").cast("string")).alias("list"),
     )
 
 
 @query("index_constituents_scan", "S9", sql("""
 SELECT 'S' || s_suppkey || '.NS' AS symbol, s_name AS name, n_name AS industry,
-       'IN' || s_suppkey AS isin, 'index_large.csv' AS file_name
+       'IN' || s_suppkey AS isin, 'index_' || n_nationkey AS file_name
 FROM supplier JOIN nation ON s_nationkey = n_nationkey WHERE s_suppkey % 4 <> 0
 """))
 def index_constituents_scan(t: Tables) -> DataFrame:
-    """A constituent list with other series and later rows that repeat a symbol."""
+    """Constituent lists with other series and later rows that repeat a symbol."""
     rows = constituents(t).withColumn("_again", F.lit(0))
     later = rows.withColumns({"Company Name": F.lit("Later"), "_again": F.lit(1)})
     folder = shared_path(t.spark, "constituents")
-    named_csv(rows.unionByName(later), folder, "index_large.csv", "_again", "_key")
+    write_lists(rows.unionByName(later), folder, "_again", "_key")
     return readers.constituents_csv(t.spark, folder)
 
 
-@query("dated_constituents_scan", "S10 U13", sql("""
-SELECT DISTINCT symbol, snapshot_date FROM snapshots
-WHERE snapshot_date IN (SELECT DISTINCT snapshot_date FROM snapshots ORDER BY 1 DESC LIMIT 3)
-"""))
-def dated_constituents_scan(t: Tables) -> DataFrame:
-    """Lists of three dates, told by their names in two styles, and one without a date."""
-    folder = shared_path(t.spark, "dated")
-    named_files(t, folder)
-    return readers.dated_snapshots(t.spark, folder).select("symbol", "snapshot_date")
-
-
-def named_files(t: Tables, folder: str) -> None:
-    snaps = membership_snapshots(t).select("symbol", "snapshot_date").distinct()
-    dates = [r[0] for r in snaps.select("snapshot_date").distinct().orderBy(F.desc("snapshot_date")).limit(3).collect()]
+def dated_lists(t: Tables, folder: str) -> None:
+    """A list per snapshot date, told by its name in two styles, and one without a date. Lists of
+    an October lack names, those of a July industries."""
+    s = t.read("supplier").join(t.read("nation"), F.col("s_nationkey") == F.col("n_nationkey")).select(
+        supplier_symbol("s_suppkey").alias("symbol"), "s_name", "n_name", "s_suppkey"
+    )
+    snaps = membership_snapshots(t).select("symbol", "snapshot_date").distinct().join(s, "symbol")
+    month = F.month("snapshot_date")
+    style = F.when(month.isin(1, 7), F.date_format("snapshot_date", "yyyyMMdd")).otherwise(
+        F.date_format("snapshot_date", "yyyy-MM-dd")
+    )
     rows = snaps.select(
-        F.lit("n").alias("Company Name"), F.lit("i").alias("Industry"),
+        F.when(month != 10, F.col("s_name")).alias("Company Name"),
+        F.when(month != 7, F.col("n_name")).alias("Industry"),
         F.regexp_replace("symbol", r"\.NS$", "").alias("Symbol"), F.lit("EQ").alias("Series"),
-        F.lit("x").alias("ISIN Code"), F.col("snapshot_date").alias("_date"),
+        F.concat(F.lit("IN"), F.col("s_suppkey").cast("string")).alias("ISIN Code"),
+        F.concat(F.lit("index_"), style).alias("list"),
     )
-    for k, date in enumerate(dates):
-        style = "%Y%m%d" if k % 2 else "%Y-%m-%d"
-        named_csv(rows.where(F.col("_date") == F.lit(date)), folder, f"index_{date.strftime(style)}.csv", "Symbol", "_date")
-    named_csv(rows.where(F.col("_date") == F.lit(dates[0])), folder, "index_latest.csv", "Symbol", "_date")
+    write_lists(rows.unionByName(rows.withColumn("list", F.lit("index_latest"))), folder, "Symbol")
+
+
+@query("dated_constituents_scan", "S10 U13", sql("SELECT DISTINCT symbol, snapshot_date FROM snapshots"))
+def dated_constituents_scan(t: Tables) -> DataFrame:
+    folder = shared_path(t.spark, "dated")
+    dated_lists(t, folder)
+    return readers.dated_snapshots(t.spark, folder).select("symbol", "snapshot_date")
 
 
-@query("membership_replay", "U13 L13 S10", sql("""
-SELECT symbol, from_date, to_date, to_date IS NULL AS active FROM (
+@query("membership_replay", "U13 L13 S10 W14", sql("""
+SELECT symbol, from_date, to_date, to_date IS NULL AS active, name, industry, isin FROM (
   SELECT symbol, min(snapshot_date) AS from_date,
-         (SELECT min(d) - 1 FROM days WHERE d > max(snapshot_date)) AS to_date
-  FROM (SELECT s.symbol, s.snapshot_date, n - row_number() OVER (PARTITION BY s.symbol ORDER BY s.snapshot_date) AS island
-        FROM (SELECT DISTINCT symbol, snapshot_date FROM snapshots) AS s JOIN days ON d = s.snapshot_date) AS r
+         (SELECT min(snapshot_date) - 1 FROM calendar WHERE snapshot_date > max(r.snapshot_date)) AS to_date,
+         arg_max(s_name, snapshot_date) FILTER (month(snapshot_date) <> 10) AS name,
+         arg_max(n_name, snapshot_date) FILTER (month(snapshot_date) <> 7) AS industry,
+         'IN' || any_value(s_suppkey) AS isin
+  FROM (SELECT s.symbol, s.snapshot_date, k - row_number() OVER (PARTITION BY s.symbol ORDER BY s.snapshot_date) AS island
+        FROM (SELECT DISTINCT symbol, snapshot_date FROM snapshots) AS s
+        JOIN calendar USING (snapshot_date)) AS r
+  JOIN supplier ON 'S' || s_suppkey || '.NS' = symbol JOIN nation ON n_nationkey = s_nationkey
   GROUP BY symbol, island) AS p
-""", days="""
-SELECT snapshot_date AS d, row_number() OVER (ORDER BY snapshot_date) AS n FROM (
-  SELECT DISTINCT snapshot_date FROM snapshots ORDER BY 1 DESC LIMIT 3) AS x
 """))
 def membership_replay(t: Tables) -> DataFrame:
-    """Dated files to periods, in place of the periods that were there."""
-    from tickloom.operators.membership import periods_from_snapshots, replay_snapshots
-
-    folder = shared_path(t.spark, "dated")
-    named_files(t, folder)
+    """Lists of all dates to periods with name, industry and ISIN, in place of the periods that were there."""
+    folder, root = shared_path(t.spark, "dated"), shared_path(t.spark, "members")
+    dated_lists(t, folder)
     found = readers.dated_snapshots(t.spark, folder)
-    before = periods_from_snapshots(found.where(F.col("symbol") > "S5"), "large", "files")
-    done = replay_snapshots(before, found, "large", "files", replace_existing=True)
-    return done.select("symbol", "from_date", "to_date", "active")
+    before = periods_from_snapshots(found.where(F.col("symbol") > "S5"), "large", "files", ("name",))
+    before.write.parquet(f"{root}/index_membership_history")
+    done = import_membership_history(found, root, "large", "files", replace_existing=True)
+    return done.select("symbol", "from_date", "to_date", "active", "name", "industry", "isin")
 
 
 @query("delivery_file_scan", "S11", sql("""
 SELECT symbol, trade_date, volume AS traded_qty, round(volume * 0.4, 0) AS deliverable_qty,
-       40.25::DOUBLE AS delivery_pct, round(volume / 7, 2) AS turnover_lacs FROM bars
-WHERE trade_date IN (SELECT DISTINCT trade_date FROM bars ORDER BY 1 DESC LIMIT 4)
-"""), "traded_qty deliverable_qty turnover_lacs", 2)
+       40.25::DOUBLE + volume % 13 AS delivery_pct, round(volume / 7, 2) AS turnover_lacs FROM bars
+"""), "traded_qty deliverable_qty delivery_pct turnover_lacs")
 def delivery_file_scan(t: Tables) -> DataFrame:
-    """Files of four days: another column order, comma numbers, other series, repeated
-    symbols, and dates that cannot be read."""
-    bars = t.bars
-    dates = [r[0] for r in bars.select("trade_date").distinct().orderBy(F.desc("trade_date")).limit(4).collect()]
+    """A file for each day: two column orders, comma numbers, other series, repeated symbols, and
+    dates that cannot be read."""
     bad = F.crc32(F.col("symbol").cast("binary")) % 5 == 0
-    rows = bars.where(F.col("trade_date").isin(dates)).select(
+    rows = t.bars.select(
         F.regexp_replace("symbol", r"\.NS$", " ").alias("SYMBOL"), F.lit(" EQ").alias(" SERIES"),
         F.when(bad, F.lit("-")).otherwise(F.date_format("trade_date", "dd-MMM-yyyy")).alias(" DATE1"),
         F.format_number("volume", 0).alias(" TTL_TRD_QNTY"),
         F.format_number(F.round(F.col("volume") * 0.4, 0), 0).alias(" DELIV_QTY"),
-        F.lit(" 40.25").alias(" DELIV_PER"), F.format_number(F.round(F.col("volume") / 7, 2), 2).alias(" TURNOVER_LACS"),
-        F.col("trade_date").alias("_date"),
+        F.format_number(40.25 + F.col("volume") % 13, 2).alias(" DELIV_PER"),
+        F.format_number(F.round(F.col("volume") / 7, 2), 2).alias(" TURNOVER_LACS"),
+        F.concat(F.lit("sec_"), F.date_format("trade_date", "yyyyMMdd")).alias("list"),
+        (F.dayofmonth("trade_date") % 2 == 0).alias("_even"),
     )
+    rows = materialise(rows.unionByName(rows.withColumn(" SERIES", F.lit("BE"))), "delivery-rows")
     folder = shared_path(t.spark, "delivery")
-    for k, date in enumerate(dates):
-        own = rows.where(F.col("_date") == F.lit(date))
-        own = own.unionByName(own.withColumn(" SERIES", F.lit("BE")))
-        columns = own.columns[::-1] if k % 2 else own.columns
-        named_csv(own.select(*columns), folder, f"sec_{date:%Y%m%d}.csv", "SYMBOL", "_date")
-    return readers.delivery_files(t.spark, folder)
+    columns = [c for c in rows.columns if c != "_even"]
+    write_lists(rows.where("_even").select(*columns), f"{folder}/even", "SYMBOL")
+    write_lists(rows.where("NOT _even").select(*columns[::-1]), f"{folder}/odd", "SYMBOL")
+    return readers.delivery_files(t.spark, [f"{folder}/even", f"{folder}/odd"])
 
 
 @query("instrument_snapshot", "S15", sql("""

@@ -200,7 +200,7 @@ def zones(t: Tables) -> DataFrame:
 @query("indicator_refresh_window", "W25 U2 U15", sql("""
 SELECT symbol, trade_date AS as_of_date, sma_20, ema_20, rsi_14 FROM ind CROSS JOIN today
 WHERE trade_date >= as_of - 5 AND coalesce(sma_20, ema_20, rsi_14) IS NOT NULL
-"""), "sma_20 ema_20 rsi_14", 3)
+"""), "sma_20 ema_20 rsi_14")
 def indicator_refresh_window(t: Tables) -> DataFrame:
     """Indicators over the full history, written only for the re-read days."""
     from tickloom.operators.upsert import clean_snapshots
@@ -245,7 +245,7 @@ FROM (
       FROM gapbars) AS p) AS r
   WINDOW w AS (PARTITION BY symbol ORDER BY n ROWS 19 PRECEDING)) AS b
 JOIN gapema AS e ON e.symbol = b.symbol AND e.n = b.n
-"""), "close sma_20 ema_20 bb_upper historical_volatility_20", 3)
+"""), "sma_20 ema_20 bb_upper historical_volatility_20")
 def indicators_with_gaps(t: Tables) -> DataFrame:
     """Indicators where about one close in 33 is missing."""
     kept = F.datediff("trade_date", F.lit("1970-01-01").cast("date")) % 33 != 0

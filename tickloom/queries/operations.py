@@ -13,10 +13,10 @@ from tickloom.operators import quality as ql
 from tickloom.operators.scoring import research_stance, score_stocks
 from tickloom.operators.signals import latest_with_signals
 from tickloom.operators.upsert import KEYS, keep_latest, store_by_year
-from tickloom.plans.pipelines import composite_inputs, refresh_eod
+from tickloom.plans.pipelines import composite_inputs, refresh_eod, start_indicators
 from tickloom.queries import backtests, companies, indicators, state
 from tickloom.queries.registry import query
-from tickloom.queries.sqlbase import part, sql
+from tickloom.queries.sqlbase import half_up, part, sql
 from tickloom.session import materialise, shared_path
 from tickloom.sources import readers
 
@@ -24,9 +24,9 @@ BANKS = ("NATION_1", "NATION_12")
 
 # --- flows and events ---------------------------------------------------------------
 
-part("delivered", """
-SELECT *, CASE WHEN n20 >= 5 THEN round(avg20, 2) END AS ma20,
-       CASE WHEN n20 >= 5 THEN round((delivery_pct - avg20) / nullif(std20, 0), 2) + 0.0 END AS z
+part("delivered", f"""
+SELECT *, CASE WHEN n20 >= 5 THEN {half_up('avg20', 2)} END AS ma20,
+       CASE WHEN n20 >= 5 THEN {half_up('(delivery_pct - avg20) / nullif(std20, 0)', 2)} + 0.0 END AS z
 FROM (SELECT symbol, trade_date, delivery_pct, count(*) OVER w AS n20,
              avg(delivery_pct) OVER w AS avg20, stddev_samp(delivery_pct) OVER w AS std20,
              row_number() OVER (PARTITION BY symbol ORDER BY trade_date DESC) AS back
@@ -39,14 +39,14 @@ FROM (SELECT symbol, trade_date, delivery_pct, count(*) OVER w AS n20,
 SELECT symbol, trade_date, delivery_pct, ma20 AS delivery_pct_ma20, z AS delivery_pct_zscore,
        coalesce(delivery_pct >= 40 AND delivery_pct > 1.5 * ma20, false) AS unusual_delivery
 FROM delivered
-"""), "delivery_pct delivery_pct_ma20 delivery_pct_zscore", 1)
+"""), "delivery_pct delivery_pct_ma20 delivery_pct_zscore")
 def delivery_analytics(t: Tables) -> DataFrame:
     return fl.delivery_analytics(t.delivery)
 
 
-part("delivery_summary", """
-SELECT symbol, round(max(delivery_pct) FILTER (back = 1), 1) AS latest_pct,
-       round(max(ma20) FILTER (back = 1), 1) AS ma20_pct, round(avg(delivery_pct), 1) AS avg_90d_pct,
+part("delivery_summary", f"""
+SELECT symbol, {half_up('max(delivery_pct) FILTER (back = 1)', 1)} AS latest_pct,
+       {half_up('max(ma20) FILTER (back = 1)', 1)} AS ma20_pct, {half_up('avg(delivery_pct)', 1)} AS avg_90d_pct,
        CASE WHEN count(*) < 10 THEN NULL
             WHEN avg(delivery_pct) FILTER (back <= 5)
                  > avg(delivery_pct) FILTER (back BETWEEN 6 AND 10) * 1.05 THEN 'rising'
@@ -60,7 +60,7 @@ FROM delivered GROUP BY symbol
 
 
 @query("delivery_stats", "A6", sql("SELECT * FROM delivery_summary"),
-       "latest_pct ma20_pct avg_90d_pct", 1)
+       "latest_pct ma20_pct avg_90d_pct")
 def delivery_stats(t: Tables) -> DataFrame:
     return fl.delivery_stats(t.delivery)
 
@@ -115,10 +115,10 @@ FROM num AS n
 part("span", """
 SELECT symbol, min(trade_date) AS first_day, max(trade_date) AS last_day FROM bars GROUP BY symbol
 """)
-part("volatility", """
-SELECT n.symbol, CASE WHEN i >= 2 AND o >= 10 THEN event_atr END AS event_atr,
-       CASE WHEN i >= 2 AND o >= 10 THEN base_atr END AS baseline_atr,
-       CASE WHEN i >= 2 AND o >= 10 AND base_atr > 0 THEN round(event_atr / base_atr, 2) END
+part("volatility", f"""
+SELECT n.symbol, CASE WHEN i >= 2 AND o >= 10 THEN {half_up('event_atr', 2)} END AS event_atr,
+       CASE WHEN i >= 2 AND o >= 10 THEN {half_up('base_atr', 2)} END AS baseline_atr,
+       CASE WHEN i >= 2 AND o >= 10 AND base_atr > 0 THEN {half_up('event_atr / base_atr', 2)} END
          AS volatility_multiple, events_found
 FROM (SELECT symbol, count(*) FILTER (near_event) AS i, count(*) FILTER (NOT near_event) AS o,
              avg(tr) FILTER (near_event) AS event_atr, avg(tr) FILTER (NOT near_event) AS base_atr
@@ -136,7 +136,7 @@ def bars_near_events(t: Tables) -> DataFrame:
 
 
 @query("result_volatility", "A7", sql("SELECT * FROM volatility"),
-       "event_atr baseline_atr volatility_multiple", 2)
+       "event_atr baseline_atr volatility_multiple")
 def result_volatility(t: Tables) -> DataFrame:
     return fl.result_volatility(t.bars, t.earnings_dates)
 
@@ -372,7 +372,7 @@ FROM (SELECT p.*, f * 0.35 + tech * 0.30 + flow * 0.17 + ev * 0.12 + macro * 0.0
 SELECT symbol, score, band, fundamentals_score, technicals_score, flows_score,
        events_quality_score, macro_sector_score, active_signal_count FROM composite
 """), "score fundamentals_score technicals_score flows_score events_quality_score "
-      "macro_sector_score", 1)
+      "macro_sector_score")
 def composite_scores(t: Tables) -> DataFrame:
     return composite(t).select(
         "symbol", "score", "band", "fundamentals_score", "technicals_score", "flows_score",
@@ -394,7 +394,7 @@ def composite_risk_notes(t: Tables) -> DataFrame:
 @query("composite_upsert", "U7 S5", sql("""
 SELECT symbol, score, active_signal_count, CASE WHEN active_signal_count > 0 THEN 'new' ELSE 'old'
        END AS version FROM composite
-"""), "score", 1)
+"""), "score")
 def composite_upsert(t: Tables) -> DataFrame:
     rows = composite(t).select(
         "symbol", F.lit("2001-11-04").cast("date").alias("as_of_date"), "score",
@@ -553,20 +553,20 @@ def stale_symbols(t: Tables) -> DataFrame:
     return ops.stale_symbols(t.bars, t.as_of, 3)
 
 
-@query("market_breadth", "A14 W15 L8", sql("""
+@query("market_breadth", "A14 W15 L8", sql(f"""
 SELECT max(d) AS latest_trade_date, count(*) FILTER (two) AS compared_symbols,
        count(*) FILTER (two AND now > old) AS advances,
        count(*) FILTER (two AND now < old) AS declines,
        count(*) FILTER (two AND now = old) AS unchanged,
        CASE WHEN count(*) FILTER (two AND now < old) > 0
-            THEN count(*) FILTER (two AND now > old)::DOUBLE / count(*) FILTER (two AND now < old)
+            THEN {half_up('count(*) FILTER (two AND now > old)::DOUBLE / count(*) FILTER (two AND now < old)', 2)}
             WHEN count(*) FILTER (two AND now > old) > 0
             THEN count(*) FILTER (two AND now > old)::DOUBLE END AS advance_decline_ratio
 FROM (SELECT symbol, max(trade_date) AS d, max(close) FILTER (back = 1) AS now,
              max(close) FILTER (back = 2) AS old, count(*) FILTER (back <= 2) = 2 AS two
       FROM (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY trade_date DESC) AS back
             FROM bars) GROUP BY symbol)
-"""), "advance_decline_ratio", 2)
+"""))
 def market_breadth(t: Tables) -> DataFrame:
     return ops.market_breadth(t.bars)
 
@@ -586,7 +586,7 @@ def score_series(t: Tables) -> DataFrame:
 @query("score_movers", "O4 W15 L8", sql("""
 SELECT symbol, composite_score AS score, previous_score, score_change FROM compared
 ORDER BY round(abs(score_change), 1) DESC, composite_score DESC, symbol LIMIT 5
-"""), "score previous_score score_change", 1)
+"""), "score previous_score score_change")
 def score_movers(t: Tables) -> DataFrame:
     return ops.score_movers(score_series(t)).select(
         "symbol", "score", "previous_score", "score_change"
@@ -596,7 +596,7 @@ def score_movers(t: Tables) -> DataFrame:
 @query("top_attention", "O5 L8", sql("""
 SELECT symbol, composite_score AS score, active_signal_count AS signals FROM scan_now
 ORDER BY composite_score DESC, active_signal_count DESC, symbol LIMIT 5
-"""), "score", 1)
+"""), "score")
 def top_attention(t: Tables) -> DataFrame:
     return ops.top_attention(score_series(t)).select("symbol", "score", "signals")
 
@@ -629,7 +629,7 @@ def business_day_offsets(t: Tables) -> DataFrame:
 @query("source_mix", "A27", sql("""
 SELECT source, count(*) AS rows, count(*) * 100.0::DOUBLE / (SELECT count(*) FROM bars2)
   AS share_pct FROM bars2 GROUP BY source
-"""), "share_pct")
+"""))
 def source_mix(t: Tables) -> DataFrame:
     return ops.source_mix(t.bars_two_source)
 
@@ -687,8 +687,10 @@ def nightly(t: Tables, write_root: str | None = None):
         stored = store_by_year(
             t.spark, f"{write_root}/price_daily", stored, KEYS["price_daily"], "trade_date", ()
         )
+        start_indicators(stored, t.splits.where("ex_date <= DATE '2001-06-30'"), write_root, "before")
     return refresh_eod(
-        stored, batch, t.universe, t.splits, t.as_of, run_id="night", write_root=write_root
+        stored, batch.withColumn("ingest", F.lit(1)), t.universe, t.splits, t.as_of,
+        run_id="night", order=["ingest"], write_root=write_root,
     )
 
 
@@ -730,7 +732,7 @@ SELECT symbol, active_signal_count, round(35 + 0.3 * tech, 1) AS score FROM (
 """, bars=NIGHT_BARS)
 
 
-@query("nightly_refresh_scores", "L4", NIGHT_SCORES, "score", 1)
+@query("nightly_refresh_scores", "L4", NIGHT_SCORES, "score")
 def nightly_refresh_scores(t: Tables) -> DataFrame:
     return nightly(t).scores.select("symbol", "active_signal_count", "score")
 
@@ -743,7 +745,7 @@ def stored_night(t: Tables):
 
 @query("nightly_refresh_prices", "L4 U1 T1", sql("""
 SELECT symbol, trade_date, source, close, volume FROM night_rows
-"""), "close volume", 4)
+"""))
 def nightly_refresh_prices(t: Tables) -> DataFrame:
     return stored_night(t).prices.select("symbol", "trade_date", "source", "close", "volume")
 
@@ -753,14 +755,14 @@ SELECT i.symbol, i.trade_date AS as_of_date, i.close, i.sma_20, i.ema_50, i.rsi_
 FROM ind AS i JOIN (
   SELECT symbol, max(trade_date) - 5 AS since FROM bars2 WHERE trade_date <= DATE '2001-06-30'
   GROUP BY symbol) AS s ON s.symbol = i.symbol AND i.trade_date >= s.since
-""", bars=NIGHT_BARS), "close sma_20 ema_50 rsi_14 atr_14", 4)
+""", bars=NIGHT_BARS), "sma_20 ema_50 rsi_14 atr_14")
 def nightly_refresh_snapshots(t: Tables) -> DataFrame:
     return stored_night(t).snapshots.select(
         "symbol", "as_of_date", "close", "sma_20", "ema_50", "rsi_14", "atr_14"
     )
 
 
-@query("nightly_refresh_stored_scores", "L4 U7", NIGHT_SCORES, "score", 1)
+@query("nightly_refresh_stored_scores", "L4 U7", NIGHT_SCORES, "score")
 def nightly_refresh_stored_scores(t: Tables) -> DataFrame:
     return stored_night(t).scores.select("symbol", "active_signal_count", "score")
 

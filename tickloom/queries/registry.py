@@ -38,7 +38,7 @@ REGISTRY: dict[str, Query] = {}
 
 
 def query(
-    name: str, covers: str, sql: str | None = None, rounded: str = "", digits: int = 4
+    name: str, covers: str, sql: str | None = None, rounded: str = "", digits: int = 6
 ) -> Callable[[Callable[[Tables], DataFrame]], Callable[[Tables], DataFrame]]:
     def register(build: Callable[[Tables], DataFrame]) -> Callable[[Tables], DataFrame]:
         if name in REGISTRY:

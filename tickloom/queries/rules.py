@@ -11,12 +11,13 @@ from tickloom.bridge import Tables
 from tickloom.config import DEFAULT
 from tickloom.operators import signals as sg
 from tickloom.operators import strategies as st
-from tickloom.operators.quality import validate_ohlcv
 from tickloom.operators.scoring import position_size, risk_per_share
-from tickloom.operators.technicals import add_technical_indicators
+from tickloom.plans.pipelines import scan_strategies, scan_universe
+from tickloom.queries import state  # noqa: F401  (its table expressions)
 from tickloom.queries.indicators import indicators
 from tickloom.queries.registry import query
 from tickloom.queries.sqlbase import SIGNAL_CONDITIONS, part, sql
+from tickloom.session import materialise
 
 # The bridge prices trade for small amounts, so the liquidity floors are lowered
 # and the ATR limits raised.
@@ -26,6 +27,11 @@ SCANNER = replace(
 )
 
 
+def _two(value: str) -> str:
+    """Two digits, halves up on the decimal text."""
+    return f"CAST(round(CAST(CAST({value} AS VARCHAR) AS DECIMAL(38, 16)), 2) AS DOUBLE)"
+
+
 def _signal(name: str):
     def build(t: Tables) -> DataFrame:
         return sg.signal_events(indicators(t)).where(F.col("signal") == name).select(
@@ -65,13 +71,13 @@ def latest_signal_scan(t: Tables) -> DataFrame:
 
 @query("signal_trade_plans", "P10 P11", sql(f"""
 SELECT symbol, trade_date AS event_date, signal, CASE WHEN usable THEN cents END AS trigger_price,
-       CASE WHEN usable THEN close - 0.5 * atr_14 END AS entry_zone_low,
-       CASE WHEN usable THEN close + 0.25 * atr_14 END AS entry_zone_high,
-       CASE WHEN usable THEN close - 2 * atr_14 END AS stop_loss,
-       CASE WHEN usable THEN close + 5 * atr_14 END AS target_price,
+       CASE WHEN usable THEN {_two('close - 0.5 * atr_14')} END AS entry_zone_low,
+       CASE WHEN usable THEN {_two('close + 0.25 * atr_14')} END AS entry_zone_high,
+       CASE WHEN usable THEN {_two('close - 2 * atr_14')} END AS stop_loss,
+       CASE WHEN usable THEN {_two('close + 5 * atr_14')} END AS target_price,
        CAST(CASE WHEN usable THEN 2.5 END AS DOUBLE) AS risk_reward, {_CONFIDENCE}
 FROM planned WHERE active
-"""), "entry_zone_low entry_zone_high stop_loss target_price", 2)
+"""), "entry_zone_low entry_zone_high stop_loss target_price")
 def signal_trade_plans(t: Tables) -> DataFrame:
     return sg.signal_events(indicators(t)).select(
         "symbol", "event_date", "signal", "trigger_price", "entry_zone_low", "entry_zone_high",
@@ -87,7 +93,7 @@ SELECT symbol, trade_date AS event_date, signal,
             / nullif(round(cents - round(close - 2 * atr_14, 2), 2), 0)) END AS BIGINT)
          AS shares
 FROM planned WHERE active
-"""), "risk_per_share", 2)
+"""), "risk_per_share")
 def position_sizes(t: Tables) -> DataFrame:
     df = sg.signal_events(indicators(t))
     risk = risk_per_share(F.col("trigger_price"), F.col("stop_loss"))
@@ -110,23 +116,9 @@ def rsi_momentum_days(t: Tables) -> DataFrame:
 
 # --- strategies --------------------------------------------------------------
 
-def scanner_rows(t: Tables) -> DataFrame:
-    """Last indicator row per symbol with source label, data warnings and company facts."""
-    prices = st.dedupe_sources(t.bars_two_source)
-    ind = add_technical_indicators(prices)
-    report = validate_ohlcv(prices, t.as_of)
-    ok = report.where((F.col("rows") >= SCANNER.min_history_rows) & F.col("ok"))
-    last = ind.where(sg.is_last_bar()).withColumnRenamed("source_label", "data_source")
-    noted = F.concat("warnings", F.array_compact(F.array("source_warning")))
-    return (
-        last.join(ok.select("symbol", "warnings"), "symbol")
-        .withColumn("data_warnings", noted).drop("warnings", "source")
-        .join(t.universe.withColumnRenamed("name", "company_name"), "symbol", "left")
-    )
-
-
 def strategy_results(t: Tables) -> DataFrame:
-    return st.evaluate_strategies(scanner_rows(t), t.as_of, cfg=SCANNER)
+    """Triggered strategies of the stored scan; some symbols have one source only."""
+    return scan_strategies(t.bars_two_source, t.universe, t.as_of, cfg=SCANNER)[0]
 
 
 def history_rows(t: Tables) -> DataFrame:
@@ -310,36 +302,127 @@ def persisted_strategy_scan(t: Tables) -> DataFrame:
     )
 
 
-@query("strategy_source_counts", "A16")
+_TWO = """
+SELECT * FROM bars2 WHERE source = 'kite' OR CAST(regexp_extract(symbol, '(\\d+)', 1) AS BIGINT) % 3 <> 0
+"""
+_BEST = """
+SELECT symbol, trade_date, arg_max(open, p) AS open, arg_max(high, p) AS high,
+       arg_max(low, p) AS low, arg_max(close, p) AS close, arg_max(volume, p) AS volume
+FROM (SELECT *, CASE source WHEN 'kite' THEN 2 ELSE 1 END AS p FROM some_sources) GROUP BY 1, 2
+"""
+
+
+def some_sources(t: Tables) -> DataFrame:
+    """Every third symbol has bars of one source only."""
+    key = F.regexp_extract("symbol", r"(\d+)", 1).cast("long")
+    return t.bars_two_source.where((F.col("source") == "kite") | (key % 3 != 0))
+
+
+@query("strategy_source_counts", "A16", sql("""
+SELECT count(*) FILTER (one = 'kite') AS kite_rows, count(*) FILTER (symbol LIKE '%1.NS') AS fallback_rows,
+       count(*) FILTER (symbol LIKE '%2.NS') AS missing_freshness
+FROM strategy_hits JOIN (SELECT symbol, CASE WHEN min(source) = max(source) THEN min(source) ELSE 'mixed' END AS one
+                         FROM some_sources GROUP BY symbol) USING (symbol)
+WHERE n = bar_count AND n >= 150
+""", some_sources=_TWO, bars=_BEST))
 def strategy_source_counts(t: Tables) -> DataFrame:
-    return st.source_counts(strategy_results(t))
+    """Where the hits' prices come from; some have a fallback reason, some no freshness."""
+    found, _ = scan_strategies(some_sources(t), t.universe, t.as_of, 150, cfg=SCANNER)
+    symbol = F.col("symbol")
+    return st.source_counts(found.withColumns({
+        "provider_fallback_reason": F.when(symbol.endswith("1.NS"), F.lit("timeout")).otherwise(F.lit("")),
+        "data_freshness": F.when(~symbol.endswith("2.NS"), F.col("data_freshness")),
+    }))
+
+
+@query("strategy_scan_errors", "L3 A20", sql("""
+SELECT u.symbol, 'insufficient persisted price history (' || coalesce(rows, 0) || ' rows)' AS message
+FROM universe AS u LEFT JOIN (SELECT symbol, count(*) AS rows FROM bars GROUP BY symbol) AS b ON b.symbol = u.symbol
+WHERE coalesce(rows, 0) < 400
+""", some_sources=_TWO, bars=_BEST))
+def strategy_scan_errors(t: Tables) -> DataFrame:
+    """What a stored scan that asks for 400 bars cannot judge."""
+    return scan_strategies(some_sources(t), t.universe, t.as_of, 400, cfg=SCANNER)[1]
+
+
+part("quality_notes", """
+SELECT symbol, list_filter([
+         CASE WHEN moves > 0 THEN 'suspicious_price_moves: ' || moves
+              || ' day(s) > 40.0% (possible unadjusted corporate action)' END,
+         CASE WHEN age > 5 THEN 'stale_data: last bar is ' || age || ' day(s) old' END],
+         lambda x: x IS NOT NULL) AS notes
+FROM (SELECT symbol, max(as_of) - max(trade_date) AS age,
+             count(*) FILTER (abs(close / prior_close - 1) * 100 > 40) AS moves
+      FROM ind CROSS JOIN today GROUP BY symbol)
+""")
 
 
 @query("alert_previews", "P27 E1", sql("""
 SELECT symbol, 'signal_active' AS severity, symbol || ' active signal: ' || signal AS title,
-       'technical_signal' AS source
+       'technical_signal' AS source, symbol || ' has an active ' || signal || ' observation.' AS opening
 FROM (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY place) AS k FROM events_all
       WHERE n = bar_count) WHERE k <= 3
 UNION ALL
-SELECT symbol, 'data_quality', symbol || ' has data-quality warning(s)', 'data_quality'
-FROM (SELECT symbol, max(trade_date) AS last_day,
-             count(*) FILTER (abs(close / prior_close - 1) * 100 > 40) AS moves FROM ind
-      GROUP BY symbol) CROSS JOIN today WHERE moves > 0 OR as_of - last_day > 5
+SELECT symbol, 'data_quality', symbol || ' has data-quality warning(s)', 'data_quality',
+       symbol || ' has data-quality warning(s): ' || array_to_string(notes, '; ')
+         || '. Verify source data before relying on outputs.'
+FROM quality_notes WHERE len(notes) > 0
 UNION ALL
-SELECT symbol, 'research_candidate', symbol || ' crossed strong research score threshold',
-       'composite_score'
-FROM last_sig WHERE active_signal_count >= 2
+SELECT symbol, 'research_candidate', symbol || ' crossed strong research score threshold', 'composite_score',
+       symbol || ' has a composite research score of ' || printf('%.1f', composite_score) || '/100 and '
+         || active_signal_count || ' active technical signal(s).'
+FROM scan_now WHERE composite_score >= 55 AND active_signal_count > 0
 """))
 def alert_previews(t: Tables) -> DataFrame:
-    """Scores are a simple stand-in (90 with two active signals) so all three kinds appear."""
-    ind = indicators(t)
-    last = sg.latest_with_signals(ind)
-    report = validate_ohlcv(t.bars, t.as_of)
-    score = F.when(F.col("active_signal_count") >= 2, F.lit(90.0)).otherwise(F.lit(50.0))
-    scored = last.select(
-        "symbol", "active_signals", "active_signal_count", score.alias("score")
-    ).join(report.select("symbol", "warnings"), "symbol")
-    return sg.alert_candidates(scored, sg.scan_latest_signals(ind)).select(
-        "symbol", "severity", "title", "source"
+    """All three kinds from one scan and its signals; the floor of the score is lower than usual."""
+    t = t.with_stored_bars()
+    rows = materialise(indicators(t).where(sg.is_last_bar()), "last-bars")
+    scored = scan_universe(t.bars, t.universe, t.as_of, last_bars=rows).select(
+        "symbol", "active_signals", "active_signal_count", F.col("composite_score").alias("score"),
+        F.col("data_quality_warnings").alias("warnings"),
     )
+    found = sg.alert_candidates(scored, sg.scan_latest_signals(rows), min_score=55)
+    sentence = F.when(F.col("severity") == "data_quality", F.col("message")).otherwise(
+        F.concat(F.substring_index(F.regexp_replace("message", r"\. ", ".\n"), "\n", 1))
+    )
+    return found.select("symbol", "severity", "title", "source", sentence.alias("opening"))
+
 
+_AMOUNTS = {
+    "close": "close", "entry_zone_low": "close - 0.5 * a", "entry_zone_high": "close + 0.25 * a",
+    "stop_loss": "close - 2 * a", "target_price": "close + 5 * a", "rsi": "rsi_14",
+    "relative_volume": "relative_volume", "atr_pct": "atr_pct", "ema_20": "ema_20", "ema_50": "ema_50",
+    "ema_100": "ema_100", "ema_200": "ema_200",
+    "breakout_level": "CASE WHEN setup_type = 'Breakout' THEN level END",
+}
+
+
+@query("strategy_rows", "P20 P13 P19", sql(f"""
+SELECT h.symbol, u.name AS company_name, u.sector, strategy, setup_type, trade_date AS signal_date,
+       {', '.join(f"{_two(v)} AS {k}" for k, v in _AMOUNTS.items())},
+       CASE WHEN a IS NOT NULL THEN 2.5::DOUBLE END AS risk_reward, ma_stack_status AS trend_status, liquidity_status,
+       strftime(trade_date, '%Y-%m-%d') AS data_freshness, confidence_score,
+       CASE strategy WHEN 'EMA Stack Trend Filter' THEN 'Price is'
+            WHEN 'RSI 60 Momentum Continuation' THEN 'RSI is'
+            WHEN '20/50 EMA Pullback In Uptrend' THEN 'Price is'
+            WHEN 'Breakout With Relative Volume' THEN 'Close broke' ELSE 'Close is' END AS why_this_appeared,
+       CASE WHEN strategy = '20/50 EMA Pullback In Uptrend' THEN CASE WHEN near20 <= near50 THEN '20 EMA' ELSE '50 EMA' END
+            WHEN setup_type = 'Breakout' THEN CASE WHEN n >= 253 THEN '52-week high' ELSE '120-day high' END END AS named,
+       'derived' AS data_source, u.market_cap_bucket, avg_traded_value_cr, data_trust,
+       CAST(CASE WHEN liquidity_status = 'Pass' THEN 0 ELSE 2 END
+         + CASE WHEN close < 20 THEN 1 ELSE 0 END + CASE WHEN atr_pct > 100 THEN 1 ELSE 0 END AS BIGINT) AS warnings,
+       '' AS provider_fallback_reason
+FROM (SELECT *, CASE WHEN atr_14 > 0 THEN atr_14 END AS a FROM strategy_hits) AS h
+JOIN universe AS u ON u.symbol = h.symbol
+"""))
+def strategy_rows(t: Tables) -> DataFrame:
+    """All columns of a result row; sentences by how they begin and what they name, warnings by number."""
+    facts = t.universe.select("symbol", F.col("name").alias("company_name"), "sector", "market_cap_bucket")
+    rows = history_rows(t).drop("company_name", "sector", "market_cap_bucket").join(facts, "symbol")
+    found = st.evaluate_strategies(rows, F.col("trade_date"), cfg=SCANNER)
+    why = F.col("why_this_appeared")
+    named = F.regexp_extract(why, r"(?:near the|the prior) (\S+ \S+)(?: while| with|,)", 1)
+    return found.withColumns({
+        "named": F.nullif(named, F.lit("")), "why_this_appeared": F.substring_index(why, " ", 2),
+        "warnings": F.size("warnings"),
+    }).drop("key_risk")

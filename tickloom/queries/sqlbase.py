@@ -40,6 +40,11 @@ def sql(body: str, **override: str) -> str:
     return f"WITH {'RECURSIVE ' if loops else ''}{heads}\n{body.strip()}"
 
 
+def half_up(value: str, digits: int) -> str:
+    """Rounded, halves up on the decimal text, without the noise of a sum."""
+    return f"CAST(round(CAST(round({value}, 9) AS DECIMAL(38, 9)), {digits}) AS DOUBLE)"
+
+
 part("lines", """
 SELECT 'S' || l_suppkey || '.NS' AS symbol, CAST(l_shipdate AS DATE) AS trade_date,
        l_extendedprice / nullif(l_quantity, 0) AS px, l_extendedprice * (1 - l_discount) AS net,

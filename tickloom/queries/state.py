@@ -10,11 +10,12 @@ from tickloom.operators import membership as mb
 from tickloom.operators import scans
 from tickloom.operators import upsert as up
 from tickloom.operators.quality import validate_ohlcv
+from tickloom.plans.imports import lookup_tokens
 from tickloom.plans.pipelines import last_bars_at, scan_universe
 from tickloom.queries.backtests import INDEX, membership, membership_snapshots
 from tickloom.queries.registry import query
 from tickloom.queries.sqlbase import part, sql
-from tickloom.session import materialise
+from tickloom.session import materialise, shared_path
 
 
 def day(text: str) -> Column:
@@ -121,7 +122,7 @@ def source_failover(t: Tables) -> DataFrame:
 @query("quarterly_upsert", "U3", sql("""
 SELECT symbol, fiscal_year, fiscal_quarter, CASE WHEN fiscal_year >= 2000 THEN revenue * 2
        ELSE revenue END AS revenue FROM quarterly
-"""), "revenue", 4)
+"""), "revenue")
 def quarterly_upsert(t: Tables) -> DataFrame:
     stored = t.quarterly.select(
         "symbol", "fiscal_year", "fiscal_quarter", "source", "revenue"
@@ -203,24 +204,38 @@ def instrument_upsert(t: Tables) -> DataFrame:
 
 
 @query("instrument_token_lookup", "J11", sql("""
-SELECT l_orderkey AS order_key, CAST(l_linenumber AS BIGINT) AS line_number,
-       exchange, instrument_token FROM lineitem JOIN part ON p_partkey = l_partkey JOIN instruments ON tradingsymbol = 'P' || l_partkey
+SELECT w.order_key, w.line_number, w.tradingsymbol, w.exchange, min(i.instrument_token) AS instrument_token
+FROM (SELECT row_number() OVER () AS r, l_orderkey AS order_key, CAST(l_linenumber AS BIGINT) AS line_number,
+             'P' || (l_partkey + CASE WHEN l_linenumber = 5 THEN 1000000000 ELSE 0 END) AS tradingsymbol,
+             CASE l_returnflag WHEN 'R' THEN 'BSE' WHEN 'A' THEN 'NSE' END AS exchange,
+             CASE l_linenumber WHEN 1 THEN 'CM' WHEN 2 THEN '' END AS segment FROM lineitem) AS w
+LEFT JOIN (SELECT * FROM instruments
+           UNION ALL SELECT exchange, tradingsymbol, 'FO', 'FUT', instrument_token + 500000000, p_size
+                     FROM instruments WHERE p_size % 2 = 0) AS i
+  ON i.tradingsymbol = w.tradingsymbol AND i.exchange = coalesce(w.exchange, 'NSE')
+  AND (w.segment IS NULL OR i.segment IS NOT DISTINCT FROM nullif(w.segment, ''))
+GROUP BY w.r, 1, 2, 3, 4
 """))
 def instrument_token_lookup(t: Tables) -> DataFrame:
-    """Trades find their token by exchange, symbol and a segment that may be absent."""
-    ref = instruments(t)
-    li = t.read("lineitem").select("l_orderkey", "l_linenumber", "l_partkey")
-    traded = li.join(
-        ref.select(F.col("instrument_token").alias("l_partkey"), F.col("exchange").alias("_ex"),
-                   F.col("segment").alias("_seg")), "l_partkey")
-    wanted = F.concat(F.lit("P"), F.col("l_partkey").cast("string"))
-    match = (
-        (wanted == F.col("tradingsymbol")) & (F.col("_ex") == F.col("exchange"))
-        & F.col("_seg").eqNullSafe(F.col("segment"))
-    )
-    return traded.join(ref, match).select(
-        F.col("l_orderkey").alias("order_key"), F.col("l_linenumber").alias("line_number"),
-        "exchange", "instrument_token",
+    """Trades look for their token: exchange and segment may be absent, some symbols are not listed,
+    some are listed with a future beside the share."""
+    known = instruments(t)
+    even = t.read("part").where(F.col("p_size") % 2 == 0).select(F.col("p_partkey").alias("instrument_token"))
+    futures = known.join(even, "instrument_token").withColumns({
+        "segment": F.lit("FO"), "instrument_type": F.lit("FUT"),
+        "instrument_token": F.col("instrument_token") + 500_000_000,
+    })
+    number, flag = F.col("l_linenumber"), F.col("l_returnflag")
+    part = F.col("l_partkey") + F.when(number == 5, 1_000_000_000).otherwise(0)
+    wanted = t.read("lineitem").select(
+        F.col("l_orderkey").alias("order_key"), number.alias("line_number"),
+        F.concat(F.lit("P"), part.cast("string")).alias("tradingsymbol"),
+        F.when(flag == "R", F.lit("BSE")).when(flag == "A", F.lit("NSE")).alias("exchange"),
+        F.when(number == 1, F.lit("CM")).when(number == 2, F.lit("")).alias("segment"),
+        F.lit(None).cast("string").alias("instrument_type"),
+    )
+    return lookup_tokens(wanted, known.unionByName(futures)).select(
+        "order_key", "line_number", "tradingsymbol", "exchange", "instrument_token"
     )
 
 
@@ -396,7 +411,9 @@ def universe_union(t: Tables) -> DataFrame:
     "SELECT symbol, name FROM universe ORDER BY symbol LIMIT 25 OFFSET 25"))
 def universe_batch(t: Tables) -> DataFrame:
     """Second page of 25 of the universe in symbol order."""
-    return scans.batch_slice(t.universe, 26, 25).select("symbol", "name")
+    path = shared_path(t.spark, "pages")
+    scans.write_pages(t.universe, path)
+    return scans.read_page(t.spark, path, 26, 25).select("symbol", "name")
 
 
 # --- saved scans ------------------------------------------------------------------------
@@ -465,7 +482,7 @@ SELECT s.*, max(n) OVER (PARTITION BY symbol) AS last_n FROM (
 SELECT symbol, composite_score, band, technicals, active_signal_count,
        coalesce(active_signals, '') AS active_signals, last_close, rsi_14, ma_stack,
        CAST(warn AS BIGINT) AS warnings FROM scan_now
-"""), "composite_score technicals rsi_14", 3)
+"""), "composite_score technicals rsi_14")
 def universe_scan(t: Tables) -> DataFrame:
     return scans.rank_scan(scan_at(t, 0)).select(
         "symbol", "composite_score", "band", "technicals", "active_signal_count",
@@ -477,7 +494,7 @@ def universe_scan(t: Tables) -> DataFrame:
 @query("scan_result_filter", "P21", sql("""
 SELECT symbol, composite_score, active_signal_count FROM scan_now
 WHERE composite_score >= 50 AND active_signal_count >= 1
-"""), "composite_score", 3)
+"""), "composite_score")
 def scan_result_filter(t: Tables) -> DataFrame:
     return scans.filter_scan(scan_at(t, 0), 50, 1).select(
         "symbol", "composite_score", "active_signal_count"
@@ -506,7 +523,7 @@ FROM scan_now AS a LEFT JOIN scan_before AS b ON b.symbol = a.symbol
 SELECT symbol, composite_score, previous_score, score_change,
        CAST(signal_count_change AS DOUBLE) AS signal_count_change, new_active_signals,
        dropped_active_signals, comparison_status FROM compared
-"""), "composite_score previous_score score_change", 3)
+"""), "composite_score previous_score score_change")
 def scan_comparison(t: Tables) -> DataFrame:
     return scans.ranked_comparison(scans.compare_scans(*saved_scans(t))).select(
         "symbol", "composite_score", "previous_score", "score_change", "signal_count_change",
@@ -516,14 +533,14 @@ def scan_comparison(t: Tables) -> DataFrame:
 
 @query("daily_brief", "A17 L11", sql("""
 SELECT count(*) AS requested_symbols, count(*) AS successful_symbols,
-       CAST(0 AS BIGINT) AS failed_symbols, avg(composite_score) AS average_score,
+       CAST(0 AS BIGINT) AS failed_symbols, round(avg(composite_score), 1) AS average_score,
        max(composite_score) AS top_score, count(*) FILTER (score_change >= 5) AS improved,
        count(*) FILTER (score_change <= -5) AS weakened,
        count(*) FILTER (comparison_status = 'new symbol' AND composite_score >= 60)
          AS new_opportunities,
        count(*) FILTER (new_active_signals <> '') AS new_signals,
        count(*) FILTER (warn > 0) AS data_quality_actions FROM compared
-"""), "average_score top_score", 1)
+"""), "average_score top_score")
 def daily_brief(t: Tables) -> DataFrame:
     return scans.brief_totals(scans.compare_scans(*saved_scans(t)))
 
@@ -531,7 +548,7 @@ def daily_brief(t: Tables) -> DataFrame:
 @query("brief_improved", "O7", sql("""
 SELECT symbol, score_change, composite_score FROM compared WHERE score_change >= 5
 ORDER BY score_change DESC, composite_score DESC, symbol LIMIT 10
-"""), "score_change composite_score", 3)
+"""), "score_change composite_score")
 def brief_improved(t: Tables) -> DataFrame:
     return scans.brief_list(scans.compare_scans(*saved_scans(t)), "improved").select(
         "symbol", "score_change", "composite_score"
@@ -541,7 +558,7 @@ def brief_improved(t: Tables) -> DataFrame:
 @query("brief_weakened", "O7", sql("""
 SELECT symbol, score_change, composite_score FROM compared WHERE score_change <= -5
 ORDER BY score_change, composite_score DESC, symbol LIMIT 10
-"""), "score_change composite_score", 3)
+"""), "score_change composite_score")
 def brief_weakened(t: Tables) -> DataFrame:
     return scans.brief_list(scans.compare_scans(*saved_scans(t)), "weakened").select(
         "symbol", "score_change", "composite_score"
@@ -584,7 +601,7 @@ def scan_run_summary(t: Tables) -> DataFrame:
 SELECT w.symbol, review_status, s.composite_score AS latest_score, s.band AS latest_band,
        CASE WHEN s.symbol IS NOT NULL THEN 'run-2' END AS latest_run_id
 FROM merged_watch AS w LEFT JOIN scan_now AS s ON s.symbol = w.symbol
-"""), "latest_score", 3)
+"""), "latest_score")
 def watchlist_with_scores(t: Tables) -> DataFrame:
     rows, runs = scan_tables(t)
     items = up.merge_watchlist(*watchlist(t))

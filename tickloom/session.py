@@ -58,6 +58,19 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return where.getFileSystem(context._jsc.hadoopConfiguration()).exists(where)
 
 
+def newest_parts(spark: SparkSession, path: str, column: str, n: int) -> list[str]:
+    """The ``n`` largest values of a table's partition column, newest first, by listing its
+    directories: nothing is read. Empty without a table."""
+    context = spark.sparkContext
+    where = context._jvm.org.apache.hadoop.fs.Path(path)
+    files = where.getFileSystem(context._jsc.hadoopConfiguration())
+    if not files.exists(where):
+        return []
+    names = [f.getPath().getName() for f in files.listStatus(where) if f.isDirectory()]
+    unescape = context._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.unescapePathName
+    return sorted((unescape(x.split("=", 1)[1]) for x in names if x.startswith(f"{column}=")), reverse=True)[:n]
+
+
 def delete_path(spark: SparkSession, path: str) -> None:
     """Remove a folder of ours, in whatever store it lies."""
     context = spark.sparkContext

@@ -85,6 +85,20 @@ def latest_batches(spark: SparkSession, path: str, keys: Sequence[str]) -> DataF
     return df.where("_pos = 1").drop("_pos", "batch")
 
 
+def run_deliveries(
+    make: Callable[[], DataFrame], handle: Callable[[DataFrame, int], None], checkpoint: str,
+    deliveries: Sequence[Callable[[], None]], mode: str = "append",
+) -> None:
+    """A stream that is stopped and started between deliveries.
+
+    Each delivery puts files in the inbox; then the query starts from its checkpoint, takes what
+    is new and stops. State and watermark go on where the run before left them.
+    """
+    for deliver in deliveries:
+        deliver()
+        run_available(make(), handle, checkpoint, mode)
+
+
 def ingest_prices(
     stream: DataFrame, table: str, checkpoint: str, order: Sequence[str] = ()
 ) -> None:
