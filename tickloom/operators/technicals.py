@@ -1,11 +1,11 @@
 """Technical indicators for all symbols in one job.
 
 Long frames are built from short ones: a 200-row mean is the sum of 10-row sums
-taken at lags 0, 10, 20 …; a 252-row extreme is the extreme of twelve 21-row
+taken at lags 0, 10, 20 …; a 252-row extreme is the extreme of thirteen 20-row
 extremes.  A row then costs about 100 frame updates instead of more than 1,000.
 
 A mean or deviation over k rows needs k values, an extreme over 252 rows needs 20; so
-values are counted beside the sums.  Missing closes are padded before returns are taken.
+values are counted, by differences of a running count.  Missing closes are padded before returns are taken.
 """
 
 from __future__ import annotations
@@ -58,6 +58,11 @@ def _lagged_sum(short: str, step: int, count: int, w: WindowSpec) -> Column:
     return reduce(lambda a, b: a + b, [F.coalesce(p, F.lit(0)) for p in parts])
 
 
+def _values(running: str, rows: int, w: WindowSpec) -> Column:
+    """How many values the last rows have, from a running count of them."""
+    return F.col(running) - F.coalesce(F.lag(running, rows).over(w), F.lit(0))
+
+
 def _lagged_extreme(fn, short: str, step: int, rows: int, w: WindowSpec) -> Column:
     lags = [i * step for i in range(rows // step)]
     if rows % step:
@@ -121,21 +126,16 @@ def indicator_frame(bars: DataFrame, start: str | None = None, trace: bool = Fal
         bar_count=F.count("*").over(whole) + earlier if start else F.count("*").over(whole),
         _tr=true_range(w),
         _sum10=F.sum("close").over(frame(10)),
-        _n10=F.count("close").over(frame(10)),
+        _seen_closes=F.count("close").over(running),
+        _seen_highs=F.count("high").over(running),
+        _seen_lows=F.count("low").over(running),
+        _seen_volumes=F.count("volume").over(running),
         _std20=F.stddev_samp("close").over(frame(20)),
-        _vol20=F.when(F.count("volume").over(frame(20)) == 20, F.avg("volume").over(frame(20))),
-        _high21=F.count("high").over(frame(21)),
-        _low21=F.count("low").over(frame(21)),
+        _vol20=F.avg("volume").over(frame(20)),
         _padded=since(F.last("close", ignorenulls=True).over(running), "close_before"),
-        _padded_before=since(
-            F.last("close", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1)),
-            "close_before",
-        ),
         _highest=since(F.max("high").over(running), "highest", F.greatest),
-        _max21=F.max("high").over(frame(21)),
-        _min21=F.min("low").over(frame(21)),
-        prior_high_20=F.max("high").over(w.rowsBetween(-20, -1)),
-        prior_low_20=F.min("low").over(w.rowsBetween(-20, -1)),
+        _max20=F.max("high").over(frame(20)),
+        _min20=F.min("low").over(frame(20)),
         traded_value_20=F.avg(F.col("close") * F.col("volume")).over(frame(20)),
     )
     if trace:
@@ -143,23 +143,24 @@ def indicator_frame(bars: DataFrame, start: str | None = None, trace: bool = Fal
     df = df.withColumns(
         {
             "all_time_high": F.when(F.col("high").isNotNull(), F.col("_highest")),
-            "_return": safe_divide("_padded", "_padded_before") - 1.0,
+            "_return": safe_divide(F.col("_padded"), since(F.lag("_padded").over(w), "close_before")) - 1.0,
             **{f"_sum{k}": _lagged_sum("_sum10", 10, k // 10, w) for k in (20, 50, 100)},
-            **{f"_n{k}": _lagged_sum("_n10", 10, k // 10, w) for k in (20, 50, 100)},
-            "_high252": _lagged_sum("_high21", 21, 12, w),
-            "_low252": _lagged_sum("_low21", 21, 12, w),
-            "_max252": _lagged_extreme(F.greatest, "_max21", 21, 252, w),
-            "_min252": _lagged_extreme(F.least, "_min21", 21, 252, w),
-            "_max120": _lagged_extreme(F.greatest, "_max21", 21, 120, w),
+            **{f"_n{k}": _values("_seen_closes", k, w) for k in (20, 50, 100, 200)},
+            "_high252": _values("_seen_highs", 252, w),
+            "_low252": _values("_seen_lows", 252, w),
+            "_volumes20": _values("_seen_volumes", 20, w),
+            "_max252": _lagged_extreme(F.greatest, "_max20", 20, 252, w),
+            "_min252": _lagged_extreme(F.least, "_min20", 20, 252, w),
+            "_max120": _lagged_extreme(F.greatest, "_max20", 20, 120, w),
+            "prior_high_20": F.lag("_max20").over(w),
+            "prior_low_20": F.lag("_min20").over(w),
         }
     )
     df = df.withColumns(
         {
             "_sum200": _lagged_sum("_sum100", 100, 2, w),
-            "_n200": _lagged_sum("_n100", 100, 2, w),
-            "_ret_std20": F.when(
-                F.count("_return").over(frame(20)) == 20, F.stddev_samp("_return").over(frame(20))
-            ),
+            "_seen_returns": F.count("_return").over(running),
+            "_ret_std20": F.stddev_samp("_return").over(frame(20)),
             "prior_high": F.lag("_max252").over(w),
             "_prior120": F.lag("_max120").over(w),
             "_prior50": F.lag(F.when(F.col("_n50") == 50, F.col("_sum50"))).over(w),
@@ -175,8 +176,10 @@ def indicator_frame(bars: DataFrame, start: str | None = None, trace: bool = Fal
             for k in (20, 50, 100, 200)
         ],
         F.when(F.col("_n20") == 20, F.col("_std20")).alias("_std20"),
-        (F.col("_ret_std20") * (252.0**0.5) * 100.0).alias("historical_volatility_20"),
-        F.col("_vol20").alias("avg_volume_20"),
+        F.when(
+            _values("_seen_returns", 20, w) == 20, F.col("_ret_std20") * (252.0**0.5) * 100.0
+        ).alias("historical_volatility_20"),
+        F.when(F.col("_volumes20") == 20, F.col("_vol20")).alias("avg_volume_20"),
         F.when(F.col("_high252") >= 20, F.col("_max252")).alias("high_52w"),
         F.when(F.col("_low252") >= 20, F.col("_min252")).alias("low_52w"),
         F.when(row > 120, F.col("_prior120")).alias("prior_high_120"),
