@@ -207,8 +207,8 @@ def test_bank_score(spark):
     got = {r.symbol: r for r in score_stocks(df).collect()}
     bank = got["HDFCBANK.NS"]
     assert bank.fundamentals_score == pytest.approx((100 + 2 * (550 / 6)) / 3, abs=0.06)
-    assert "Banking NIM is healthy at 5.00%." in bank.reasons
-    assert "Low Altman Z-Score (1.00) signals balance-sheet caution." in got["ACME.NS"].risks
+    assert "A good interest margin of 5.00%." in bank.reasons
+    assert "Low Altman Z-Score (1.00): a weak balance sheet." in got["ACME.NS"].risks
     assert "RSI" in bank.missing_data and bank.missing_data == sorted(bank.missing_data)
 
 

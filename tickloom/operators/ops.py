@@ -44,11 +44,10 @@ def membership_coverage(history: DataFrame) -> DataFrame:
     ready = F.col("total_periods") > F.col("active_members")
     warning = F.when(
         F.col("active_members") == 0,
-        F.lit("No active index membership snapshot has been recorded yet."),
+        F.lit("No list of members is open."),
     ).when(
         ~ready,
-        F.lit("Only the current snapshot is available. Historical membership backfill is still "
-              "pending, so old backtests should be labelled as limited."),
+        F.lit("Only today's list is known: back-tests of earlier years miss who left."),
     )
     return counts.withColumns({"historical_backfill_ready": ready, "warning": warning})
 

@@ -329,38 +329,38 @@ def trust_checklist(inputs: DataFrame) -> DataFrame:
     areas = [
         ("Price data", status("price_errors", "price_warnings", "price_rows"),
          F.concat(F.format_number("price_rows", 0), F.lit(" OHLCV rows")),
-         issues("price_errors", "price_warnings", "Price data loaded and basic validation ran.")),
+         issues("price_errors", "price_warnings", "Bars are there and were checked.")),
         ("Fundamentals", status("fundamental_errors", "fundamental_warnings", "fundamental_rows"),
          number("fundamental_rows", " annual row(s)"),
          issues("fundamental_errors", "fundamental_warnings",
-                "Annual fundamentals available for this screen.")),
+                "Annual statements are there.")),
         ("Banking metrics",
          F.when(~applicable, F.lit("N/A")).otherwise(
              status("banking_errors", "banking_warnings", "banking_rows")),
-         F.when(~applicable, F.lit("non-bank / non-financial stock")).otherwise(
-             number("banking_rows", " manual banking row(s)")),
+         F.when(~applicable, F.lit("no bank")).otherwise(
+             number("banking_rows", " bank row(s)")),
          F.when(~applicable,
-                F.lit("Banking metrics are only required for banks and financial services."))
+                F.lit("Asked of banks and financial companies only."))
          .otherwise(issues("banking_errors", "banking_warnings",
-                           "Manual banking metrics available."))),
+                           "Bank figures are there."))),
         ("Signals", ok_if(F.col("active_signal_count") > 0),
          number("active_signal_count", " active signal(s)"),
-         F.when(F.col("active_signal_count") == 0, F.lit("No active signal fired."))
-         .otherwise(F.lit("Signal inputs loaded."))),
+         F.when(F.col("active_signal_count") == 0, F.lit("No signal fires."))
+         .otherwise(F.lit("All that signals need is there."))),
         ("Flows / events", ok_if(delivery & volatility),
          F.concat(F.lit("delivery: "), delivery.cast("string"),
                   F.lit("; result volatility: "), volatility.cast("string")),
-         F.lit("Delivery and result-event data remain limited in the MVP.")),
+         F.lit("Few deliveries and results are known.")),
         ("Fundamentals cross-check",
          ok_if((F.col("sources") >= 2) & (F.col("disagreements") == 0)),
-         F.when(F.col("sources") < 2, F.lit("no second source available to cross-check"))
-         .when(F.col("disagreements") == 0, F.lit("shared years agree"))
-         .otherwise(number("disagreements", " field-year disagreement(s)")),
-         F.lit("Compare sources before relying on one.")),
+         F.when(F.col("sources") < 2, F.lit("one source only"))
+         .when(F.col("disagreements") == 0, F.lit("sources agree"))
+         .otherwise(number("disagreements", " values differ")),
+         F.lit("See where the sources differ.")),
         ("Composite score", ok_if(both_lists),
          F.concat(F.size("missing_data").cast("string"), F.lit(" missing input(s), "),
                   F.size("risks").cast("string"), F.lit(" risk note(s)")),
-         F.when(both_lists, F.lit("No major missing-score notes for the current MVP inputs."))
+         F.when(both_lists, F.lit("The score lacks nothing."))
          .otherwise(F.array_join(F.slice("missing_data", 1, 4), ", "))),
     ]
     rows = F.array(

@@ -221,54 +221,54 @@ def _explanations() -> tuple[Column, Column, Column]:
         return F.when(holds(condition), F.concat(*text))
 
     reasons = messages(
-        say(scored_bank, "Using financial-sector fundamental scoring."),
-        say(b & has_source, "Manual banking metrics source: ", source,
+        say(scored_bank, "Scored as a bank or financial company."),
+        say(b & has_source, "Bank figures from ", source,
             F.when(F.coalesce(updated, F.lit("")) != "",
-                   F.concat(F.lit(" (updated "), updated, F.lit(").")))
+                   F.concat(F.lit(" of "), updated, F.lit(".")))
             .otherwise(F.lit("."))),
-        say(b & (c("nim_pct") >= 3.5), "Banking NIM is healthy at ", fixed("nim_pct", 2), "%."),
-        say(b & (c("gnpa_pct") <= 2.0), "GNPA is contained at ", fixed("gnpa_pct", 2), "%."),
-        say(b & (c("nnpa_pct") <= 1.0), "NNPA is contained at ", fixed("nnpa_pct", 2), "%."),
-        say(b & (c("casa_pct") >= 35.0), "CASA ratio is supportive at ", fixed("casa_pct", 2), "%."),
-        say(b & (c("capital_adequacy_pct") >= 15.0), "Capital adequacy is comfortable at ",
+        say(b & (c("nim_pct") >= 3.5), "A good interest margin of ", fixed("nim_pct", 2), "%."),
+        say(b & (c("gnpa_pct") <= 2.0), "Few gross bad loans, ", fixed("gnpa_pct", 2), "%."),
+        say(b & (c("nnpa_pct") <= 1.0), "Few net bad loans, ", fixed("nnpa_pct", 2), "%."),
+        say(b & (c("casa_pct") >= 35.0), "Cheap deposits make up ", fixed("casa_pct", 2), "%."),
+        say(b & (c("capital_adequacy_pct") >= 15.0), "Ample capital, ",
             fixed("capital_adequacy_pct", 2), "%."),
-        say(b & ~fast & (growth >= 70), "Credit and deposit growth are reasonably balanced."),
+        say(b & ~fast & (growth >= 70), "Loans and deposits grow alike."),
         say(scored_bank & c("_bank").isNull(),
-            "Banking metrics missing; score uses general financial-sector fallback."),
-        say(usable_f & (c("piotroski_f_score") >= 7), "Strong Piotroski F-Score (",
-            fixed("piotroski_f_score", 0), "/9)."),
-        say(F.size("active_signals") > 0, "Active technical signals: ", names, "."),
-        say((close > e50) & (e50 > e200), "Price is above 50 EMA and 200 EMA."),
-        say(d & (c("latest_pct") >= 50), "Latest delivery percentage is elevated at ",
+            "No bank figures; scored by what all companies report."),
+        say(usable_f & (c("piotroski_f_score") >= 7), "A Piotroski score of ",
+            fixed("piotroski_f_score", 0), " of 9."),
+        say(F.size("active_signals") > 0, "Signals: ", names, "."),
+        say((close > e50) & (e50 > e200), "Price over its 50 and 200 day averages."),
+        say(d & (c("latest_pct") >= 50), "Much of the last day was delivered, ",
             fixed("latest_pct", 1), "%."),
-        say(d & (c("delivery_trend") == "rising"), "Delivery trend is rising."),
-        say(d & c("unusual_today"), "Unusual delivery spike detected today."),
+        say(d & (c("delivery_trend") == "rising"), "Deliveries rise."),
+        say(d & c("unusual_today"), "Unusually much was delivered on the last day."),
         say(c("_market").isNotNull() & (c("fii_trend") == "bullish"),
-            "FII flow trend is bullish (5d/20d net positive)."),
+            "Foreign institutions buy, over 5 and 20 days."),
         say(c("_market").isNotNull() & (c("dii_trend") == "bullish"),
-            "DII flow trend is bullish (5d/20d net positive)."),
-        say(v & (multiple <= 1.1), "Result-period volatility is close to baseline."),
-        say(c("_macro") >= 70, "Fundamental ranks are strong versus available peers."),
+            "Domestic institutions buy, over 5 and 20 days."),
+        say(v & (multiple <= 1.1), "Results hardly move the price."),
+        say(c("_macro") >= 70, "High ranks among its peers."),
     )
     risks = messages(
-        say(b & (c("gnpa_pct") >= 5.0), "GNPA is elevated at ", fixed("gnpa_pct", 2), "%."),
-        say(b & (c("nnpa_pct") >= 2.0), "NNPA is elevated at ", fixed("nnpa_pct", 2), "%."),
-        say(b & (c("capital_adequacy_pct") < 13.0), "Capital adequacy is thin at ",
+        say(b & (c("gnpa_pct") >= 5.0), "GNPA is high, ", fixed("gnpa_pct", 2), "%."),
+        say(b & (c("nnpa_pct") >= 2.0), "NNPA is high, ", fixed("nnpa_pct", 2), "%."),
+        say(b & (c("capital_adequacy_pct") < 13.0), "Capital adequacy only ",
             fixed("capital_adequacy_pct", 2), "%."),
         say(b & fast,
-            "Credit growth is materially faster than deposit growth; funding mix needs review."),
+            "Credit growth outruns deposits; see how it is funded."),
         say(usable_f & ~fin & (c("altman_z_score") < 1.8), "Low Altman Z-Score (",
-            fixed("altman_z_score", 2), ") signals balance-sheet caution."),
-        say(F.size("active_signals") == 0, "No prebuilt technical signal is currently active."),
-        say((close <= e200) & e50.isNotNull(), "Price is below long-term moving-average support."),
-        say(d & (c("delivery_trend") == "falling"), "Delivery trend is falling."),
+            fixed("altman_z_score", 2), "): a weak balance sheet."),
+        say(F.size("active_signals") == 0, "No prebuilt signal fires."),
+        say((close <= e200) & e50.isNotNull(), "Price is under its 200 day average."),
+        say(d & (c("delivery_trend") == "falling"), "Delivery trend falls."),
         say(c("_market").isNotNull() & (c("fii_trend") == "bearish"),
-            "FII flow trend is bearish (5d/20d net negative)."),
+            "FII flow is out, over 5 and 20 days."),
         say(c("_market").isNotNull() & (c("dii_trend") == "bearish"),
-            "DII flow trend is bearish (5d/20d net negative)."),
-        say(v & (multiple > 1.5), "Result-period volatility is elevated at ",
-            fixed(multiple, 2), "x baseline."),
-        say(c("_macro") <= 35, "Fundamental ranks are weak versus available peers."),
+            "DII flow is out, over 5 and 20 days."),
+        say(v & (multiple > 1.5), "Result-period volatility is ",
+            fixed(multiple, 2), " times the usual."),
+        say(c("_macro") <= 35, "Fundamental ranks low among its peers."),
     )
     missing = messages(
         say(~has_f, "fundamentals"),

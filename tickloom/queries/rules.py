@@ -358,19 +358,18 @@ FROM (SELECT symbol, max(as_of) - max(trade_date) AS age,
 
 
 @query("alert_previews", "P27 E1", sql("""
-SELECT symbol, 'signal_active' AS severity, symbol || ' active signal: ' || signal AS title,
-       'technical_signal' AS source, symbol || ' has an active ' || signal || ' observation.' AS opening
+SELECT symbol, 'signal_active' AS severity, symbol || ': ' || signal AS title,
+       'technical_signal' AS source, symbol || ': ' || signal || ' on the last bar.' AS opening
 FROM (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY place) AS k FROM events_all
       WHERE n = bar_count) WHERE k <= 3
 UNION ALL
-SELECT symbol, 'data_quality', symbol || ' has data-quality warning(s)', 'data_quality',
-       symbol || ' has data-quality warning(s): ' || array_to_string(notes, '; ')
-         || '. Verify source data before relying on outputs.'
+SELECT symbol, 'data_quality', symbol || ': data warnings', 'data_quality',
+       symbol || ': check the data first: ' || array_to_string(notes, '; ') || '.'
 FROM quality_notes WHERE len(notes) > 0
 UNION ALL
-SELECT symbol, 'research_candidate', symbol || ' crossed strong research score threshold', 'composite_score',
-       symbol || ' has a composite research score of ' || printf('%.1f', composite_score) || '/100 and '
-         || active_signal_count || ' active technical signal(s).'
+SELECT symbol, 'research_candidate', symbol || ': strong score', 'composite_score',
+       symbol || ' scores ' || printf('%.1f', composite_score) || ' of 100 with '
+         || active_signal_count || ' active signal(s).'
 FROM scan_now WHERE composite_score >= 55 AND active_signal_count > 0
 """))
 def alert_previews(t: Tables) -> DataFrame:
