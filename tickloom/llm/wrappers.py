@@ -386,12 +386,15 @@ def wrappers(pages: DataFrame, scratch: Scratch) -> DataFrame:
     every = plain(pages, url="string", html="string").mapInArrow(_expressions, PAGE)
     different = scratch.stored("expressions", every.dropDuplicates(["host", "page"]))
     counts = different.groupBy("host").agg(F.count("*").alias("pages"))
-    width = -(-(counts.agg(F.max("pages")).first()[0] or 1) // BATCH)
+    most = counts.agg(F.max("pages").alias("pages"), F.sum(F.octet_length("host") + 16).alias("size")).first()
+    width = -(-(most.pages or 1) // BATCH)
     part = F.pmod(F.xxhash64("page"), F.ceil(F.col("pages") / BATCH))
-    dealt = different.join(counts, "host").withColumn("part", part)
+    side = F.broadcast(counts) if (most["size"] or 0) <= BROADCAST_BYTES else counts
+    # Dealt anew by both columns: else the parts of a host would stay where its pages met their count.
+    dealt = different.join(side, "host").withColumn("part", part).repartition("host", "part")
     found = dealt.groupBy("host", "part").applyInArrow(_joined("page"), PARTIAL)
     while width > 1:
-        above = found.withColumn("part", F.floor(F.col("part") / FAN))
+        above = found.withColumn("part", F.floor(F.col("part") / FAN)).repartition("host", "part")
         found = above.groupBy("host", "part").applyInArrow(_joined("wrapper"), PARTIAL)
         width = -(-width // FAN)
     return found.select("host", "pages", "wrapper")
