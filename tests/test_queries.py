@@ -82,6 +82,43 @@ def test_every_inventory_family_is_covered():
     assert absent == []
 
 
+#: What a query with the tag of a job must call.
+JOBS = {
+    "L1": {"add_technical_indicators", "indicators_with_state"}, "L2": {"scan_universe"}, "L3": {"scan_strategies"},
+    "L4": {"refresh_eod", "continued_frame"}, "L5": {"refresh_fundamentals"},
+    "L6": {"run_signal_backtest", "backtest_history"}, "L8": {"market_today"}, "L9": {"data_health"},
+    "L10": {"compare_latest_scans"}, "L11": {"daily_brief"}, "L12": {"import_fundamentals"},
+    "L13": {"refresh_market_flows", "sync_instruments", "refresh_index_membership", "import_membership_history"},
+    "U11": {"save_scan", "append_run"}, "U13": {"replay_snapshots", "import_membership_history", "dated_snapshots"},
+    "S7": {"banking_csv"}, "S11": {"delivery_files"}, "S15": {"write_snapshot", "sync_instruments"},
+}
+
+
+def called(function, seen=None):
+    """Names that a query's function uses, through other functions of the package."""
+    seen = set() if seen is None else seen
+    codes = [function.__code__]
+    for code in codes:
+        codes += [c for c in code.co_consts if hasattr(c, "co_names")]
+        for name in code.co_names:
+            if name not in seen:
+                seen.add(name)
+                modules = [m for m in function.__globals__.values() if getattr(m, "__name__", "").startswith("tickloom")]
+                found = [function.__globals__.get(name), *(getattr(m, name, None) for m in modules if hasattr(m, "__path__") or hasattr(m, "__file__"))]
+                for other in found:
+                    if hasattr(other, "__code__") and str(getattr(other, "__module__", "")).startswith("tickloom"):
+                        called(other, seen)
+    return seen
+
+
+def test_tags_of_jobs_are_calls():
+    wrong = [
+        (name, tag) for name, q in REGISTRY.items() for tag in q.covers
+        if tag in JOBS and not JOBS[tag] & called(q.build)
+    ]
+    assert wrong == []
+
+
 @pytest.mark.parametrize("name", ["signal_backtest_trades", "split_adjusted_bars",
                                   "bars_near_events", "market_cap_as_of", "peer_percentile_ranks"])
 def test_plans_stay_distributed(spark, name):

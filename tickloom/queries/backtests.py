@@ -91,7 +91,7 @@ def forward_outcomes(t: Tables) -> DataFrame:
     return bt.forward_outcomes(t.bars, 20)
 
 
-@query("membership_periods", "W14 U13", sql(
+@query("membership_periods", "W14", sql(
     "SELECT symbol, from_date, to_date FROM periods"))
 def membership_periods(t: Tables) -> DataFrame:
     return membership(t).select("symbol", "from_date", "to_date")

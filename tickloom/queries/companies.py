@@ -168,7 +168,7 @@ def market_cap_buckets(t: Tables) -> DataFrame:
 
 # --- import -------------------------------------------------------------------
 
-@query("manual_statement_import", "P37 L12", sql("""
+@query("manual_statement_import", "P37", sql("""
 SELECT symbol, fiscal_year, -revenue AS revenue, round(eps, 2) AS eps,
        round(book_value / 1e7, 6) * 1e7 AS book_value, 'manual' AS source, 'INR' AS currency FROM annual
 """), "revenue book_value")
@@ -187,7 +187,7 @@ def manual_statement_import(t: Tables) -> DataFrame:
     )
 
 
-@query("statement_csv_round_trip", "S6 S14 L5", sql("""
+@query("statement_csv_round_trip", "S6 S14", sql("""
 SELECT symbol, fiscal_year, period_end, revenue, shares_outstanding FROM annual
 """), "revenue")
 def statement_csv_round_trip(t: Tables) -> DataFrame:
@@ -520,7 +520,7 @@ def quarterly_validation(t: Tables) -> DataFrame:
     return validate_quarterly(t.quarterly)
 
 
-@query("import_gate", "A24 U3 L5", sql("""
+@query("import_gate", "A24", sql("""
 SELECT count(*) AS rows, count(DISTINCT symbol) AS symbols FROM annual
 WHERE symbol NOT IN (SELECT symbol FROM annual WHERE revenue < 20000)
 """))

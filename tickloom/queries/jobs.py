@@ -10,6 +10,7 @@ from tickloom.operators import backtest as bt
 from tickloom.operators import runs as rn
 from tickloom.operators import scans
 from tickloom.operators.continuation import new_rows
+from tickloom.operators.membership import periods_from_snapshots
 from tickloom.operators.technicals import INDICATORS, add_technical_indicators
 from tickloom.operators.upsert import store_by_year
 from tickloom.plans import bundles, imports
@@ -472,3 +473,49 @@ def data_health_bundle(t: Tables) -> DataFrame:
         t.bars_two_source, operations.score_series(t), state.instruments(t), backtests.membership(t),
         operations.runs(t), F.date_add(t.as_of, 1),
     )
+
+
+# --- stored flows, instruments and index lists ------------------------------------------------------
+
+@query("stored_flows_refresh", "L13 U5 S13", sql("""
+SELECT trade_date, participant, CASE WHEN year(trade_date) >= 1998 THEN net_value_cr * 2 ELSE net_value_cr END
+  AS net_value_cr FROM flows
+"""), "net_value_cr", 9)
+def stored_flows_refresh(t: Tables) -> DataFrame:
+    """Two deliveries of payloads; the second revises the later years, whose partitions alone are rewritten."""
+    root, flows = shared_path(t.spark, "flows"), t.market_flows
+    revised = flows.where(F.year("trade_date") >= 1998).withColumns(
+        {c: F.col(c) * 2 for c in ("buy_value_cr", "sell_value_cr", "net_value_cr")}
+    )
+    for rows in (flows, revised):
+        done = imports.refresh_market_flows(operations.payloads(rows), root)
+    return done.select("trade_date", "participant", "net_value_cr")
+
+
+@query("stored_instrument_sync", "L13 U6 S15", sql("""
+SELECT exchange, tradingsymbol, segment, CASE WHEN p_size >= 20 THEN 50 ELSE 1 END::BIGINT AS lot_size FROM instruments
+"""))
+def stored_instrument_sync(t: Tables) -> DataFrame:
+    root, known = shared_path(t.spark, "instruments"), state.instruments(t)
+    size = t.read("part").where(F.col("p_size") >= 20).select(F.col("p_partkey").alias("instrument_token"))
+    imports.sync_instruments(known, root, "20240101T0900")
+    fresh = known.join(size, "instrument_token", "left_semi").withColumn("lot_size", F.lit(50))
+    return imports.sync_instruments(fresh, root, "20240102T0900").select("exchange", "tradingsymbol", "segment", "lot_size")
+
+
+@query("stored_membership_refresh", "L13 U12", sql("""
+SELECT coalesce(o.symbol, n.symbol) AS symbol, coalesce(o.from_date, DATE '2001-10-01') AS from_date,
+       CASE WHEN n.symbol IS NULL THEN DATE '2001-09-30' END AS to_date, n.symbol IS NOT NULL AS active
+FROM (SELECT DISTINCT symbol, DATE '2001-07-01' AS from_date FROM snapshots
+      WHERE snapshot_date = DATE '2001-07-01') AS o
+FULL JOIN (SELECT DISTINCT symbol FROM snapshots WHERE snapshot_date = DATE '2001-10-01') AS n ON n.symbol = o.symbol
+"""))
+def stored_membership_refresh(t: Tables) -> DataFrame:
+    root, snaps = shared_path(t.spark, "members"), backtests.membership_snapshots(t)
+    empty = periods_from_snapshots(snaps.limit(0), backtests.INDEX, "derived")
+    empty.write.parquet(f"{root}/index_membership_history")
+    for date in ("2001-07-01", "2001-10-01"):
+        today = snaps.where(F.col("snapshot_date") == F.lit(date).cast("date")).drop("snapshot_date")
+        effective = F.lit(date).cast("date")
+        done = imports.refresh_index_membership(today, root, backtests.INDEX, effective, "derived")
+    return done.select("symbol", "from_date", "to_date", "active")

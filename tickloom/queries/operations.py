@@ -141,12 +141,17 @@ def result_volatility(t: Tables) -> DataFrame:
     return fl.result_volatility(t.bars, t.earnings_dates)
 
 
-@query("flow_payloads", "S13 L13", sql("""
+@query("flow_payloads", "S13", sql("""
 SELECT trade_date, participant, buy_value_cr, net_value_cr FROM flows
 """), "buy_value_cr net_value_cr", 9)
 def flow_payloads(t: Tables) -> DataFrame:
     """Flow tables sent as one JSON text per day (a list, or wrapped) and parsed back."""
-    f = t.market_flows
+    return readers.flows_json(payloads(t.market_flows)).select(
+        "trade_date", "participant", "buy_value_cr", "net_value_cr"
+    )
+
+
+def payloads(f: DataFrame) -> DataFrame:
     record = F.struct(
         F.when(F.col("participant") == "FII", F.lit("FII/FPI **")).otherwise(F.lit("dii *")).alias(
             "category"),
@@ -163,12 +168,10 @@ def flow_payloads(t: Tables) -> DataFrame:
     text = F.when(F.dayofmonth("trade_date") % 2 == 0, F.to_json("r")).otherwise(
         F.to_json(F.struct(F.col("r").alias("data")))
     )
-    return readers.flows_json(daily.select(text.alias("payload"))).select(
-        "trade_date", "participant", "buy_value_cr", "net_value_cr"
-    )
+    return daily.select(text.alias("payload"))
 
 
-@query("bulk_and_block_deals", "S12 E1 S11", sql("""
+@query("bulk_and_block_deals", "S12 E1", sql("""
 SELECT symbol, trade_date AS deal_date, 'C' || l_orderkey AS client_name,
        CASE WHEN l_quantity >= 40 THEN 'BLOCK' ELSE 'BULK' END AS deal_type,
        l_quantity * 1000 AS quantity, l_extendedprice AS price FROM lines
@@ -246,7 +249,7 @@ WHERE s_nationkey IN (1, 12, 13)
 """)
 
 
-@query("banking_validation", "A23 S7", sql("""
+@query("banking_validation", "A23", sql("""
 SELECT symbol, CAST(1 AS BIGINT) AS rows, '' AS errors, array_to_string(list_filter([
          CASE WHEN credit < -100 OR credit > 200 THEN 'growth_outlier_credit_growth_pct' END,
          CASE WHEN gnpa IS NULL THEN 'missing_banking_metrics: [''gnpa_pct'']' END,
@@ -553,7 +556,7 @@ def stale_symbols(t: Tables) -> DataFrame:
     return ops.stale_symbols(t.bars, t.as_of, 3)
 
 
-@query("market_breadth", "A14 W15 L8", sql(f"""
+@query("market_breadth", "A14 W15", sql(f"""
 SELECT max(d) AS latest_trade_date, count(*) FILTER (two) AS compared_symbols,
        count(*) FILTER (two AND now > old) AS advances,
        count(*) FILTER (two AND now < old) AS declines,
@@ -583,7 +586,7 @@ def score_series(t: Tables) -> DataFrame:
     return materialise(parts[0].unionByName(parts[1]))
 
 
-@query("score_movers", "O4 W15 L8", sql("""
+@query("score_movers", "O4 W15", sql("""
 SELECT symbol, composite_score AS score, previous_score, score_change FROM compared
 ORDER BY round(abs(score_change), 1) DESC, composite_score DESC, symbol LIMIT 5
 """), "score previous_score score_change")
@@ -593,7 +596,7 @@ def score_movers(t: Tables) -> DataFrame:
     )
 
 
-@query("top_attention", "O5 L8", sql("""
+@query("top_attention", "O5", sql("""
 SELECT symbol, composite_score AS score, active_signal_count AS signals FROM scan_now
 ORDER BY composite_score DESC, active_signal_count DESC, symbol LIMIT 5
 """), "score")
@@ -660,7 +663,7 @@ def recent_runs(t: Tables) -> DataFrame:
     )
 
 
-@query("provider_health", "A26 L9", sql("""
+@query("provider_health", "A26", sql("""
 SELECT strftime(trade_date, '%Y%m%d') AS run_id,
        CASE WHEN count(*) FILTER (l_quantity >= 50) = 0 THEN 'Healthy' ELSE 'Partial' END AS label,
        CASE WHEN count(*) FILTER (l_quantity >= 50) = 0 THEN 'green' ELSE 'amber' END AS color

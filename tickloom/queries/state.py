@@ -150,7 +150,7 @@ def corporate_actions_upsert(t: Tables) -> DataFrame:
     return corporate_actions(out, action_type="split")
 
 
-@query("market_flows_upsert", "U5 S4 L13", sql("""
+@query("market_flows_upsert", "U5 S4", sql("""
 SELECT trade_date, participant, CASE WHEN year(trade_date) >= 1998 THEN net_value_cr * 2
        ELSE net_value_cr END AS net_value_cr FROM flows WHERE participant = 'FII'
 """), "net_value_cr", 9)
@@ -187,7 +187,7 @@ SELECT CASE WHEN p_size <= 25 THEN 'NSE' ELSE 'BSE' END AS exchange,
 """)
 
 
-@query("instrument_upsert", "U6 S15", sql("""
+@query("instrument_upsert", "U6", sql("""
 SELECT exchange, tradingsymbol, segment, CASE WHEN p_size >= 20 THEN 50 ELSE 1 END::BIGINT
        AS lot_size FROM instruments
 """))
@@ -519,7 +519,7 @@ FROM scan_now AS a LEFT JOIN scan_before AS b ON b.symbol = a.symbol
 """)
 
 
-@query("scan_comparison", "J8 L10 E2 O6", sql("""
+@query("scan_comparison", "J8 E2 O6", sql("""
 SELECT symbol, composite_score, previous_score, score_change,
        CAST(signal_count_change AS DOUBLE) AS signal_count_change, new_active_signals,
        dropped_active_signals, comparison_status FROM compared
@@ -531,7 +531,7 @@ def scan_comparison(t: Tables) -> DataFrame:
     )
 
 
-@query("daily_brief", "A17 L11", sql("""
+@query("daily_brief", "A17", sql("""
 SELECT count(*) AS requested_symbols, count(*) AS successful_symbols,
        CAST(0 AS BIGINT) AS failed_symbols, round(avg(composite_score), 1) AS average_score,
        max(composite_score) AS top_score, count(*) FILTER (score_change >= 5) AS improved,
@@ -582,7 +582,7 @@ def scan_tables(t: Tables) -> tuple[DataFrame, DataFrame]:
     return rows, runs
 
 
-@query("scan_run_summary", "U11 U14", sql("""
+@query("scan_run_summary", "U14", sql("""
 SELECT run_id, count(*) AS requested_symbols, count(*) FILTER (NOT bad) AS successful_symbols,
        count(*) FILTER (bad) AS failed_symbols,
        CASE WHEN count(*) FILTER (bad) = count(*) THEN 'failed'
