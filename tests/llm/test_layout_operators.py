@@ -31,7 +31,6 @@ PIECES = public_tokenizers.path("piece_bpe_32k.model")
 
 def ids_of(file, texts, end):
     tokenizer = Tokenizer.from_file(file)
-    tokenizer.encode_special_tokens = True
     found = tokenizer.encode_batch([t or "" for t in texts], add_special_tokens=False)
     return [np.array(x.ids + [end], "<u4") for x in found]
 
