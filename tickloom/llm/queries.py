@@ -41,7 +41,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def op1_rule_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = quality.ledger(table(spark, sf_dir, "documents"))
     passed = quality.judged(quality.judged(rows, quality.BASE, "base"), quality.WEB)
-    return passed.withColumn("base_failed", ~F.col("base")).drop("base")
+    return passed.withColumn("base_failed", ~F.col("base")).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept",
+        "n_lines", "fail_bits",
+    )
 
 
 def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -18,7 +18,7 @@ from functools import cache
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tickloom.llm.common import Scratch, plain, slices
@@ -175,10 +175,17 @@ def near_duplicates(docs: DataFrame, apart: int = BITS_APART) -> DataFrame:
 def one_of_each(docs: DataFrame, apart: int = BITS_APART) -> DataFrame:
     """The rows of `docs`, one of each component: that with the smallest doc_id.
 
-    Rows that repeat a doc_id are one document, of which any row stays. Rows without a doc_id
-    stay, since no decision can name them.
+    Rows that repeat a doc_id are one document, of which the row with the smallest hash of its
+    text stays, whatever is computed again. Rows without a doc_id stay, since no decision can name
+    them. An empty table gives an empty result.
     """
     found = near_duplicates(docs.where("doc_id is not null"), apart)
     chosen = found.where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    kept = docs.join(chosen, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*(F.col(f"`{c}`") for c in docs.columns))
+    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns))
+    named = docs.where("doc_id is not null").select(
+        F.col("doc_id").alias("id"), F.sha2(F.col("text").cast("string"), 256).alias("key"), row.alias("row")
+    )
+    first = Window.partitionBy("id").orderBy("key")
+    kept = named.join(chosen.withColumnRenamed("doc_id", "id"), "id", "left_semi")
+    kept = kept.withColumn("place", F.row_number().over(first)).where("place = 1").select("row.*")
     return kept.union(docs.where("doc_id is null"))
