@@ -394,6 +394,44 @@ def composite_risk_notes(t: Tables) -> DataFrame:
     )
 
 
+_GROWTH = (f"greatest(0, ({_scale('credit', -5, 25)} + {_scale('deposit', -5, 25)}) / 2 "
+           "- least(35, abs(credit - deposit) * 3))")
+
+
+@query("composite_explanations", "M9", sql(f"""
+SELECT p.symbol, array_to_string(list_slice(list_filter([
+         CASE WHEN fin THEN 'Scored as' END, CASE WHEN fin AND k.base < 5 THEN 'Bank figures' END,
+         CASE WHEN fin AND nim >= 3.5 THEN 'A good' END, CASE WHEN fin AND gnpa <= 2 THEN 'Few gross' END,
+         CASE WHEN fin AND nnpa <= 1 THEN 'Few net' END, CASE WHEN fin AND casa >= 35 THEN 'Cheap deposits' END,
+         CASE WHEN fin AND capital >= 15 THEN 'Ample capital,' END,
+         CASE WHEN fin AND credit <= deposit + 8 AND {_GROWTH} >= 70 THEN 'Loans and' END,
+         CASE WHEN fin AND bank IS NULL THEN 'No bank' END, CASE WHEN piotroski_f_score >= 7 THEN 'A Piotroski' END,
+         CASE WHEN p.active_signal_count > 0 THEN 'Signals: ' || string_split(active_signals, ' ')[1] END,
+         CASE WHEN close > ema_50 AND ema_50 > ema_200 THEN 'Price over' END,
+         CASE WHEN latest_pct >= 50 THEN 'Much of' END, CASE WHEN d_trend = 'rising' THEN 'Deliveries rise.' END,
+         CASE WHEN unusual_today THEN 'Unusually much' END, CASE WHEN fii_trend = 'bullish' THEN 'Foreign institutions' END,
+         CASE WHEN dii_trend = 'bullish' THEN 'Domestic institutions' END,
+         CASE WHEN volatility_multiple <= 1.1 THEN 'Results hardly' END, CASE WHEN macro >= 70 THEN 'High ranks' END],
+         lambda v: v IS NOT NULL), 1, 6), '; ') AS reasons,
+       array_to_string(list_sort(list_filter([
+         CASE WHEN fin AND k.symbol IS NULL THEN 'manual banking metrics' END,
+         CASE WHEN fin AND k.base >= 5 THEN 'banking metrics source' END,
+         CASE WHEN fin AND k.symbol IS NOT NULL AND gnpa IS NULL THEN 'GNPA' END,
+         CASE WHEN f IS NULL THEN 'fundamental metrics' END, CASE WHEN rsi_14 IS NULL THEN 'RSI' END,
+         CASE WHEN close IS NULL OR ema_50 IS NULL OR ema_200 IS NULL THEN 'moving average context' END,
+         CASE WHEN latest_pct IS NULL THEN 'latest delivery percentage' END,
+         CASE WHEN volatility_multiple IS NULL THEN 'result volatility multiple' END,
+         CASE WHEN macro IS NULL THEN 'sector relative strength context' END], lambda v: v IS NOT NULL)), '; ') AS missing
+FROM score_parts AS p LEFT JOIN bank AS k ON k.symbol = p.symbol LEFT JOIN last_sig AS a ON a.symbol = p.symbol
+"""))
+def composite_explanations(t: Tables) -> DataFrame:
+    """What speaks for each symbol, by the first two words of each reason, and all that is missing."""
+    heads = F.transform("reasons", lambda r: F.substring_index(r, " ", 2))
+    return composite(t).select(
+        "symbol", F.array_join(heads, "; ").alias("reasons"), F.array_join("missing_data", "; ").alias("missing")
+    )
+
+
 @query("composite_upsert", "U7 S5", sql("""
 SELECT symbol, score, active_signal_count, CASE WHEN active_signal_count > 0 THEN 'new' ELSE 'old'
        END AS version FROM composite
