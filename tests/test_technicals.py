@@ -155,7 +155,7 @@ def test_golden_and_death_cross(spark):
     up = down + [down[-1] + 6 * i for i in range(1, 80)]
     events = signal_events(add_technical_indicators(bars(spark, up)))
     crosses = events.where("signal = 'Golden/Death Cross'").select("detail").collect()
-    assert [r[0] for r in crosses] == ["50 SMA crossed above 200 SMA on the latest bar."]
+    assert [r[0] for r in crosses] == ["The 50 day average has come over the 200 day one."]
 
 
 def test_trade_plan_values(spark):
