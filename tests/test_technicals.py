@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tests.helpers import bars, exchanges, ordered, plan_text
 from tickloom.operators.adjustments import apply_split_adjustment
 from tickloom.operators.recurrences import Recurrence, number_rows, smooth, span
-from tickloom.operators.signals import latest_with_signals, signal_events
+from tickloom.operators.signals import latest_with_signals, signal_events, signal_rows
 from tickloom.operators.structure import latest_swing_levels, support_resistance, swing_pivots
 from tickloom.operators.technicals import add_technical_indicators
 from tickloom.operators.windows import with_history_block
@@ -227,3 +227,16 @@ def test_pivots_and_zones_against_brute_force(spark):
 def test_zones_of_short_history_are_empty(spark):
     row = support_resistance(bars(spark, [1.0, 2.0, 3.0])).collect()[0]
     assert row.support == [] and row.resistance == []
+
+
+def test_signal_texts_are_made_only_for_who_reads_them(spark):
+    """No text is formatted per bar and rule; what is read has the rules' order and texts."""
+    df = add_technical_indicators(bars(spark, walk(320)))
+    events = signal_events(df)
+    unread = plan_text(events.select("symbol", "event_date", "signal"))
+    assert "format_string" not in unread
+    long = signal_rows(df, active_only=False)
+    active = long.where("active").select("trade_date", "signal", "strength", "detail", "confidence")
+    got = events.select(F.col("event_date").alias("trade_date"), *active.columns[1:])
+    assert got.count() > 0 and got.exceptAll(active).isEmpty() and active.exceptAll(got).isEmpty()
+    assert long.count() == 7 * df.count()
