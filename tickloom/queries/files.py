@@ -13,14 +13,19 @@ from tickloom.plans.imports import import_membership_history
 from tickloom.queries.registry import query
 from tickloom.queries.sqlbase import sql
 from tickloom.queries.state import membership_snapshots
-from tickloom.session import materialise, shared_path
+from tickloom.session import shared_path
 from tickloom.sources import readers
 
 
 def write_lists(rows: DataFrame, folder: str, *order: str) -> None:
     """One folder per value of ``list``, all in one job; the rows of a list in order."""
+    write_dealt(rows.repartition("list"), folder, *order)
+
+
+def write_dealt(rows: DataFrame, folder: str, *order: str) -> None:
+    """The same of rows that lie in one partition with their list."""
     (
-        rows.repartition("list").sortWithinPartitions("list", *order).drop(*[c for c in order if c.startswith("_")])
+        rows.sortWithinPartitions("list", *order).drop(*[c for c in order if c.startswith("_")])
         .write.mode("append").partitionBy("list").option("header", True).csv(folder)
     )
 
@@ -156,21 +161,24 @@ def delivery_file_scan(t: Tables) -> DataFrame:
     """A file for each day: two column orders, comma numbers, other series, repeated symbols, and
     dates that cannot be read."""
     bad = F.crc32(F.col("symbol").cast("binary")) % 5 == 0
-    rows = t.bars.select(
-        F.regexp_replace("symbol", r"\.NS$", " ").alias("SYMBOL"), F.lit(" EQ").alias(" SERIES"),
-        F.when(bad, F.lit("-")).otherwise(F.date_format("trade_date", "dd-MMM-yyyy")).alias(" DATE1"),
-        F.format_number("volume", 0).alias(" TTL_TRD_QNTY"),
-        F.format_number(F.round(F.col("volume") * 0.4, 0), 0).alias(" DELIV_QTY"),
-        F.format_number(40.25 + F.col("volume") % 13, 2).alias(" DELIV_PER"),
-        F.format_number(F.round(F.col("volume") / 7, 2), 2).alias(" TURNOVER_LACS"),
-        F.concat(F.lit("sec_"), F.date_format("trade_date", "yyyyMMdd")).alias("list"),
-        (F.dayofmonth("trade_date") % 2 == 0).alias("_even"),
-    )
-    rows = materialise(rows.unionByName(rows.withColumn(" SERIES", F.lit("BE"))), "delivery-rows")
+    texts = {
+        "SYMBOL": F.regexp_replace("symbol", r"\.NS$", " "),
+        " DATE1": F.when(bad, F.lit("-")).otherwise(F.date_format("trade_date", "dd-MMM-yyyy")),
+        " TTL_TRD_QNTY": F.format_number("volume", 0),
+        " DELIV_QTY": F.format_number(F.round(F.col("volume") * 0.4, 0), 0),
+        " DELIV_PER": F.format_number(40.25 + F.col("volume") % 13, 2),
+        " TURNOVER_LACS": F.format_number(F.round(F.col("volume") / 7, 2), 2),
+        "list": F.concat(F.lit("sec_"), F.date_format("trade_date", "yyyyMMdd")),
+    }
     folder = shared_path(t.spark, "delivery")
-    columns = [c for c in rows.columns if c != "_even"]
-    write_lists(rows.where("_even").select(*columns), f"{folder}/even", "SYMBOL")
-    write_lists(rows.where("NOT _even").select(*columns[::-1]), f"{folder}/odd", "SYMBOL")
+    even = F.dayofmonth("trade_date") % 2 == 0
+    columns = ["SYMBOL", " SERIES", *list(texts)[1:]]
+    for name, of_day, names in (("even", even, columns), ("odd", ~even, columns[::-1])):
+        # Bars are dealt by day; their texts and the second series are made where they are written.
+        days = t.bars.where(of_day).select("symbol", "trade_date", "volume").repartition("trade_date")
+        rows = days.select(*[value.alias(c) for c, value in texts.items()])
+        both = rows.withColumn(" SERIES", F.explode(F.array(F.lit(" EQ"), F.lit("BE"))))
+        write_dealt(both.select(*names), f"{folder}/{name}", "SYMBOL")
     return readers.delivery_files(t.spark, [f"{folder}/even", f"{folder}/odd"])
 
 
