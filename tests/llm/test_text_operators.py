@@ -176,6 +176,15 @@ def test_all_pairs_within_three_bits_are_found(session):
     assert {(r.a, r.b) for r in simhash.links(fps).collect()} == want
 
 
+def test_keys_are_never_broadcast(session, tmp_path):
+    """A table of fingerprints is small, the keys made of it are not: no side of their join goes through the driver."""
+    path = f"file://{tmp_path}/fps"
+    session.range(1000).select(F.xxhash64("id").alias("fp")).write.parquet(path)
+    found = simhash.links(session.read.parquet(path))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
 def kept(rows, width):
     split = [(t or "").encode().split() for _, t in rows]
     count = Counter(tuple(w[i : i + width]) for w in split for i in range(len(w) - width + 1))

@@ -137,13 +137,15 @@ def links(fps: DataFrame, apart: int = BITS_APART) -> DataFrame:
     """Pairs (a, b), a < b, of different fingerprints with `apart` (3 at most) or fewer bits apart.
 
     `fps` has distinct values. No set of 64-bit values that are pairwise within 3 bits has more
-    than 128 members, so links do not grow with the square of a group.
+    than 128 members, so links do not grow with the square of a group. Spark sizes both sides of
+    the join by the fingerprints, not by the keys made of them (some 50 times as many rows): it
+    must never broadcast one.
     """
     if not 0 <= apart <= 3:
         raise ValueError("the keys find pairs with at most 3 different bits")
     near = F.bit_count(F.col("u").bitwiseXOR(F.col("v")))
     return (
-        _keyed(fps, False).join(_keyed(fps, True), "key")
+        _keyed(fps, False).join(_keyed(fps, True).hint("merge"), "key")
         .where((F.col("u") != F.col("v")) & (near <= apart))
         .select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b"))
         .distinct()
