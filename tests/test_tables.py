@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import time
 from pathlib import Path
 
 import pytest
@@ -17,7 +18,7 @@ from tickloom.operators.scoring import score_stocks
 from tickloom.operators.technicals import add_technical_indicators
 from tickloom.plans.pipelines import refresh_eod, scan_universe
 from tickloom.schemas import DDL, names
-from tickloom.session import shared_dir
+from tickloom.session import materialise, shared_dir
 from tickloom.sources import readers
 
 D = dt.date
@@ -302,3 +303,19 @@ def test_schemas_are_valid(spark):
     for table in DDL:
         assert spark.createDataFrame([], DDL[table]).columns == names(table)
         assert set(up.KEYS.get(table, ())) <= set(names(table))
+
+
+def test_stored_tables_leave_no_shuffle_files(spark):
+    """Disk holds the shuffles of one step of a job, not those of all steps before it."""
+    def files():
+        held = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+        return {name for i in range(held.size()) if (name := held.apply(i).getName()).startswith("shuffle_")}
+
+    before = files()
+    rows = materialise(spark.range(1000).groupBy((F.col("id") % 7).alias("k")).agg(F.count("*").alias("n")))
+    until = time.time() + 20
+    while files() - before and time.time() < until:
+        time.sleep(0.2)
+    assert not files() - before
+    assert rows.count() == 7
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "false"
