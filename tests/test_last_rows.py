@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tests.helpers import START, ordered, plan_text
+from tickloom.operators.continuation import first_states, indicators_with_state, overlap_start, state_of
 from tickloom.operators.signals import latest_with_signals
 from tickloom.operators.technicals import add_technical_indicators, last_indicators
 from tickloom.plans.pipelines import last_bars_at
@@ -67,3 +68,15 @@ def test_scans_number_rows_and_have_no_frame_for_each_indicator(histories):
     plan = plan_text(latest_with_signals(last_indicators(histories)).select("symbol", "active_signals", "rsi_14"))
     assert plan.split("Initial Plan")[0].count("Window [") <= 3
     assert "collect_list" not in plan and "Python" not in plan
+
+
+@pytest.mark.parametrize("days", [5, 700])
+def test_first_states_are_those_of_whole_frames(spark, histories, days):
+    """Also for rows without a date, and symbols without a bar before the day."""
+    none = spark.createDataFrame([("S60", None, 1.0, 2.0, 0.5, 1.5, 3.0), (None, START, 1.0, 2.0, 0.5, 1.5, 3.0)], DDL)
+    bars = histories.unionByName(none)
+    got = first_states(bars, overlap_start(days))
+    want = state_of(indicators_with_state(bars), overlap_start(days))
+    assert got.dtypes == want.dtypes
+    got, want = (df.withColumns({c: F.to_json(c) for c in ("tail", "recent")}) for df in (got, want))
+    assert_rows(got, want)
